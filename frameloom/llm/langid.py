@@ -174,7 +174,7 @@ def train(df: DataFrame, text: str, lang: str, doc_id: str, *, sample_rows: int
 
 
 def identify(df: DataFrame, model: CodedModel, text: str, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` with lang_pred, score (0 to 1) and ambiguous, one row per row of ``df``."""
+    """Columns ``keep`` (the text may be one) with lang_pred, score (0 to 1) and ambiguous, a row per row."""
     out = df.select(*keep, F.col(text).alias("_text"))
     schema = out.select(*keep).schema.add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
     names = np.array([*model.langs, UNDETERMINED], object)

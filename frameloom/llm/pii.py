@@ -25,6 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 KINDS = ("email", "ip", "card", "phone", "ssn", "iban", "date", "secret")
 
@@ -280,7 +281,7 @@ def pseudonymise(docs: DataFrame, key: str, *, text: str = "text", counts: bool
     replaces a column of that name."""
     names = [f"n_{k}" for k in KINDS] if counts else []
     given = docs.drop(*names) if counts else docs
-    schema = given.schema
+    schema = T.StructType(list(given.schema.fields))
     for name in names:
         schema = schema.add(name, "long")
     secret = key.encode()
