@@ -1 +1 @@
-"""."""
+"""Streams with carried state, and their end."""
