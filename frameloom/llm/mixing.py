@@ -98,7 +98,7 @@ def probabilities(tokens: np.ndarray, raked: np.ndarray, keep: float | None) ->
         c = np.inf
         for k in range(len(t)):  # the k largest ratios are capped
             c = (wanted - capped[k]) / rest[k] if rest[k] > 0 else np.inf
-            if c * r[k] <= 1:
+            if not np.isfinite(c) or c * r[k] <= 1:
                 break
         p = np.where(ratio > 0, np.minimum(1.0, c * np.maximum(ratio, 0)), 0.0) if np.isfinite(c) else (ratio > 0).astype(float)
     return np.where(has, np.clip(p, 0, 1), 1.0)

@@ -24,6 +24,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import buffer_of, cut, segment_sums, text_slices
 from .components import components
@@ -74,7 +75,7 @@ def fingerprints_of(texts: pa.Array, width: int = 3, seed: int = 42) -> np.ndarr
         if to == at + 1 and half[at] > 1 << 18:
             total = np.zeros(64, np.int64)
             for k in range(starts[at], starts[to], 1 << 17):
-                total += np.unpackbits(hashes[k : min(k + (1 << 17), starts[to])].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0)
+                total += np.unpackbits(hashes[k : min(k + (1 << 17), starts[to])].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
             out[at] = 2 * total > half[at]
         else:
             bits = np.unpackbits(hashes[starts[at] : starts[to]].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -216,32 +217,56 @@ def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     return given.mapInArrow(count, "doc_id long, fp long")
 
 
+def _classes(prints: DataFrame, most: int) -> DataFrame:
+    """fp, root (a fingerprint that names the component) and component_id of each distinct fingerprint."""
+    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = components(links(distinct.select("fp"), most)).withColumnRenamed("u", "fp")
+    named = distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    return named.join(least, "root").select("fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 3, most: int = 2) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id that links reach), one row per row of ``docs``.
 
     Only ids and fingerprints are shuffled, 16 bytes a document; copies count once from then on.
     """
     prints = cut(fingerprints(docs, doc_id=doc_id, text=text, width=width))
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(distinct.select("fp"), most)).withColumnRenamed("u", "fp")
-    named = distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(named.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return prints.join(_classes(prints, most).drop("root"), "fp").select("doc_id", "fp", "component_id")
+
+
+def _least_row(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    one = rows.groupBy(key).agg(F.min(F.struct(*columns)).alias("_row"))
+    return one.select(*[F.col(f"_row.{c}").alias(c) for c in columns])
 
 
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 3, most: int = 2) -> DataFrame:
     """``docs`` without those whose component has a smaller id: one document of each group stays.
 
-    Of rows that share the kept id one stays too; rows with a null id stay if no other row of their
-    component has an id, one of them.
+    Ids are taken to name documents: of rows that repeat the kept id one stays. Rows without an id stay
+    if no row of their component has one, one of them. Both need a look at whole rows, which is
+    taken for such rows only, if there are any.
     """
-    found = near_duplicates(docs, doc_id=doc_id, text=text, width=width, most=most)
-    keep = cut(found.where("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("_n"), F.countDistinct("fp").alias("_fps")))
-    out = docs.join(keep.where("_n = 1").select(F.col("doc_id").alias(doc_id)), doc_id, "left_semi") if keep.where("doc_id IS NULL").isEmpty() else docs.join(keep.where("_n = 1").select(F.col("doc_id").alias("_id")), F.col(doc_id).eqNullSafe(F.col("_id")), "left_semi")
-    twice = keep.where("_n > 1").select(F.col("doc_id").alias("_id"))
+    prints = cut(fingerprints(docs, doc_id=doc_id, text=text, width=width))
+    classes = cut(_classes(prints, most))
+    kept = prints.join(classes, "fp").where("doc_id = component_id")
+    keep = cut(kept.groupBy("doc_id").agg(F.count("*").alias("_n")))
+    out = docs.join(keep.where("_n = 1").select(F.col("doc_id").alias(doc_id)), doc_id, "left_semi").select(*docs.columns)
+    twice = keep.where("_n > 1").select(F.col("doc_id").alias(doc_id))
     if not twice.isEmpty():
-        again = docs.join(twice, docs[doc_id].eqNullSafe(twice["_id"]), "left_semi")
-        order = F.struct(F.coalesce(F.xxhash64(text), F.lit(0)), *[F.col(c) for c in docs.columns])
-        one = again.groupBy(F.col(doc_id).alias("_id")).agg(F.min(order).alias("_row"))
-        out = out.unionByName(one.select(*[F.col(f"_row.{c}").alias(c) for c in docs.columns]))
+        out = out.unionByName(_least_row(docs.join(twice, doc_id, "left_semi"), doc_id, docs.columns))
+    if not prints.where("doc_id IS NULL").isEmpty():
+        given = docs.where(F.col(doc_id).isNull())
+        columns = [F.col(c).alias(f"_c{k}") for k, c in enumerate(docs.columns)]
+        at = docs.columns.index(text)
+        packed = given.select(*columns)
+        schema = T.StructType([*packed.schema.fields, T.StructField("fp", T.LongType())])
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, texts in text_slices(batches, f"_c{at}", 1 << 21):
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fingerprints_of(texts, width).view(np.int64))], names=[*part.schema.names, "fp"])
+
+        loose = packed.mapInArrow(add, schema).join(classes.where("component_id IS NULL").select("fp", "root"), "fp")
+        one = _least_row(loose, "root", packed.columns)
+        out = out.unionByName(one.select(*[F.col(f"_c{k}").alias(c) for k, c in enumerate(docs.columns)]))
     return out
