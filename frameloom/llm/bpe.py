@@ -35,8 +35,8 @@ from .common import coded, text_slices, words_of
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SUFFIX = "</w>"
 _TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
-#: Encoded words that a worker keeps, and pairs of tokens whose boundary it remembers.
-_KEPT_WORDS, _KEPT_PAIRS = 300_000, 2_000_000
+#: Encoded words that a worker keeps, pairs of tokens whose boundary it remembers, and the automaton's moves.
+_KEPT_WORDS, _KEPT_PAIRS, _KEPT_MOVES = 200_000, 400_000, 600_000
 #: The automaton's letter for a word's end, above all byte letters; the mark of a word's last letter.
 _END, _FINAL = 511, 512
 
@@ -152,7 +152,8 @@ class TrieEncoder:
         to, back = None, state
         while (to := self.step.get(back << 9 | c)) is None and back:
             back = self.fail[back]
-        self.step[state << 9 | c] = to or 0
+        if len(self.step) < _KEPT_MOVES:
+            self.step[state << 9 | c] = to or 0
         return to or 0
 
     def _survives(self, a: int, b: int, whole: int = -1) -> bool:
@@ -282,7 +283,7 @@ def encode(docs: DataFrame, path: str, *, text: str = "text", keep: list[str], d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(content.value)
-        for part, texts in text_slices(batches, "_text", 1 << 24):
+        for part, texts in text_slices(batches, "_text", 1 << 22):
             flat, starts = words_of(texts)
             codes, distinct = coded(flat)
             ids, plain = own.encode_pieces(distinct.to_pylist())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU C library has it
+
 #: The separators of the word contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = "[\\x20\\x09-\\x0D]+"
 
@@ -45,20 +48,29 @@ def crc_mod(id_col: Column, m: int) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % F.lit(m)
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
-    """Runs of rows of about ``max_bytes`` of text at most (one row at least), with their texts as an
-    unsliced array in which null is the empty text. However long a text is, it stays whole."""
+def give_back() -> None:
+    """Return freed memory to the system: workers live on, and an executor's memory holds all of them."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int, max_rows: int = 10_000) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Runs of rows of about ``max_bytes`` of text and ``max_rows`` at most (one row at least), with their texts
+    as an unsliced array in which null is the empty text. However long a text is, it stays whole."""
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index(column))
         ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-        at, n = 0, batch.num_rows
+        at, n, part, own = 0, batch.num_rows, None, None
         while at < n:
             base = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, base + max_bytes, side="right")))
+            to = min(at + max_rows, max(at + 1, int(np.searchsorted(ends, base + max_bytes, side="right"))))
             part = batch.slice(at, to - at)
             own = pc.fill_null(part.column(part.schema.get_field_index(column)), "")
             yield part, pa.concat_arrays([own.cast(pa.string())])
             at = to
+        del batch, texts, part, own
+        give_back()
 
 
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:

@@ -159,7 +159,7 @@ def train(df: DataFrame, text: str, lang: str, doc_id: str, *, sample_rows: int
     rows = rows.join(F.broadcast(chosen), "_id").select("_lang", "_text")  # at most sample_rows ids
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in text_slices(batches, "_text", 1 << 20):
+        for part, texts in text_slices(batches, "_text", 1 << 19, 200):
             x = ngram_features(texts, buckets)
             at = [np.flatnonzero(r).astype(np.uint16) for r in x]
             cells = [(a.tobytes(), r[a].tobytes()) for a, r in zip(at, x, strict=True)]
@@ -180,7 +180,7 @@ def identify(df: DataFrame, model: CodedModel, text: str, keep: list[str]) -> Da
     names = np.array([*model.langs, UNDETERMINED], object)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in text_slices(batches, "_text", 1 << 20):
+        for part, texts in text_slices(batches, "_text", 1 << 19, 200):
             lettered = np.array([_LETTER.search(t) is not None for t in texts.to_pylist()], bool)
             if model.langs:
                 best, score, vague = model.decode(ngram_features(texts, len(model.weights)) @ model.weights + model.bias)

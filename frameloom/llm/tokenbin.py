@@ -41,7 +41,7 @@ BITS = np.array([60, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.int64)
 _MOST = int(COUNTS.max())
 #: Ids after which a task begins a new file: what it holds in memory.
 FILE_IDS = 16_000_000
-_KEPT_WORDS = 300_000
+_KEPT_WORDS = 250_000
 
 
 def _bit_lengths(values: np.ndarray) -> np.ndarray:
@@ -260,7 +260,7 @@ def write(docs: DataFrame, path: str, folder: str, *, doc_id: str = "doc_id", te
             done.append((name, len(doc_ids), len(ids)))
             held.clear()
 
-        for rows, texts in text_slices(batches, "_text", 1 << 24):
+        for rows, texts in text_slices(batches, "_text", 1 << 23):
             flat, starts = words_of(texts)
             codes, distinct = coded(flat)
             ids, counts = _ragged(own.encode_pieces(distinct.to_pylist()), codes, starts, end_id)
