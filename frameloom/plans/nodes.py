@@ -23,24 +23,24 @@ def register(name: str, target: Callable[..., Any]) -> None:
 
 
 for _name, _target in {
-    "LV_ProductionVideoLoader": rawframes.RawFrames,
-    "LV_VDAModelLoader": lambda name="luma": models.DEPTH[name],
-    "LV_VDAStream": series.depth_window_stream,
-    "LV_DepthTemporalNormalize": temporal.smooth_bounds,
-    "LV_DepthPreview": pixels.preview,
-    "LV_StereoDIBR": warp.render_stereo,
-    "LV_SBSCombine": layout.side_by_side,
-    "LV_SessionInfo": lambda query: query.lastProgress,
-    "LV_RIFEModelLoader": lambda name="linear": models.INTERPOLATION[name],
-    "LV_LongVideoFrameInterpolation": lambda df, *a, **k: temporal.densify(df, *a, **{**k, "tail": False}),
-    "LV_LongVideoFrameInterpolationStream": series.densify_stream,
-    "LV_EdgeAwareDepthSmooth": spatial.guided_filter,
-    "LV_DepthStereoTuning": pixels.tune,
-    "LV_ResolutionStereoControls": scalars.stereo_controls,
-    "LV_AsyncVideoEncoder": encoder.command,
-    "LV_StreamingVideoEncoder": rawframes.write_ordered,
-    "LV_AsyncLosslessVideoEncoder": encoder.legacy_command,
-    "LV_EncoderCleanup": lambda spark: [q.stop() for q in spark.streams.active],
+    "ProductionVideoLoader": rawframes.RawFrames,
+    "DepthModelLoader": lambda name="luma": models.DEPTH[name],
+    "DepthStream": series.depth_window_stream,
+    "DepthTemporalNormalize": temporal.smooth_bounds,
+    "DepthPreview": pixels.preview,
+    "StereoDIBR": warp.render_stereo,
+    "SBSCombine": layout.side_by_side,
+    "SessionInfo": lambda query: query.lastProgress,
+    "InterpolationModelLoader": lambda name="linear": models.INTERPOLATION[name],
+    "FrameInterpolation": lambda df, *a, **k: temporal.densify(df, *a, **{**k, "tail": False}),
+    "FrameInterpolationStream": series.densify_stream,
+    "EdgeAwareDepthSmooth": spatial.guided_filter,
+    "DepthStereoTuning": pixels.tune,
+    "ResolutionStereoControls": scalars.stereo_controls,
+    "AsyncVideoEncoder": encoder.command,
+    "StreamingVideoEncoder": rawframes.write_ordered,
+    "AsyncLosslessVideoEncoder": encoder.legacy_command,
+    "EncoderCleanup": lambda spark: [q.stop() for q in spark.streams.active],
 }.items():
     register(_name, _target)
 

@@ -196,5 +196,5 @@ def test_encoder_commands():
 def test_nodes():
     assert len(nodes.REGISTRY) == 18
     with pytest.raises(ValueError):
-        nodes.register("LV_SBSCombine", print)
+        nodes.register("SBSCombine", print)
     assert [k for k, _ in nodes.stage_profile({"z": 1, "block1": 2, "a": 3, "encode": 4}, ["encode", "block0", "block1"])] == ["encode", "block1", "a", "z"]
