@@ -29,11 +29,11 @@ from pyspark.sql import functions as F
 from .common import cut
 
 #: Rows in a block of candidates, and queries in a block.
-BLOCK, QUERY_BLOCK = 8192, 1024
+BLOCK, QUERY_BLOCK = 32768, 1024
 #: Standard deviations that the error bound spans.
-EPSILON = 2.5
+EPSILON = 2.0
 _PLANES = 4
-_CELLS = 1 << 21  # estimates that a task holds at once
+_CELLS = 1 << 18  # estimates that a task holds at once
 
 
 def rotation(dim: int, seed: int = 5) -> np.ndarray:
@@ -70,33 +70,45 @@ class Codes:
         u = np.rint((turned - low[:, None]) / step[:, None]).astype(np.uint8)
         padded = np.zeros((len(queries), self.bits.shape[1] * 64), np.uint8)
         padded[:, :dim] = u
-        dots = np.zeros((len(queries), len(self.length)), np.int32)
+        dots = np.zeros((len(queries), len(self.length)), np.uint16 if dim <= 4096 else np.uint32)
         for plane in range(_PLANES):
             words = np.packbits(padded >> plane & 1, axis=1, bitorder="little").view(np.uint64)
             for w in range(words.shape[1]):
-                dots += np.bitwise_count(words[:, w, None] & self.bits[None, :, w]).astype(np.int32) << plane
+                dots += np.bitwise_count(words[:, w, None] & self.bits[None, :, w]).astype(dots.dtype) << plane
         total = low * dim + step * u.sum(axis=1)  # the sum of the quantised query's components
-        on_ones = low[:, None] * self.ones[None] + step[:, None] * dots
-        fit = np.where(self.length > 0, self.fit, 1.0)
-        scale = self.length / np.maximum(fit, 1e-12) / np.sqrt(dim)
-        guess = (2 * on_ones - total[:, None]) * scale[None] + (queries @ centre)[:, None]
+        fit = np.where(self.length > 0, np.maximum(self.fit, 1e-12), 1.0)
+        scale = (self.length / fit / np.sqrt(dim)).astype(np.float32)
+        f = lambda v: np.asarray(v, np.float32)[:, None]
+        guess = dots * f(2 * step)
+        guess += f(2 * low) * self.ones.astype(np.float32)
+        guess -= f(total)
+        guess *= scale
+        guess += f(queries @ centre)
         size = np.sqrt((turned * turned).sum(axis=1))
-        spread = self.length * np.sqrt(np.maximum(1 - fit**2, 0)) / np.maximum(fit, 1e-12) / np.sqrt(max(1, dim - 1))
+        spread = self.length * np.sqrt(np.maximum(1 - fit**2, 0)) / fit / np.sqrt(max(1, dim - 1))
         rounding = step / np.sqrt(12)  # the deviation of the quantised query's part
-        return guess, epsilon * (size[:, None] * spread[None] + rounding[:, None] * (self.length / np.maximum(fit, 1e-12))[None])
-
-
-def exact_scores(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Row-wise inner products in double precision, summed from the first component to the last."""
-    out = np.zeros(len(queries))
-    for k in range(queries.shape[1]):
-        out += queries[:, k] * vectors[:, k]
+        off = f(epsilon * size) * spread.astype(np.float32)
+        off += f(epsilon * rounding) * (self.length / fit).astype(np.float32)
+        return guess, off
+
+
+def exact_scores(queries: np.ndarray, vectors: np.ndarray, q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Inner products of pairs in double precision, summed from the first component to the last. Both
+    matrices have a row per component, so that a component's values lie together."""
+    out = np.empty(len(q))
+    for at in range(0, len(q), 8192):
+        own, other = q[at : at + 8192], c[at : at + 8192]
+        total = np.zeros(len(own))
+        for mine, theirs in zip(queries, vectors, strict=True):
+            total += mine[own] * theirs[other]
+        out[at : at + 8192] = total
     return out
 
 
 def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, centre: np.ndarray, turn: np.ndarray, epsilon: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Query positions, candidate positions and scores of each query's k nearest in the block."""
     codes = Codes(vectors, centre, turn)
+    by_query, by_vector = np.ascontiguousarray(queries.T), np.ascontiguousarray(vectors.T)
     found = []
     step = max(1, _CELLS // max(1, len(ids)))
     for at in range(0, len(queries), step):
@@ -107,12 +119,13 @@ def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, ve
         if len(ids) > k:  # the least score among the k best guesses: what the k-th nearest has at least
             best = np.argpartition(guess, len(ids) - k, axis=1)[:, len(ids) - k :]
             q, c = np.repeat(np.arange(len(best)), k), best.reshape(-1)
-            score = np.where(np.isfinite(guess[q, c]), exact_scores(queries[own][q], vectors[c]), -np.inf)
+            score = np.where(np.isfinite(guess[q, c]), exact_scores(by_query, by_vector, q + at, c), -np.inf)
             least = score.reshape(len(best), k).min(axis=1)
-        near = (guess + off >= least[:, None]) & np.isfinite(guess)
-        q, c = np.nonzero(near)
-        q += at
-        score = np.concatenate([exact_scores(queries[q[p : p + 65536]], vectors[c[p : p + 65536]]) for p in range(0, len(q), 65536)]) if len(q) else np.zeros(0)
+        off += guess  # the upper bound; single precision is given a little room
+        q, c = np.nonzero((off >= (least - 1e-5).astype(np.float32)[:, None]) & np.isfinite(guess))
+        score = exact_scores(by_query, by_vector, q + at, c)
+        good = score >= least[q]
+        q, c, score = q[good] + at, c[good], score[good]
         order = np.lexsort((ids[c], -score, q))
         q, c, score = q[order], c[order], score[order]
         place = np.arange(len(q)) - np.searchsorted(q, q)
