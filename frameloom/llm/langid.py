@@ -20,10 +20,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffer_of, text_slices
+from .common import buffer_of, cut, text_slices
 
 UNDETERMINED = "und"
 _LETTER = regex.compile(r"\p{L}")
@@ -146,17 +146,20 @@ def fit(x: np.ndarray, langs: list[str], ambiguous_below: float = 0.2) -> CodedM
 
 
 def train(df: DataFrame, text: str, lang: str, doc_id: str, *, sample_rows: int = 4000, buckets: int = 4096, ambiguous_below: float = 0.2) -> CodedModel:
-    """Fit on at most ``sample_rows`` rows of ``df``, spread evenly over the languages by a hash of the id.
+    """Fit on about ``sample_rows`` rows of ``df`` (twice as many at most), spread evenly over the languages.
 
-    The sample is chosen from ids and languages alone; only the chosen rows' texts are read. It is
-    the operator's only bound, and the only thing that reaches the driver.
+    A row is drawn if a hash of its id falls below its language's share, so a hot language is
+    counted in part before the shuffle and never ranked in one place. The sample is chosen from ids
+    and languages alone; only the chosen rows' texts are read. It is the operator's only bound,
+    and the only thing that reaches the driver.
     """
     ids = df.select(F.col(doc_id).alias("_id"), F.col(lang).alias("_lang")).where("_id IS NOT NULL AND _lang IS NOT NULL")
-    each = min(1000, max(1, sample_rows // max(1, ids.select("_lang").distinct().count())))  # up to 1000 Spark ranks before it shuffles
-    order = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
-    chosen = ids.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= each).select("_id").distinct()
+    counts = cut(ids.groupBy("_lang").agg(F.count("*").alias("_n")))
+    each = max(1, sample_rows // max(1, counts.count()))
+    draw = F.shiftrightunsigned(F.xxhash64("_id"), 11) / float(1 << 53)
+    chosen = ids.join(counts, "_lang").where(draw * F.col("_n") < each).select("_id").distinct().limit(2 * sample_rows)
     rows = df.select(F.col(doc_id).alias("_id"), F.col(lang).alias("_lang"), F.col(text).alias("_text")).where("_lang IS NOT NULL")
-    rows = rows.join(F.broadcast(chosen), "_id").select("_lang", "_text")  # at most sample_rows ids
+    rows = rows.join(F.broadcast(chosen), "_id").select("_lang", "_text")  # at most 2 * sample_rows ids
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_slices(batches, "_text", 1 << 19, 200):
@@ -165,8 +168,9 @@ def train(df: DataFrame, text: str, lang: str, doc_id: str, *, sample_rows: int
             cells = [(a.tobytes(), r[a].tobytes()) for a, r in zip(at, x, strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.string()), pa.array([c[0] for c in cells], pa.binary()), pa.array([c[1] for c in cells], pa.binary())], names=["lang", "at", "value"])
 
-    got = sorted((r.lang, bytes(r.at), bytes(r.value)) for r in rows.mapInArrow(features, "lang string, at binary, value binary").toLocalIterator() if len(r.at))
-    got = got[: 2 * sample_rows]  # ids that repeat could bring more rows than ids
+    # ids that repeat could bring more rows than ids
+    drawn = rows.mapInArrow(features, "lang string, at binary, value binary").limit(2 * sample_rows).collect()
+    got = sorted((r.lang, bytes(r.at), bytes(r.value)) for r in drawn if len(r.at))
     x = np.zeros((len(got), buckets), np.float32)
     for row, (_, at, value) in zip(x, got, strict=True):
         row[np.frombuffer(at, np.uint16)] = np.frombuffer(value, np.float32)
