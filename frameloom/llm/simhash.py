@@ -16,7 +16,7 @@ have the same component; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -241,14 +241,19 @@ def _least_row(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 3, most: int = 2) -> DataFrame:
-    """``docs`` without those whose component has a smaller id: one document of each group stays.
+    """``docs`` without those whose component has a smaller id: one document of each group stays."""
+    prints = cut(fingerprints(docs, doc_id=doc_id, text=text, width=width))
+    classes = cut(_classes(prints, most))
+    return keep_classes(docs, prints, classes, lambda texts: fingerprints_of(texts, width).view(np.int64), doc_id=doc_id, text=text)
+
+
+def keep_classes(docs: DataFrame, prints: DataFrame, classes: DataFrame, fp_of: Callable[[pa.Array], np.ndarray], *, doc_id: str, text: str) -> DataFrame:
+    """One document of each class; ``fp_of`` gives the fp of texts as in ``prints``.
 
     Ids are taken to name documents: of rows that repeat the kept id one stays. Rows without an id stay
     if no row of their component has one, one of them. Both need a look at whole rows, which is
     taken for such rows only, if there are any.
     """
-    prints = cut(fingerprints(docs, doc_id=doc_id, text=text, width=width))
-    classes = cut(_classes(prints, most))
     kept = prints.join(classes, "fp").where("doc_id = component_id")
     keep = cut(kept.groupBy("doc_id").agg(F.count("*").alias("_n")))
     out = docs.join(keep.where("_n = 1").select(F.col("doc_id").alias(doc_id)), doc_id, "left_semi").select(*docs.columns)
@@ -264,7 +269,7 @@ def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", wid
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part, texts in text_slices(batches, f"_c{at}", 1 << 21):
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fingerprints_of(texts, width).view(np.int64))], names=[*part.schema.names, "fp"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fp_of(texts))], names=[*part.schema.names, "fp"])
 
         loose = packed.mapInArrow(add, schema).join(classes.where("component_id IS NULL").select("fp", "root"), "fp")
         one = _least_row(loose, "root", packed.columns)
