@@ -3,7 +3,8 @@
 Numbers and dates that pass their kind's check, e-mail addresses and quoted secrets are replaced by
 values of the same format from a keyed Feistel permutation of that format's values. The permutation
 depends on kind, format and key only, so equal values stay equal in every document, whatever
-separators they are written with; no value maps to itself. What fails its check stays as it is.
+separators they are written with; no value maps to itself. What fails its check stays as it is, but for
+values that begin inside it, or IBANs and phone numbers that end before its last groups.
 
 Kinds: email, ip (IPv4), card (Luhn), phone, ssn (US), iban (mod 97), date (calendar dates of years
 1000 to 9999), secret (16 or more hex digits, 0-9 among them, that follow token, key, secret or password).
@@ -32,7 +33,7 @@ KINDS = ("email", "ip", "card", "phone", "ssn", "iban", "date", "secret")
 _PATTERN = re.compile(
     r"""(?P<email>[\w.%+\-]+@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?)+)
     |(?P<secret>(?<![A-Za-z])(?:token|key|secret|password|passwd|apikey|api_key)\s*[=:]\s*["']?[0-9a-fA-F]{16,}(?![0-9a-zA-Z]))
-    |(?<![0-9A-Za-z])(?P<iban>[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?)(?![0-9A-Za-z])
+    |(?<![0-9A-Za-z])(?P<iban>(?-i:[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?))(?![0-9A-Za-z])
     |(?<![0-9.])(?P<ip>[0-9]{1,3}(?:\.[0-9]{1,3}){3})(?![0-9]|\.[0-9])
     |(?<![0-9])(?P<date>[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{1,2}[.][0-9]{1,2}[.][0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})(?![0-9])
     |(?<![0-9])(?P<card>[0-9]{4}(?P<sep>[ \-])[0-9]{4}(?P=sep)[0-9]{4}(?P=sep)[0-9]{1,7}|[0-9]{4}(?P<amex>[ \-])[0-9]{6}(?P=amex)[0-9]{5}|[0-9]{13,19})(?![0-9])
@@ -257,6 +258,20 @@ def _windows(text: str) -> list[list[int]]:
     return out
 
 
+#: Kinds whose pattern may take in groups of letters or digits that follow the value.
+_GROUPED = ("iban", "phone")
+
+
+def _shorter(text: str, key: bytes, kind: str, begin: int, end: int) -> tuple[int, str | None]:
+    """The end and the pseudonym of the longest value from ``begin`` that ends before a separator and passes its check."""
+    for stop in range(end - 1, begin, -1):
+        if text[stop] in " .-":
+            found = _PATTERN.fullmatch(text, begin, stop)
+            if found and found[kind] is not None and (new := pseudonym(key, kind, found[kind])) is not None:
+                return stop, new
+    return end, None
+
+
 def replace(text: str, key: bytes) -> tuple[str, list[int]]:
     """The text with pseudonyms, and how many of each of KINDS it has."""
     counts, out, at, pos = [0] * len(KINDS), [], 0, 0
@@ -266,13 +281,14 @@ def replace(text: str, key: bytes) -> tuple[str, list[int]]:
             kind = next(k for k in KINDS if found[k] is not None)
             begin, end = found.span(kind)
             new = pseudonym(key, kind, found[kind])
-            pos = end
+            if new is None and kind in _GROUPED:
+                end, new = _shorter(text, key, kind, begin, end)
             if new is not None:
                 counts[KINDS.index(kind)] += 1
                 out += [text[at:begin], new]
-                at = end
-            elif kind in ("iban", "date"):
-                pos = begin + 1  # another kind may begin inside
+                at = pos = end
+            else:
+                pos = begin + 1  # another value may begin inside
     return "".join([*out, text[at:]]), counts
 
 

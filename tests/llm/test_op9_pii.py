@@ -53,6 +53,32 @@ def test_what_fails_its_check_stays(text):
     assert pii.replace(text, KEY) == (text, [0] * len(pii.KINDS))
 
 
+@pytest.mark.parametrize(
+    "before, kind, value, after",
+    [
+        ("2019 ", "card", "4111 1111 1111 1111", ""),
+        ("2019-", "card", "4111-1111-1111-1111", " 2020"),
+        ("1234 5678 ", "card", "4111 1111 1111 1111", " 2020"),
+        ("", "iban", "AT61 1904 3002 3457 3201", " and"),
+        ("", "iban", "ES91 2100 0418 4502 0005 1332", " with"),
+        ("to ", "iban", "AT61 1904 3002 3457 3201", " AND MORE"),
+        ("to ", "iban", "AT61 1904 3002 3457 3201", " 2019"),
+        ("to ", "iban", "DE89 3704 0044 0532 0130 00", " and"),
+        ("call ", "phone", "+49 30 1234 5678", " 2019"),
+    ],
+)
+def test_values_beside_ordinary_text(before, kind, value, after):
+    new, counts = pii.replace(f"{before}{value}{after}", KEY)
+    assert counts[pii.KINDS.index(kind)] == 1 and sum(counts) == 1
+    assert new == before + pii.pseudonym(KEY, kind, value) + after
+
+
+def test_iban_and_card_side_by_side():
+    new, counts = pii.replace("AT61 1904 3002 3457 3201 4111 1111 1111 1111", KEY)
+    assert counts[pii.KINDS.index("iban")] == counts[pii.KINDS.index("card")] == 1
+    assert new == f"{pii.pseudonym(KEY, 'iban', 'AT61 1904 3002 3457 3201')} {pii.pseudonym(KEY, 'card', '4111 1111 1111 1111')}"
+
+
 def test_neighbours_and_long_texts():
     new, counts = pii.replace("4111111111111111 378282246310005 a@b.example.com", KEY)
     assert counts[pii.KINDS.index("card")] == 2 and counts[0] == 1
