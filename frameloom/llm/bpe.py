@@ -1,4 +1,4 @@
-"""Byte-pair encoding of whole texts by a trie of distinct words, and decoding.
+"""Byte-pair encoding of whole texts by a trie of distinct words, and decoding from ids.
 
 The last token of a word's prefix depends on that prefix alone, and the tokens before it are the
 encoding of what precedes it. So distinct words are put in order, which walks their trie depth
@@ -8,10 +8,11 @@ read off the merge trees of the two tokens. Words with a common prefix share the
 
 The vocabulary file is the tokenizers library's JSON with byte-level BPE, an end-of-word suffix, the
 normaliser NFC, white space to a space, lower case, and a pattern that drops white space. A file
-of another kind is refused.
+of another kind is refused. Texts are split as in ``pieces``.
 
 Defined results: a null text is the empty text, which has no tokens and decodes to the empty string;
-rows are encoded one by one, so repeated rows, ties and other columns don't matter.
+rows are encoded one by one, so repeated rows, ties and other columns, of whatever names, don't matter;
+a very long text is encoded whole, in one task; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -20,23 +21,21 @@ import gc
 import hashlib
 import json
 import os
-import unicodedata
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import coded, text_slices, words_of
+from .common import text_slices, value_slices
+from .pieces import SUFFIX, Splitter, TextEncoder
 
-#: The pre-tokenising pattern that this kind of vocabulary is made with.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-SUFFIX = "</w>"
-_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
-#: Encoded words that a worker keeps, pairs of tokens whose boundary it remembers, and the automaton's moves.
-_KEPT_WORDS, _KEPT_PAIRS, _KEPT_MOVES = 200_000, 400_000, 600_000
+#: Pairs of tokens whose boundary a worker remembers, and the automaton's moves.
+_KEPT_PAIRS, _KEPT_MOVES = 400_000, 600_000
+#: Bytes of text that are encoded together: the more, the more often a word is shared.
+_SLICE = 1 << 24
 #: The automaton's letter for a word's end, above all byte letters; the mark of a word's last letter.
 _END, _FINAL = 511, 512
 
@@ -57,41 +56,16 @@ def letters(word: str) -> str:
     return word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(_LETTER_OF)
 
 
-class Splitter:
-    """Pieces of raw text as the words that are encoded one by one."""
-
-    def __init__(self, spec: dict):
-        model, split = spec["model"], spec["pre_tokenizer"]["pretokenizers"][0]
-        parts = [p["type"] for p in spec["normalizer"]["normalizers"]]
-        if model["type"] != "BPE" or model["end_of_word_suffix"] != SUFFIX or model["continuing_subword_prefix"] or model["dropout"] or model["ignore_merges"] or parts != ["NFC", "Replace", "Lowercase"] or split["pattern"]["Regex"] != PATTERN or spec["decoder"] is not None:
-            raise ValueError("not a vocabulary of the kind that this encoder reads")
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self._specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-
-    def split(self, piece: str) -> list[str | int]:
-        """A piece without white space as words and ids of special tokens."""
-        if self._specials and "<" in piece and (found := self._specials.search(piece)):
-            head, tail = piece[: found.start()], piece[found.end() :]
-            return [*self.split(head), self.special[found[0]], *self.split(tail)]
-        if not piece:
-            return []
-        if not piece.isascii():
-            piece = unicodedata.normalize("NFC", piece).replace("Σ", "σ")
-        piece = piece.lower()
-        return [piece] if piece.isalpha() else _TOKEN.findall(piece)
-
-
 class TrieEncoder:
     """One worker's encoder. ``encode_words`` encodes distinct words together."""
 
     def __init__(self, content: str):
         spec = json.loads(content)
         model = spec["model"]
-        self.splitter = Splitter(spec)
-        self.special = self.splitter.special
+        splitter = Splitter(content)
         vocab: dict[str, int] = model["vocab"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.token = {i: s for s, i in vocab.items()} | {i: s for s, i in self.special.items()}
+        self.token = {i: s for s, i in vocab.items()} | {i: s for s, i in splitter.special.items()}
         # tokens are numbered by the order of their making, base letters before all merges
         made = {a + b: k for k, (a, b) in enumerate(merges)}
         base = [s for s in vocab if s not in made]
@@ -103,7 +77,8 @@ class TrieEncoder:
         self.halves = [(-1, -1)] * self.n_base + [(number[a], number[b]) for a, b in merges]
         self.joined = {number[a] << 32 | number[b]: self.n_base + k for k, (a, b) in enumerate(merges)}
         self.text = sorted(number, key=number.get)
-        self.pairs: dict[int, bool] = {}
+        self.pairs: list[dict[int, bool]] = [{} for _ in self.text]
+        self.n_pairs = 0
         reachable = [True] * self.n_base
         for k in range(self.n_base, len(self.halves)):
             a, b = self.halves[k]
@@ -111,7 +86,10 @@ class TrieEncoder:
                 raise ValueError("a merge comes before its parts")
             reachable.append(reachable[a] and reachable[b] and self._survives(a, b, k))
         self._automaton([n for n in range(len(self.text)) if reachable[n]])
-        self.words: dict[str, tuple[bytes, str]] = {}
+        self.encode_texts = TextEncoder(splitter, self.encode_list)
+        known = np.full(max(self.token) + 1, -1, np.int64)
+        known[list(self.token)] = np.arange(len(self.token))
+        self._place, self._strings = known, pa.array(list(self.token.values()), pa.string())
 
     def _automaton(self, tokens: list[int]) -> None:
         """States for all prefixes of tokens, the suffix as one letter of its own. ``out`` is a state's
@@ -184,29 +162,31 @@ class TrieEncoder:
                 j -= 1
 
     def _apart(self, a: int, b: int) -> bool:
-        key = a << 32 | b
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) >= _KEPT_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[key] = self._survives(a, b)
+        """``_survives``, remembered; ``pairs`` holds what is known of each b."""
+        if self.n_pairs >= _KEPT_PAIRS:
+            self.n_pairs = 0
+            for known in self.pairs:
+                known.clear()
+        self.n_pairs += 1
+        known = self.pairs[b][a] = self._survives(a, b)
         return known
 
     def encode_words(self, words: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
         """Token numbers of each distinct word, given as letters, in the order of the words."""
         last, where, before = [-1], [0], ""  # at each depth of the path: the last token, the automaton's state
         step, out, shorter, size = self.step, self.out, self.shorter, self.size
+        pairs = self.pairs
         for word in sorted(words):
             n, depth = len(word), 0
             most = min(n - 1, len(last) - 1)
             while depth < most and word[depth] == before[depth]:
                 depth += 1
             del last[depth + 1 :], where[depth + 1 :]
-            path, pairs = [ord(c) for c in word[depth:]], self.pairs
+            path = list(map(ord, word[depth:]))
             path.append(_END)
             path[-2:] = [path[-2] | _FINAL]
+            state = where[depth]
             for end, c in enumerate(path, depth + 1):
-                state = where[end - 1]
                 if c >= _FINAL:  # a word's last letter and its end are one symbol
                     c -= _FINAL
                     middle = step.get(state << 9 | c)
@@ -216,8 +196,9 @@ class TrieEncoder:
                 state = self._step(state, c) if to is None else to
                 t = out[state]
                 while begin := end - size[t]:
-                    apart = pairs.get(last[begin] << 32 | t)
-                    if apart or (apart is None and self._apart(last[begin], t)):
+                    a = last[begin]
+                    apart = pairs[t].get(a)
+                    if apart or (apart is None and self._apart(a, t)):
                         break
                     t = shorter[t]
                 last.append(t)
@@ -232,24 +213,31 @@ class TrieEncoder:
             before = word
             yield word, tokens
 
-    def encode_pieces(self, pieces: list[str]) -> tuple[list[bytes], list[str]]:
-        """Each distinct piece's ids (little-endian, 32 bits) and decoded text."""
-        split = list(map(self.splitter.split, pieces))
-        known = self.words
-        missing = {w for words in split for w in words if w not in known and not isinstance(w, int)}
-        if len(known) + len(missing) > _KEPT_WORDS:
-            known = self.words = {}
-            missing = {w for words in split for w in words if not isinstance(w, int)}
-        spelt, packed, text = {letters(w): w for w in missing}, self.packed, self.text
-        gc.disable()  # nothing here is cyclic, and each pass of the collector reads all kept words
+    def encode_list(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words, as bytes."""
+        packed, found = self.packed, {}
+        gc.disable()  # nothing here is cyclic, and each pass of the collector reads all that is kept
         try:
-            for word, tokens in self.encode_words(spelt):
-                known[spelt[word]] = (b"".join([packed[t] for t in tokens]), " ".join([text[t] for t in tokens]))
+            for word, tokens in self.encode_words(spelt := list(map(letters, words))):
+                found[word] = b"".join([packed[t] for t in tokens])
         finally:
             gc.enable()
-        special = {i: (int(i).to_bytes(4, "little"), s) for s, i in self.special.items()}
-        found = [[special[w] if isinstance(w, int) else known[w] for w in words] for words in split]
-        return [b"".join([f[0] for f in x]) for x in found], [" ".join([f[1] for f in x]) for x in found]
+        return [found[w] for w in spelt]
+
+    def decode_texts(self, ids: pa.Array) -> pa.Array:
+        """The texts of binary arrays of ids: their tokens with a space between, as the library joins them where a
+        vocabulary names no decoder, special tokens included. Null is no ids; unknown ids are left out."""
+        own = pc.fill_null(ids, b"")
+        ends = np.concatenate([[0], np.cumsum(pc.binary_length(own).to_numpy().astype(np.int64))]) // 4
+        flat = np.frombuffer(b"".join(own.to_pylist()), "<u4").astype(np.int64)
+        place = np.where(flat < len(self._place), self._place[np.minimum(flat, len(self._place) - 1)], -1)
+        if (known := place >= 0).all():
+            kept = ends
+        else:
+            kept = np.concatenate([[0], np.cumsum(known)])[ends]
+            place = place[known]
+        lists = pa.LargeListArray.from_arrays(pa.array(kept), self._strings.take(pa.array(place)))
+        return pc.binary_join(lists, " ")
 
 
 _ENCODERS: dict[str, TrieEncoder] = {}
@@ -274,42 +262,36 @@ def vocabulary(spark: SparkSession, path: str):
 
 
 def encode(docs: DataFrame, path: str, *, text: str = "text", keep: list[str], decoded: bool = False) -> DataFrame:
-    """Columns ``keep`` with ids (binary, little-endian 32-bit) and, if asked for, the decoded text."""
+    """Columns ``keep`` with ids (binary, little-endian 32-bit) and, if asked for, decoded: the text that those ids give."""
     content = vocabulary(docs.sparkSession, path)
-    given = docs.select(*keep, F.col(text).alias("_text"))
-    schema = given.select(*keep).schema.add("ids", "binary")
+    given = _numbered(docs, keep, text)
+    schema = docs.select(*keep).schema.add("ids", "binary")
     if decoded:
         schema = schema.add("decoded", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(content.value)
-        for part, texts in text_slices(batches, "_text", 1 << 22):
-            flat, starts = words_of(texts)
-            codes, distinct = coded(flat)
-            ids, plain = own.encode_pieces(distinct.to_pylist())
-            # a piece may have no token; it adds nothing to the decoded text, not even a space
-            drop = np.array([not x for x in ids], bool)
-            codes, starts = codes.tolist(), starts.tolist()
-            columns = [part.column(k) for k in range(len(keep))]
-            columns.append(pa.array([b"".join([ids[c] for c in codes[s:e]]) for s, e in zip(starts[:-1], starts[1:], strict=True)], pa.binary()))
-            if decoded:
-                some = drop.any()
-                columns.append(pa.array([" ".join([plain[c] for c in codes[s:e] if not (some and drop[c])]) for s, e in zip(starts[:-1], starts[1:], strict=True)], pa.string()))
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "ids", "decoded"][: len(columns)])
+        for part, texts in text_slices(batches, f"c{len(keep)}", _SLICE):
+            ids = own.encode_texts(texts)
+            columns = [*[part.column(k) for k in range(len(keep))], ids, *([own.decode_texts(ids)] if decoded else [])]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return given.mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, path: str, *, ids: str = "ids", keep: list[str]) -> DataFrame:
-    """Columns ``keep`` with decoded: the tokens of ``ids``, joined as the library joins them where a
-    vocabulary names no decoder, special tokens included. Unknown ids are left out."""
+    """Columns ``keep`` with decoded: the text of the binary column ``ids``."""
     content = vocabulary(encoded.sparkSession, path)
-    given = encoded.select(*keep, F.col(ids).alias("_ids"))
+    schema = encoded.select(*keep).schema.add("decoded", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = encoder(content.value).token
-        for batch in batches:
-            out = [" ".join([token[i] for i in np.frombuffer(x or b"", "<u4").tolist() if i in token]) for x in batch.column(len(keep)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(keep))], pa.array(out, pa.string())], names=[*keep, "decoded"])
+        own = encoder(content.value)
+        for part, _ in value_slices(batches, f"c{len(keep)}", _SLICE):
+            yield pa.RecordBatch.from_arrays([*[part.column(k) for k in range(len(keep))], own.decode_texts(part.column(len(keep)))], names=schema.names)
+
+    return _numbered(encoded, keep, ids).mapInArrow(run, schema)
+
 
-    return given.mapInArrow(run, given.select(*keep).schema.add("decoded", "string"))
+def _numbered(df: DataFrame, keep: list[str], value: str) -> DataFrame:
+    """Columns ``keep`` and ``value`` under names of their place, which clash with none."""
+    return df.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate([*keep, value])])

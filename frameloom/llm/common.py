@@ -55,24 +55,29 @@ def give_back() -> None:
         _TRIM(0)
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int, max_rows: int = 10_000) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
-    """Runs of rows of about ``max_bytes`` of text and ``max_rows`` at most (one row at least), with their texts
-    as an unsliced array in which null is the empty text. However long a text is, it stays whole."""
+def value_slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int, max_rows: int = 10_000) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Runs of rows of about ``max_bytes`` of a string or binary column and ``max_rows`` at most (one row at least),
+    with that column. However long a value is, it stays whole."""
     for batch in batches:
-        texts = batch.column(batch.schema.get_field_index(column))
-        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-        at, n, part, own = 0, batch.num_rows, None, None
-        while at < n:
-            base = ends[at - 1] if at else 0
-            to = min(at + max_rows, max(at + 1, int(np.searchsorted(ends, base + max_bytes, side="right"))))
-            part = batch.slice(at, to - at)
-            own = pc.fill_null(part.column(part.schema.get_field_index(column)), "")
-            yield part, pa.concat_arrays([own.cast(pa.string())])
-            at = to
-        del batch, texts, part, own
+        at = batch.schema.get_field_index(column)
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        done, n, part = 0, batch.num_rows, None
+        while done < n:
+            base = ends[done - 1] if done else 0
+            to = min(done + max_rows, max(done + 1, int(np.searchsorted(ends, base + max_bytes, side="right"))))
+            part = batch.slice(done, to - done)
+            yield part, part.column(at)
+            done = to
+        del batch, part
         give_back()
 
 
+def text_slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int, max_rows: int = 10_000) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """The same with the texts as an unsliced array in which null is the empty text."""
+    for part, values in value_slices(batches, column, max_bytes, max_rows):
+        yield part, pa.concat_arrays([pc.fill_null(values, "").cast(pa.string())])
+
+
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """All words of the texts one after another (maximal runs without the SPACES), and where each
     text's words begin: text i has words ``starts[i]:starts[i + 1]``."""

@@ -11,27 +11,29 @@ document its id (64 bits), whether it has one (a byte) and its number of ids (64
 for the end the number of words before it (64 bits), the words, the wide ids.
 
 Files hold documents in ascending order of id, null first, those of one id by a hash of the text;
-the files of a corpus follow one another by name. A null text is the empty text: its document has
-the end id alone. An empty table has no files and decodes to an empty table. Rows that repeat are
-written as often as they come.
+the files of a corpus follow one another by task and number, which their names carry. A null text is the
+empty text: its document has the end id alone. An empty table has no files and decodes to an empty
+table. Rows that repeat are written as often as they come; a very long text is encoded whole, in one
+task; columns other than id and text, of whatever names, don't matter.
 """
 
 from __future__ import annotations
 
 import hashlib
-import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import SUFFIX, Splitter, letters, vocabulary
-from .common import coded, cut, shared_folder, text_slices, words_of
+from .bpe import letters, vocabulary
+from .common import cut, shared_folder, text_slices
+from .pieces import SUFFIX, Splitter, TextEncoder
 
 MAGIC = b"S8BIDS01"
 BLOCK = 1024
@@ -41,7 +43,6 @@ BITS = np.array([60, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.int64)
 _MOST = int(COUNTS.max())
 #: Ids after which a task begins a new file: what it holds in memory.
 FILE_IDS = 16_000_000
-_KEPT_WORDS = 250_000
 
 
 def _bit_lengths(values: np.ndarray) -> np.ndarray:
@@ -163,73 +164,59 @@ def from_bytes(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [d if k else None for d, k in zip(doc.tolist(), known.tolist(), strict=True)], counts, unpack(words, offsets, wide, n)
 
 
-class LibraryEncoder:
-    """The tokenizers library's model over distinct words. Whole pieces are normalised and split here as
-    the library does; a worker keeps the words that it has encoded."""
-
-    def __init__(self, content: str):
-        from tokenizers import Tokenizer, pre_tokenizers
-
-        self.splitter = Splitter(json.loads(content))
-        whole = Tokenizer.from_str(content)
-        whole.no_truncation()
-        whole.no_padding()
-        self.model = Tokenizer(whole.model)
-        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        vocab = whole.get_vocab(with_added_tokens=True)
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        self.ends[[i for s, i in vocab.items() if s.endswith(SUFFIX)]] = True
-        self.words: dict[str, bytes] = {}
-
-    def _encode(self, words: list[str]) -> None:
-        lines = [" ".join(map(letters, words[k : k + 1000])) for k in range(0, len(words), 1000)]
-        ids = np.concatenate([np.array(e.ids, "<u4") for e in self.model.encode_batch_fast(lines, add_special_tokens=False)])
-        ends = np.flatnonzero(self.ends[ids]) + 1
-        if len(ends) != len(words):
-            raise ValueError("words and their ends differ")
-        data, begin = ids.tobytes(), 0
-        for word, end in zip(words, (4 * ends).tolist(), strict=True):
-            self.words[word] = data[begin:end]
-            begin = end
-
-    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        split = list(map(self.splitter.split, pieces))
-        missing = {w for words in split for w in words if not isinstance(w, int) and w not in self.words}
-        if len(self.words) + len(missing) > _KEPT_WORDS:
-            self.words = {}
-            missing = {w for words in split for w in words if not isinstance(w, int)}
-        missing = sorted(missing)
-        for k in range(0, len(missing), 50_000):
-            self._encode(missing[k : k + 50_000])
-        known = self.words
-        return [known[w[0]] if len(w) == 1 and not isinstance(w[0], int) else b"".join([w.to_bytes(4, "little") if isinstance(w, int) else known[w] for w in w]) for w in split]
-
-
-_ENCODERS: dict[str, LibraryEncoder] = {}
-
-
-def _encoder(content: str) -> LibraryEncoder:
+def library_words(content: str) -> Callable[[list[str]], list[bytes]]:
+    """The tokenizers library's model over lists of distinct words: their ids as bytes."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    whole = Tokenizer.from_str(content)
+    whole.no_truncation()
+    whole.no_padding()
+    model = Tokenizer(whole.model)
+    model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    vocab = whole.get_vocab(with_added_tokens=True)
+    is_end = np.zeros(max(vocab.values()) + 1, bool)
+    is_end[[i for s, i in vocab.items() if s.endswith(SUFFIX)]] = True
+
+    def encode(words: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for k in range(0, len(words), 50_000):
+            some = list(map(letters, words[k : k + 50_000]))
+            lines = [" ".join(some[j : j + 1000]) for j in range(0, len(some), 1000)]
+            ids = np.concatenate([np.array(e.ids, "<u4") for e in model.encode_batch_fast(lines, add_special_tokens=False)])
+            ends = 4 * (np.flatnonzero(is_end[ids]) + 1)
+            if len(ends) != len(some):
+                raise ValueError("words and their ends differ")
+            data, begin = ids.tobytes(), 0
+            for end in ends.tolist():
+                out.append(data[begin:end])
+                begin = end
+        return out
+
+    return encode
+
+
+_ENCODERS: dict[str, TextEncoder] = {}
+
+
+def _encoder(content: str) -> TextEncoder:
+    """The worker's encoder for a vocabulary, made once per process."""
     name = hashlib.sha1(content.encode()).hexdigest()
     if name not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[name] = LibraryEncoder(content)
+        _ENCODERS[name] = TextEncoder(Splitter(content), library_words(content))
     return _ENCODERS[name]
 
 
-def _ragged(table: list[bytes], codes: np.ndarray, starts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all texts, each with the end id after it, and how many each has."""
-    size = np.array([len(x) // 4 for x in table], np.int64)
-    store = np.frombuffer(b"".join(table), "<u4")
-    first = np.cumsum(size) - size
-    each = size[codes]
-    before = np.concatenate([[0], np.cumsum(each)])
-    counts = before[starts[1:]] - before[starts[:-1]] + 1
-    out = np.full(int(counts.sum()), end_id, np.uint32)
-    text = np.repeat(np.arange(len(counts)), np.diff(starts))  # an end id comes before each later text
-    to = np.repeat(before[:-1] + text, each)
-    inner = np.arange(len(to)) - np.repeat(before[:-1], each)
-    out[to + inner] = store[np.repeat(first[codes], each) + inner]
-    return out, counts
+def _with_ends(texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts one after another, each with the end id after it, and how many each has."""
+    counts = pc.binary_length(texts).to_numpy().astype(np.int64) // 4
+    ends = np.cumsum(counts)
+    out = np.full(int(ends[-1]) + len(counts), end_id, np.uint32)
+    inner = np.ones(len(out), bool)
+    inner[ends + np.arange(len(ends))] = False
+    _, _, data = texts.buffers()
+    out[inner] = np.frombuffer(data, "<u4")[: int(ends[-1])] if ends[-1] else []
+    return out, counts + 1
 
 
 def write(docs: DataFrame, path: str, folder: str, *, doc_id: str = "doc_id", text: str = "text", end_id: int = 1) -> DataFrame:
@@ -252,7 +239,7 @@ def write(docs: DataFrame, path: str, folder: str, *, doc_id: str = "doc_id", te
 
         def flush() -> None:
             doc_ids = [d for h in held for d in h[0]]
-            name = f"part-{part:06d}-{len(done):04d}.s8b"
+            name = f"part-{part:010d}-{len(done):06d}.s8b"  # wide enough for any task and all that it could write
             ids = np.concatenate([h[2] for h in held])
             with store.open_output_stream(f"{base}/.{name}.{attempt}") as out:
                 out.write(to_bytes(doc_ids, np.concatenate([h[1] for h in held]), ids))
@@ -261,9 +248,7 @@ def write(docs: DataFrame, path: str, folder: str, *, doc_id: str = "doc_id", te
             held.clear()
 
         for rows, texts in text_slices(batches, "_text", 1 << 23):
-            flat, starts = words_of(texts)
-            codes, distinct = coded(flat)
-            ids, counts = _ragged(own.encode_pieces(distinct.to_pylist()), codes, starts, end_id)
+            ids, counts = _with_ends(own(texts), end_id)
             held.append((rows.column(0).to_pylist(), counts, ids))
             if sum(len(h[2]) for h in held) >= FILE_IDS:
                 flush()

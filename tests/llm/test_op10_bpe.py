@@ -8,8 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from frameloom.llm import bpe
-from frameloom.llm.common import coded, words_of
+from frameloom.llm import bpe, tokenbin
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 LIBRARY = Tokenizer.from_file(PATH)
@@ -22,11 +21,8 @@ def own():
 
 
 def encode(own, text):
-    flat, _ = words_of(pa.array([text]))
-    codes, distinct = coded(flat)
-    ids, plain = own.encode_pieces(distinct.to_pylist())
-    some = codes.tolist()
-    return np.frombuffer(b"".join(ids[c] for c in some), "<u4").tolist(), " ".join(plain[c] for c in some if ids[c])
+    ids = own.encode_texts(pa.array([text]))
+    return np.frombuffer(ids[0].as_py(), "<u4").tolist(), own.decode_texts(ids)[0].as_py()
 
 
 def same(own, text):
@@ -58,12 +54,37 @@ def test_every_token_and_pairs(own):
 
 
 def test_small_caches_change_nothing(own, monkeypatch):
-    for name in ("_KEPT_WORDS", "_KEPT_PAIRS", "_KEPT_MOVES"):
+    for name in ("_KEPT_PAIRS", "_KEPT_MOVES"):
         monkeypatch.setattr(bpe, name, 5)
     with open(PATH, encoding="utf-8") as f:
         other = bpe.TrieEncoder(f.read())
-    for text in ("the quick brown fox", "jumping over internationalisation", "the quick unbelievable"):
+    other.encode_texts._keep = 3
+    for text in ("the quick brown fox", "jumping over internationalisation", "the quick unbelievable <|endoftext|>", "the <|endoftext|>!"):
         same(other, text)
+    assert len(other.encode_texts._words) == 3
+
+
+def test_every_code_point(own):
+    """Each code point between letters, alone and after another word, through both encoders."""
+    with open(PATH, encoding="utf-8") as f:
+        files = tokenbin._encoder(f.read())
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(f"a{chr(c)}B {chr(c)}" for c in points[at : at + 200]) for at in range(0, len(points), 200)]
+    for encode, upto in ((own.encode_texts, len(texts)), (files, 100)):  # one splitter; the blocks that have a path of their own go through both
+        want = [e.ids for e in LIBRARY.encode_batch_fast(texts[:upto], add_special_tokens=False)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in encode(pa.array(texts[:upto])).to_pylist()] == want
+
+
+def test_unknown_ids_are_left_out(own):
+    ids = pa.array([np.array([320, 10**6, 49407], "<u4").tobytes(), None, b""], pa.binary())
+    assert own.decode_texts(ids).to_pylist() == [f"{own.token[320]} {own.token[49407]}", "", ""]
+
+
+def test_columns_that_clash(spark):
+    df = spark.createDataFrame([(1, "a b", "x", "y"), (2, None, None, "y")], "doc_id long, text string, c1 string, ids string")
+    out = bpe.encode(df, PATH, keep=["doc_id", "c1", "text"], decoded=True)
+    assert out.columns == ["doc_id", "c1", "text", "ids", "decoded"]
+    assert [(r.doc_id, r.c1, r.text, r.decoded) for r in out.collect()] == [(1, "x", "a b", "a</w> b</w>"), (2, None, None, "")]
 
 
 def test_another_kind_of_file_is_refused():
