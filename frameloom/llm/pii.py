@@ -9,8 +9,12 @@ values that begin inside it, or IBANs and phone numbers that end before its last
 Kinds: email, ip (IPv4), card (Luhn), phone, ssn (US), iban (mod 97), date (calendar dates of years
 1000 to 9999), secret (16 or more hex digits, 0-9 among them, that follow token, key, secret or password).
 
-Defined results: a null text stays null with counts 0; texts without such values come back
-unchanged; rows are handled one by one, so ties, repeated rows and other columns don't matter.
+Values are found in the whole text and replaced whole, however long they are.
+
+Defined results: a null text stays null with counts 0; empty texts and texts without such values come
+back unchanged; a very long text or value is handled whole, in one task; rows are handled one by
+one, so ties, repeated rows and other columns don't matter (of those, the counts' columns replace such
+as have their names); an empty table gives an empty table. A null or empty key is refused.
 """
 
 from __future__ import annotations
@@ -31,8 +35,7 @@ from pyspark.sql import types as T
 KINDS = ("email", "ip", "card", "phone", "ssn", "iban", "date", "secret")
 
 _PATTERN = re.compile(
-    r"""(?P<email>[\w.%+\-]+@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?)+)
-    |(?P<secret>(?<![A-Za-z])(?:token|key|secret|password|passwd|apikey|api_key)\s*[=:]\s*["']?[0-9a-fA-F]{16,}(?![0-9a-zA-Z]))
+    r"""(?P<secret>(?<![A-Za-z])(?:token|key|secret|password|passwd|apikey|api_key)\s*[=:]\s*["']?[0-9a-fA-F]{16,}(?![0-9a-zA-Z]))
     |(?<![0-9A-Za-z])(?P<iban>(?-i:[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?))(?![0-9A-Za-z])
     |(?<![0-9.])(?P<ip>[0-9]{1,3}(?:\.[0-9]{1,3}){3})(?![0-9]|\.[0-9])
     |(?<![0-9])(?P<date>[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{1,2}[.][0-9]{1,2}[.][0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})(?![0-9])
@@ -41,6 +44,8 @@ _PATTERN = re.compile(
     |(?<![0-9])(?P<phone>(?:\+?[0-9]{1,3}[ .\-]?)?\([0-9]{2,4}\)[ .\-]?[0-9]{3,4}[ .\-]?[0-9]{3,4}|\+[0-9]{1,3}(?:[ .\-]?[0-9]{2,4}){2,4}|[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4})(?![0-9])""",
     re.VERBOSE | re.IGNORECASE,
 )
+#: What follows an e-mail address's @. The part before it is found from there, so that a long run is read once.
+_DOMAIN = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?)+")
 
 
 class Feistel:
@@ -58,12 +63,9 @@ class Feistel:
         self.shift = 1 + self._f(b"shift", 0, n) % (n - 1) if n > 1 else 0
 
     def _f(self, name: bytes, value: int, n: int) -> int:
-        size = (value.bit_length() + 7) // 8 or 1
-        out, block = b"", 0
-        while len(out) < (n.bit_length() + 7) // 8 + 8:
-            out += hashlib.blake2b(b"|".join([self.tweak, name, str(block).encode(), value.to_bytes(size, "big")]), key=self.key, digest_size=64).digest()
-            block += 1
-        return int.from_bytes(out, "big") % n
+        """A keyed function's value below n; the keys have one length, so no other key's input begins with this one."""
+        given = b"|".join([self.key + self.tweak, name, value.to_bytes((value.bit_length() + 7) // 8 or 1, "big")])
+        return int.from_bytes(hashlib.shake_256(given).digest((n.bit_length() + 7) // 8 + 8), "big") % n
 
     def _walk(self, x: int, forward: bool) -> int:
         while True:
@@ -85,26 +87,45 @@ class Feistel:
         return self._walk((self._walk(y, False) - self.shift) % self.n, True) if self.n > 1 else y
 
 
+def _joined(digits: list[int], radix: list[int]) -> tuple[int, int]:
+    """The number with these digits, and how many there are. By halves, as values may be very long."""
+    if len(digits) > 32:
+        half = len(digits) // 2
+        (high, n), (low, m) = _joined(digits[:half], radix[:half]), _joined(digits[half:], radix[half:])
+        return high * m + low, n * m
+    x = 0
+    for d, r in zip(digits, radix, strict=True):
+        x = x * r + d
+    return x, math.prod(radix)
+
+
+def _spread(x: int, radix: list[int]) -> list[int]:
+    """The number's digits."""
+    if len(radix) > 32:
+        half = len(radix) // 2
+        high, low = divmod(x, _joined([0] * (len(radix) - half), radix[half:])[1])
+        return _spread(high, radix[:half]) + _spread(low, radix[half:])
+    out = []
+    for r in reversed(radix):
+        x, d = divmod(x, r)
+        out.append(d)
+    return out[::-1]
+
+
 def _permute_text(key: bytes, kind: str, value: str, hexadecimal: bool = False) -> str:
     """Digits go to digits, letters to letters in the case they had; all else stays. Case doesn't tell values apart."""
     classes = ["x" if hexadecimal and c in "0123456789abcdefABCDEF" else "9" if "0" <= c <= "9" else "a" if c.isascii() and c.isalpha() else c.lower() for c in value]
     radix = [{"x": 16, "9": 10, "a": 26}.get(c, 1) if len(c) == 1 else 1 for c in classes]
     if not hexadecimal:
         radix = [10 if "0" <= c <= "9" else 26 if c.isascii() and c.isalpha() else 1 for c in value]
-    n = math.prod(radix)
+    x, n = _joined([0 if r == 1 else int(c, 16) if r < 26 else ord(c.lower()) - 97 for c, r in zip(value, radix, strict=True)], radix)
     if n < 2:
         return value
-    x = 0
-    for c, r in zip(value, radix, strict=True):
-        x = x * r + (0 if r == 1 else int(c, 16) if r < 26 else ord(c.lower()) - 97)
-    y, out = Feistel(key, f"{kind}:{''.join(classes)}", n)(x), []
-    for c, r in zip(reversed(value), reversed(radix), strict=True):
-        y, d = divmod(y, r)
+    out = []
+    for c, r, d in zip(value, radix, _spread(Feistel(key, f"{kind}:{''.join(classes)}", n)(x), radix), strict=True):
         new = c if r == 1 else "0123456789abcdef"[d] if r < 26 else chr(97 + d)
         out.append(new.upper() if r > 10 and c.isupper() else new)
-    if hexadecimal and value.upper() == value:
-        return "".join(reversed(out)).upper()
-    return "".join(reversed(out))
+    return "".join(out).upper() if hexadecimal and value.upper() == value else "".join(out)
 
 
 def _refill(shape: str, digits: str) -> str:
@@ -227,35 +248,53 @@ _BY_KIND: dict[str, Callable[[bytes, str], str | None]] = {"email": _email, "ip"
 
 
 @lru_cache(maxsize=1 << 16)
-def pseudonym(key: bytes, kind: str, value: str) -> str | None:
-    """The value's pseudonym, or None if the value fails its kind's check."""
+def _remembered(key: bytes, kind: str, value: str) -> str | None:
     return _BY_KIND[kind](key, value)
 
 
-_MARK = re.compile("[0-9@]+")
-#: Characters to either side of digits or @ that a value may begin or end within, and at most.
-_NEAR, _FAR = 80, 400
+def pseudonym(key: bytes, kind: str, value: str) -> str | None:
+    """The value's pseudonym, or None if the value fails its kind's check. Values of an ordinary length are remembered."""
+    return _remembered(key, kind, value) if len(value) <= 100 else _BY_KIND[kind](key, value)
+
+
+_MARKED = re.compile(r"[0-9@]\S*+")
+#: More characters than any value but an e-mail address or a secret has. Only these have no greatest length, and neither has a space after its first digit or @.
+_LONGEST = 48
+
+
+def _token_start(text: str, at: int, least: int) -> int:
+    """Where what stands between spaces or line ends begins, or ``least``."""
+    return max(least, text.rfind(" ", least, at) + 1, text.rfind("\n", least, at) + 1)
+
+
+def _before_spaces(text: str, at: int, least: int) -> int:
+    while at > least and text[at - 1].isspace():
+        at -= 1
+    return at
 
 
 def _windows(text: str) -> list[list[int]]:
-    """Parts of the text, between spaces where there are some, that hold all its digits and @ with what belongs to them."""
+    """Parts of the text that hold every value with all that its pattern reads, however long it is.
+
+    Every kind has a digit or @. A part goes from the begin of what stands between spaces around one (with the
+    name and = or : of a secret before that) to its end and _LONGEST characters on, for groups that follow.
+    """
     out: list[list[int]] = []
-    for found in _MARK.finditer(text):
-        s, e = found.span()
-        if out and s - _NEAR <= out[-1][1]:
-            out[-1][1] = e + _NEAR
+    for found in _MARKED.finditer(text):
+        end = found.end() + _LONGEST
+        least = out[-1][1] if out else 0
+        if found.start() <= least and out:
+            out[-1][1] = end
+            continue
+        start = _token_start(text, found.start(), least)
+        sign = _before_spaces(text, start, least)
+        if sign > least and text[sign - 1] in "=:":
+            start = _token_start(text, _before_spaces(text, sign - 1, least), least)
+        if out and start <= least:
+            out[-1][1] = end
         else:
-            out.append([max(0, s - _NEAR), e + _NEAR])
-    for k, (s, e) in enumerate(out):
-        least = max(out[k - 1][1] if k else 0, s - _FAR)
-        space = max(text.rfind(" ", least, s), text.rfind("\n", least, s))
-        if s and space >= 0:
-            s = space + 1
-        elif s:
-            s = least
-        space = text.find(" ", e, e + _FAR)
-        out[k] = [s, min(len(text), e + _FAR if space < 0 else space)]
-    return out
+            out.append([start, end])
+    return [[s, min(e, len(text))] for s, e in out]
 
 
 #: Kinds whose pattern may take in groups of letters or digits that follow the value.
@@ -272,29 +311,54 @@ def _shorter(text: str, key: bytes, kind: str, begin: int, end: int) -> tuple[in
     return end, None
 
 
-def replace(text: str, key: bytes) -> tuple[str, list[int]]:
-    """The text with pseudonyms, and how many of each of KINDS it has."""
+def _next_email(text: str, pos: int, stop: int) -> tuple[int, int, int] | None:
+    """Begin, @ and end of the first e-mail address."""
+    at = text.find("@", pos, stop)
+    while at >= 0:
+        begin = at
+        while begin > pos and ((c := text[begin - 1]).isalnum() or c in "_.%+-"):
+            begin -= 1
+        if begin < at and (found := _DOMAIN.match(text, at + 1, stop)):
+            return begin, at, found.end()
+        pos, at = at, text.find("@", at + 1, stop)
+    return None
+
+
+def replace(text: str, key: bytes, windows: list[list[int]] | None = None) -> tuple[str, list[int]]:
+    """The text with pseudonyms, and how many of each of KINDS it has. Of values that begin at one place an
+    e-mail address comes first."""
     counts, out, at, pos = [0] * len(KINDS), [], 0, 0
-    for start, stop in _windows(text):
+    for start, stop in _windows(text) if windows is None else windows:
         pos = max(pos, start)
-        while found := _PATTERN.search(text, pos, stop):
-            kind = next(k for k in KINDS if found[k] is not None)
-            begin, end = found.span(kind)
-            new = pseudonym(key, kind, found[kind])
-            if new is None and kind in _GROUPED:
-                end, new = _shorter(text, key, kind, begin, end)
+        mail, found = _next_email(text, pos, stop), _PATTERN.search(text, pos, stop)
+        while mail or found:
+            if mail and (not found or mail[0] <= found.start()):
+                kind, begin, end = "email", mail[0], mail[2]
+                new = pseudonym(key, kind, text[begin:end])
+            else:
+                kind = next(k for k in KINDS[1:] if found[k] is not None)
+                begin, end = found.span(kind)
+                new = pseudonym(key, kind, found[kind])
+                if new is None and kind in _GROUPED:
+                    end, new = _shorter(text, key, kind, begin, end)
             if new is not None:
                 counts[KINDS.index(kind)] += 1
                 out += [text[at:begin], new]
                 at = pos = end
             else:
                 pos = begin + 1  # another value may begin inside
+            if mail and mail[0] < pos:
+                mail = (pos, *mail[1:]) if pos < mail[1] else _next_email(text, pos, stop)
+            if found and found.start() < pos:
+                found = _PATTERN.search(text, pos, stop)
     return "".join([*out, text[at:]]), counts
 
 
 def pseudonymise(docs: DataFrame, key: str, *, text: str = "text", counts: bool = True) -> DataFrame:
     """``docs`` with ``text`` pseudonymised; with ``counts``, also a column n_<kind> for each kind, which
     replaces a column of that name."""
+    if not key:
+        raise ValueError("pseudonyms need a key")
     names = [f"n_{k}" for k in KINDS] if counts else []
     given = docs.drop(*names) if counts else docs
     schema = T.StructType(list(given.schema.fields))

@@ -1,6 +1,9 @@
 import datetime
+import random
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from frameloom.llm import pii
 
@@ -98,3 +101,59 @@ def test_tables(spark):
     assert got[5].n_ip == 2 and len(set(got[5].text.split())) == 1 and got[2].n_email == 1
     assert pii.pseudonymise(df, "key", counts=False).columns == df.columns
     assert pii.digest(df.limit(0), "key").count() == 0
+
+
+def whole(text):
+    return pii.replace(text, KEY, [[0, len(text)]])
+
+
+@pytest.mark.parametrize("n", [20, 79, 81, 399, 401, 600, 5000, 100_000])
+@pytest.mark.parametrize("make", [lambda n: "token = 1a" + "f" * n, lambda n: f"key:\n{'9b' * (n // 2)}", lambda n: "a" * n + "@example.org", lambda n: f"x1@{'b' * n}.example.org", lambda n: "secret" + " " * n + "= " + " " * n + "0123456789abcdef0"])
+def test_values_of_any_length(make, n):
+    value = make(n)
+    text = f"first {value} then 4111111111111111 " + "and " * 200
+    new, counts = pii.replace(text, KEY)
+    assert (new, counts) == whole(text)
+    assert sum(counts) == 2 and len(new) == len(text) and new.startswith("first ") and new.endswith(text[-800:])
+    changed = sum(a != b for a, b in zip(new, text, strict=True))
+    assert n < 5000 or "secret" in value or changed > n * 0.8  # no part of the value is left
+    assert pii.replace(f"({value})", KEY)[0] == f"({new[6 : 6 + len(value)]})"  # linked in other surroundings
+
+
+PARTS = ["4111 1111 1111 1111", "2019", "AT61 1904 3002 3457 3201", "a.b@c.org", "(030) 1234567", "+49 30 1234 5678", "10.0.0.1", "key", "=", ":", "0123456789abcdef00", "token", "31.12.1999", "078-05-1120", "ABCD", "wort", " ", " ", "\n", "\t", "\u3000", "@", "-", ".", "é", "x" * 60, "1", "b@", "@c.d"]
+
+
+def test_windows_lose_nothing():
+    rng = random.Random(3)
+    for _ in range(4000):
+        text = "".join(rng.choice(PARTS) + rng.choice(["", " ", " "]) for _ in range(rng.randint(1, 25)))
+        assert pii.replace(text, KEY) == whole(text), repr(text)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="09a@.+- =:(\nkeyKEY", max_size=80))
+def test_windows_lose_nothing_in_any_text(text):
+    assert pii.replace(text, KEY) == whole(text)
+
+
+def test_a_key_is_needed(spark):
+    with pytest.raises(ValueError):
+        pii.pseudonymise(spark.createDataFrame([(1, "a")], "doc_id long, text string"), "")
+
+
+@pytest.mark.parametrize("kind", ["ip", "ssn", "card", "date"])
+def test_no_two_values_share_a_pseudonym(kind):
+    rng = random.Random(kind)
+    made = {}
+    for _ in range(2000):
+        if kind == "ip":
+            v = ".".join(str(rng.randint(0, 255)) for _ in range(4))
+        elif kind == "ssn":
+            v = f"{rng.randint(1, 665):03d}-{rng.randint(1, 99):02d}-{rng.randint(1, 9999):04d}"
+        elif kind == "card":
+            d = f"{rng.randrange(10**15):015d}"
+            v = d + pii.luhn_digit(d)
+        else:
+            v = (datetime.date(1900, 1, 1) + datetime.timedelta(rng.randrange(36000))).isoformat()
+        new = pii.pseudonym(KEY, kind, v)
+        assert new not in (None, v) and made.setdefault(new, v) == v
