@@ -8,13 +8,16 @@ estimates the inner product without bias, with an error bound. The k best estima
 original vectors, in double precision; every other vector whose upper bound reaches the least of
 those scores is reranked too.
 
-Queries meet all rows in blocks: candidates are packed into blocks of about BLOCK rows, each block
-goes to every block of queries by an equi-join on the query block, and yields k rows a query at
-most, from which a partial top k per query remains.
+Candidates are dealt out once, to blocks of about BLOCK_BYTES, and stay there; the queries, a stated part of
+the rows, come to each block. A block makes its codes once, takes the queries in Arrow batches and
+yields k rows a query at most, from which the k nearest of all blocks are taken.
 
 Defined results: a vector that is null, of another dimension than the most common one, all zeros or
-with a null or non-finite component takes no part, as query or candidate; a null id neither. Rows
-that repeat an id are all candidates. Ties go to the smaller id. An empty table gives no rows.
+with a null or non-finite component takes no part, as query or candidate; a null id neither. Rows that
+repeat id and vector count once, however many they are; an id with several vectors is a candidate with
+each and, where it asks, a query with each, of which no row of its own id is a candidate. Ties go to
+the smaller id. An empty table, or one without queries, gives no rows. Columns other than id and
+vector, of whatever names, don't matter; texts there are none.
 """
 
 from __future__ import annotations
@@ -26,12 +29,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
-
-#: Rows in a block of candidates, and queries in a block.
-BLOCK, QUERY_BLOCK = 32768, 1024
+#: Bytes of vectors in a block of candidates, in double precision; and the rows that a smaller block is worth a task for.
+BLOCK_BYTES, LEAST_ROWS = 32 << 20, 2048
 #: Standard deviations that the error bound spans.
-EPSILON = 2.0
+EPSILON = 2.5
 _PLANES = 4
 _CELLS = 1 << 18  # estimates that a task holds at once
 
@@ -105,10 +106,10 @@ def exact_scores(queries: np.ndarray, vectors: np.ndarray, q: np.ndarray, c: np.
     return out
 
 
-def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, centre: np.ndarray, turn: np.ndarray, epsilon: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query positions, candidate positions and scores of each query's k nearest in the block."""
-    codes = Codes(vectors, centre, turn)
-    by_query, by_vector = np.ascontiguousarray(queries.T), np.ascontiguousarray(vectors.T)
+def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, codes: Codes, by_vector: np.ndarray, k: int, centre: np.ndarray, turn: np.ndarray, epsilon: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query positions, candidate positions and scores of each query's k nearest in the block, whose vectors
+    ``by_vector`` has as columns."""
+    by_query = np.ascontiguousarray(queries.T)
     found = []
     step = max(1, _CELLS // max(1, len(ids)))
     for at in range(0, len(queries), step):
@@ -143,46 +144,57 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int, *, vec_id: str = "vec_id", vector: str = "embedding", epsilon: float = EPSILON, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+class _Block:
+    """A block's candidates, of those that repeat one each."""
+
+    def __init__(self, parts: list[pa.RecordBatch], dim: int, centre: np.ndarray, turn: np.ndarray):
+        names = np.concatenate([np.stack([b.column(k).to_numpy() for k in (2, 3)], axis=1) for b in parts])
+        one = np.unique(np.ascontiguousarray(names).view("i8,i8").reshape(-1), return_index=True)[1]
+        vectors = np.concatenate([_matrix(b.column(4), dim) for b in parts])[one]
+        self.ids, self.keys = names[one, 0], names[one, 1]
+        self.codes, self.by_vector = Codes(vectors, centre, turn), np.ascontiguousarray(vectors.T)
+
+
+def nearest(vectors: DataFrame, is_query: Column, k: int, *, vec_id: str = "vec_id", vector: str = "embedding", epsilon: float = EPSILON, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k nearest other rows by inner product."""
     spark = vectors.sparkSession
+    none = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     given = vectors.where(F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     sizes = given.where(F.col("vector").isNotNull()).groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    out = "query_id long, vec_id long, score double"
     if sizes is None or not sizes.dim:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return none
     dim = sizes.dim
-    given = given.where(usable(F.col("vector"), dim))
-    row = given.agg(F.count("*").alias("n"), F.sum(F.col("asks").cast("long")).alias("asked"), *[F.avg(F.get("vector", k)).alias(f"c{k}") for k in range(dim)]).first()
+    given = given.where(usable(F.col("vector"), dim)).withColumn("key", F.xxhash64("vector"))
+    row = given.agg(F.count("*").alias("n"), F.max("asks").alias("asked"), *[F.avg(F.get("vector", k)).alias(f"c{k}") for k in range(dim)]).first()
     if not row.asked:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    centre = np.array([row[f"c{k}"] for k in range(dim)])
-    turn = rotation(dim)
-    blocks, asked = -(-row.n // block), -(-row.asked // query_block)
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = list(batches)  # a block: about ``block`` rows, whatever their vectors
-        ids = np.concatenate([b.column(0).to_numpy(zero_copy_only=False) for b in parts]).astype("<i8")
-        data = np.concatenate([_matrix(b.column(1), dim) for b in parts])
-        yield pa.RecordBatch.from_arrays([pa.array([parts[0].column(2)[0].as_py()], pa.int64()), pa.array([ids.tobytes()], pa.binary()), pa.array([data.astype("<f8").tobytes()], pa.binary())], names=["block", "ids", "data"])
-
-    def blocked(df: DataFrame, n: int, name: str) -> DataFrame:
-        keyed = df.select("vec_id", "vector", F.pmod(F.xxhash64("vec_id", F.rand(3)), F.lit(n)).alias("block"))
-        return keyed.groupBy("block").applyInArrow(pack, "block long, ids binary, data binary").select(F.col("block").alias(name), F.col("ids").alias(f"{name}_ids"), F.col("data").alias(f"{name}_data"))
-
-    candidates = cut(blocked(given, blocks, "c"))
-    queries = cut(blocked(given.where("asks"), asked, "q"))
-    # every pair of blocks is a row of its own before the join, so pairs are dealt out evenly
-    pairs = candidates.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(asked - 1)).cast("array<bigint>"))).repartition(max(1, min(blocks * asked, 20_000)), "q", "c")
+        return none
+    centre, turn = np.array([row[f"c{k}"] for k in range(dim)]), rotation(dim)
+    blocks = max(-(-row.n * dim * 8 // block_bytes), min(spark.sparkContext.defaultParallelism, -(-row.n // LEAST_ROWS)))
+    # the partition's number spreads rows that repeat; it is the same when a task runs again
+    own = F.pmod(F.xxhash64("vec_id", "key", F.spark_partition_id()), F.lit(blocks)).cast("int")
+    candidates = given.select(own.alias("block"), F.lit(0).alias("kind"), "vec_id", "key", "vector")
+    queries = given.where("asks").dropDuplicates(["vec_id", "key"]).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("kind"), "vec_id", "key", "vector")
+    dealt = candidates.unionByName(queries).repartition(blocks, "block").sortWithinPartitions("block", "kind")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts, block = None, [], None  # the block's number, its candidates while they come, and then all of it
         for batch in batches:
-            for query_ids, query_data, ids, data in zip(*[batch.column(k).to_pylist() for k in range(4)], strict=True):
-                own, other = np.frombuffer(query_ids, "<i8"), np.frombuffer(ids, "<i8")
-                q, c, score = search_block(own, np.frombuffer(query_data, "<f8").reshape(-1, dim), other, np.frombuffer(data, "<f8").reshape(-1, dim), k, centre, turn, epsilon)
-                yield pa.RecordBatch.from_arrays([pa.array(own[q]), pa.array(other[c]), pa.array(score)], names=["query_id", "vec_id", "score"])
-
-    met = pairs.join(queries, "q").select("q_ids", "q_data", "c_ids", "c_data")
-    near = met.mapInArrow(search, out)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+            number, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            ends = [0, *(np.flatnonzero((np.diff(number) != 0) | (np.diff(kind) != 0)) + 1).tolist(), len(number)]
+            for s, e in zip(ends[:-1], ends[1:], strict=True):
+                if number[s] != at:
+                    at, parts, block = number[s], [], None
+                rows = batch.slice(s, e - s)
+                if kind[s] == 0:
+                    parts.append(rows)
+                    continue
+                if block is None and parts:
+                    block, parts = _Block(parts, dim, centre, turn), []
+                if block is not None:
+                    ids, keys = rows.column(2).to_numpy(), rows.column(3).to_numpy()
+                    q, c, score = search_block(ids, _matrix(rows.column(4), dim), block.ids, block.codes, block.by_vector, k, centre, turn, epsilon)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[q], keys[q], block.ids[c], block.keys[c], score)], names=["query_id", "query_key", "vec_id", "key", "score"])
+
+    near = dealt.mapInArrow(search, "query_id long, query_key long, vec_id long, key long, score double").distinct()
+    order = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -23,7 +23,7 @@ def test_against_brute_force(spark, n):
     rows += [(1000, None), (1020, [0.0] * 8), (1040, [float("nan")] * 8), (1060, [1.0] * 7 + [None]), (1080, [1.0]), (1100, [float("inf")] * 8), (None, [1.0] * 8)]
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<float>, score string")
     got = {}
-    for r in annsearch.nearest(df, F.col("vec_id") % 20 == 0, 20, block=100, query_block=7).orderBy("query_id", "rank").collect():
+    for r in annsearch.nearest(df, F.col("vec_id") % 20 == 0, 20, block_bytes=8 * 8 * 100).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
     want = brute([r for r in rows if r[0] is not None], 20)
     assert set(got) == set(want)
@@ -51,3 +51,35 @@ def test_estimates_are_near_and_bounded():
     err = guess - v[:50] @ v.T
     assert abs(err.mean()) < 0.01
     assert (np.abs(err) <= off).mean() > 0.98
+
+
+def test_rows_that_repeat(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(60)]
+    df = spark.createDataFrame(rows + rows + [rows[7]] * 500, "vec_id long, embedding array<double>").repartition(5)
+    got = annsearch.nearest(df, F.col("vec_id") % 20 == 0, 20, block_bytes=8 * 8 * 16).orderBy("query_id", "rank").collect()
+    want = brute(rows, 20)
+    assert [(r.query_id, r.rank, r.vec_id) for r in got] == [(q, k, j) for q in sorted(want) for k, (j, _) in enumerate(want[q], 1)]
+
+
+def test_an_id_with_several_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [2.0, 0.0]), (1, [0.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = annsearch.nearest(df, F.col("vec_id") == 0, 20).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == [(0, 1, 1, 2.0), (0, 1, 1, 3.0), (0, 2, 1, 0.0), (0, 2, 1, 0.0)]
+
+
+@pytest.mark.parametrize("dim", [64, 768])
+def test_recall_at_the_production_bound(dim):
+    """Recall of the search itself with its own parameters, on clustered vectors."""
+    rng = np.random.default_rng(dim)
+    centres = rng.normal(size=(40, dim))
+    v = centres[rng.integers(0, 40, 6000)] + 0.7 * rng.normal(size=(6000, dim))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    ids, q = np.arange(6000), np.arange(0, 6000, 120)
+    centre, turn = v.mean(axis=0), annsearch.rotation(dim)
+    own, found, _ = annsearch.search_block(q, v[q], ids, annsearch.Codes(v, centre, turn), np.ascontiguousarray(v.T), 20, centre, turn, annsearch.EPSILON)
+    scores = v[q] @ v.T
+    scores[np.arange(len(q)), q] = -np.inf
+    best = np.argsort(-scores, axis=1)[:, :20]
+    assert np.mean([len(set(found[own == k]) & set(best[k])) / 20 for k in range(len(q))]) >= 0.99
