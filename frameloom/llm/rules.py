@@ -3,15 +3,22 @@
 Every rule is a predicate that rejects a text. On a bounded sample each rule's cost (seconds a row)
 and its selectivity (share rejected) are estimated; rules then run in the order of rejections per
 cost, and a text that one rule rejects isn't tested by the next. The order changes the work, never
-the verdict: a text is kept if no rule rejects it.
+the verdict: a text is kept if no rule rejects it. The base tests' counts are results of their own,
+so these tests run first, whatever they cost; their costs are estimated with the others'.
+
+A cost is the slope of a job's time over the rows: the sample is taken so many times over in one task
+that what is added takes TELLING seconds, whatever a job itself takes. Costs too small to be told
+count as the least that can, so that timing noise doesn't order such rules: their rejections do.
 
 Defined results: a null text has no words, like an empty one, and fails the base test; rows are
-judged one by one, so repeated rows, ties and other columns don't matter. An empty table has no
-sample: the rules then run in the order given.
+judged one by one, so repeated rows, ties and other columns, of whatever names, don't matter; a
+very long text is judged whole, in one task. An empty table has no sample and gives no rows: the rules
+then run in the order given.
 """
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
@@ -26,6 +33,10 @@ _SPACES = " \t\n\x0b\x0c\r"
 _SYMBOLS = "[#*$%&|<>]+"
 #: Repeated windows up to which places are looked up in their list; with more, windows are sorted with their places.
 _LISTED = 32
+#: Seconds of a rule's own work that tell its cost, and the most often that the sample is taken for that.
+TELLING, MOST_COPIES = 0.1, 256
+#: Names of the base tests in a cascade's costs.
+BASE = ("base: few words", "base: repeated windows")
 
 
 @dataclass(frozen=True)
@@ -126,7 +137,7 @@ RULES: tuple[QualityRule, ...] = (
 
 @dataclass(frozen=True)
 class Cascade:
-    """Rules in their order, with the seconds a row and the share rejected that led to it."""
+    """Rules in their order, with the seconds a row and the share rejected that led to it, those of the base tests too."""
 
     rules: tuple[QualityRule, ...]
     cost: dict[str, float]
@@ -141,35 +152,44 @@ class Cascade:
         return F.lit(True) if out is None else out.otherwise(F.lit(True))
 
 
-def plan(docs: DataFrame, rules: Sequence[QualityRule] = RULES, *, doc_id: str = "doc_id", text: str = "text", sample_rows: int = 1000, repeats: int = 2) -> Cascade:
-    """Order the rules on ``sample_rows`` texts at most: rows whose ids come first in a hash order.
-
-    Each rule alone is timed over the sample's counts; reading the sample, timed too, is taken off.
-    The sample's ids are chosen without reading texts.
-    """
-    ids = docs.select(F.col(doc_id).alias("_id")).where("_id IS NOT NULL").distinct().orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_of")).join(F.broadcast(ids), "_id")  # at most sample_rows ids
-    sample = cut(with_counts(rows, "_of", []))
-    n = sample.count()
-    if not n:
-        return Cascade(tuple(rules), {}, {})
+def _cost(sample: DataFrame, n: int, test: Column) -> float:
+    """Seconds that ``test`` takes a row, from what three times more copies of the sample's rows take, in one task."""
 
-    def seconds(column: Column) -> float:
-        best = float("inf")
-        for _ in range(repeats):
+    def seconds(copies: int) -> float:
+        rows = sample.select("*", F.explode(F.sequence(F.lit(1), F.lit(copies))))
+        asked, best = rows.agg(F.sum(test.cast("int"))), math.inf
+        for _ in range(3):
             began = time.perf_counter()
-            sample.agg(F.sum(column.cast("int"))).collect()
+            asked.collect()
             best = min(best, time.perf_counter() - began)
         return best
 
-    verdicts = {r.name: F.coalesce(r.rejects(F.col("_text")), F.lit(False)) for r in rules}
-    for column in verdicts.values():  # compiled and warm before any is timed
-        sample.agg(F.sum(column.cast("int"))).collect()
-    reading = seconds(F.length("_text") >= 0)
-    cost = {name: max(reading / 20, seconds(column) - reading) / n for name, column in verdicts.items()}
-    row = sample.agg(*[F.avg(column.cast("int")).alias(name) for name, column in verdicts.items()]).first()
-    order = sorted(rules, key=lambda r: (-row[r.name] / cost[r.name], r.name))
-    return Cascade(tuple(order), cost, {r.name: row[r.name] for r in rules})
+    copies, few = 1, seconds(1)
+    while True:
+        many = seconds(4 * copies)
+        if many - few >= TELLING or 4 * copies >= MOST_COPIES:
+            return max(0.0, many - few) / (3 * copies * n)
+        copies, few = 4 * copies, many
+
+
+def plan(docs: DataFrame, rules: Sequence[QualityRule] = RULES, *, text: str = "text", sample_rows: int = 1000) -> Cascade:
+    """Order the rules on a sample of ``sample_rows`` texts on average, each row being drawn by itself."""
+    total = docs.count()
+    if not total:
+        return Cascade(tuple(rules), {}, {})
+    rows = docs.select(F.col(text).alias("of")).sample(min(1.0, sample_rows / total), seed=11)
+    sample = cut(with_counts(rows, "of", []).coalesce(1))
+    n = sample.count()
+    if not n:
+        return Cascade(tuple(rules), {}, {})
+    of = F.col("_text")
+    tests = {r.name: F.coalesce(r.rejects(of), F.lit(False)) for r in rules} | {BASE[0]: F.size(words_in(of)) < 50, BASE[1]: _held(words_in(of), lambda w: 100 * repeat_words(w) > 50 * F.size(w))}
+    least = TELLING / (3 * MOST_COPIES / 4 * n)  # what is below can't be told
+    cost = {name: max(least, _cost(sample, n, test)) for name, test in tests.items()}
+    row = sample.agg(*[F.avg(test.cast("int")).alias(name) for name, test in tests.items()]).first()
+
+    order = sorted(rules, key=lambda r: (-row[r.name] / cost[r.name], cost[r.name], r.name))
+    return Cascade(tuple(order), cost, {name: row[name] for name in tests})
 
 
 def judge(docs: DataFrame, cascade: Cascade, *, text: str = "text", keep: list[str]) -> DataFrame:

@@ -48,6 +48,26 @@ def test_counts_and_verdicts(spark):
     assert {r[0]: tuple(r)[1:] for r in shuffled.collect()} == got
 
 
+def test_the_order_is_stable(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(rules, "MOST_COPIES", 64)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    plans = [rules.plan(docs) for _ in range(10)]
+    assert len({tuple(r.name for r in p.rules) for p in plans}) == 1
+    first = plans[0]
+    assert set(first.cost) == set(first.rejected) == {r.name for r in rules.RULES} | set(rules.BASE)
+    assert first.cost["symbols"] < first.cost["marks"] < first.cost["capitals"] < first.cost[rules.BASE[1]]
+
+
+def test_both_forms_of_repeats(spark, monkeypatch):
+    """Few repeated windows are looked up in a list, many are sorted: the same counts whichever form is taken."""
+    rows = list(enumerate(texts()))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for listed in (0, 2, 10**6):
+        monkeypatch.setattr(rules, "_LISTED", listed)
+        got = {r.doc_id: r.n_repeat_words for r in rules.with_counts(df, "text", ["doc_id"]).collect()}
+        assert got == {i: brute(t)[4] for i, t in rows}
+
+
 def test_native_and_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     cascade = rules.plan(df)
