@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +21,17 @@ SPACES = "[\\x20\\x09-\\x0D]+"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Only where the session names none, a temporary one is set (tests)."""
+    """The folder all executors share, which the session must name: a folder of one machine won't do. Only a
+    local session, which has one machine, may leave it out."""
     held = spark.sparkContext.getCheckpointDir()
     if held:
         return held
     named = spark.conf.get("spark.checkpoint.dir", None)
-    spark.sparkContext.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='checkpoints-')}")
+    if not named:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = f"file://{tempfile.mkdtemp(prefix='checkpoints-')}"
+    spark.sparkContext.setCheckpointDir(named)
     return spark.sparkContext.getCheckpointDir()
 
 
@@ -43,6 +49,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def free_name(columns: Iterable[str], name: str) -> str:
+    """``name`` with as many underscores before it as make it unlike all columns, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while (name := f"_{name}").lower() in taken:
+        pass
+    return name
+
+
 def crc_mod(id_col: Column, m: int) -> Column:
     """crc32 of the id as text, modulo ``m``; null for a null id."""
     return F.crc32(id_col.cast("string").cast("binary")) % F.lit(m)

@@ -4,9 +4,14 @@ Documents are counted into cells of source, language and topic. Cell token weigh
 their marginals meet the targets; a cell's documents are then sampled with probability
 proportional to raked over actual tokens, calibrated so that the expected tokens are the wanted share.
 
-Defined results: null dimensions are a value of their own; a null text has 0 tokens and is
-sampled with its cell's probability (1 where the cell has no tokens at all); rows with a null id are
-drawn by their text; rows that repeat an id share its fate; an empty table gives an empty result.
+Cells are a table from first to last, however few or many there are: a round of raking is a grouped sum
+and an equi-join for each dimension, and calibration is a few sums. Only single numbers come to the
+driver.
+
+Defined results: null dimensions are a value of their own; a null or empty text has 0 tokens and is
+sampled with its cell's probability (1 where the cell has no tokens at all); a very long text counts
+whole; rows with a null id are drawn by their text; rows that repeat an id share its fate; an empty
+table gives an empty result; columns other than those used stay as they are, whatever their names.
 Targets name shares for values; a value that is not named weighs 0, a named value that no document
 has is left out and the other shares are scaled up.
 """
@@ -16,17 +21,17 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, cut
+from .common import SPACES, cut, free_name
 
 #: What stands for a null dimension.
 NONE = "(none)"
-#: Cells that the driver rakes; with more, the same sums run as DataFrame jobs.
-DRIVER_CELLS = 200_000
+#: Cells up to which they are broadcast to the documents (their number is counted); more are dealt out with them, each in so many copies, among which a cell's documents are spread.
+BROADCAST_CELLS, COPIES = 200_000, 64
+#: Names that a dimension can't have.
+_TAKEN = ("doc_id", "docs", "tokens", "raked", "prob", "weight", "draw", "sampled")
 
 
 def token_count(text: Column) -> Column:
@@ -50,148 +55,126 @@ def topic_of(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class Raked:
-    """One row per cell: the dimensions, docs, tokens, raked (tokens) and prob."""
+    """One row per cell: the dimensions, docs, tokens, raked (tokens) and prob; and how many cells there are."""
 
     cells: DataFrame
     dims: tuple[str, ...]
-    small: bool
+    n: int
 
 
-def tempered(marginal: Mapping[str, float], power: float) -> dict[str, float]:
-    """Shares proportional to a power of the tokens: below 1, small values gain."""
-    w = {k: v**power for k, v in marginal.items() if v > 0}
-    total = sum(w.values())
-    return {k: v / total for k, v in w.items()}
+def _shares(cells: DataFrame, dim: str, target: Mapping[str, float] | float) -> DataFrame:
+    """dim and share: as named, or proportional to a power of the tokens (below 1, small values gain)."""
+    if isinstance(target, Mapping):
+        return cells.sparkSession.createDataFrame([(str(k), float(v)) for k, v in target.items()], "value string, share double").withColumnRenamed("value", dim)
+    power = F.pow(F.sum("tokens").cast("double") / F.lit(float(cells.agg(F.sum("tokens")).first()[0] or 1)), F.lit(float(target)))
+    return cut(cells.groupBy(dim).agg(F.when(F.sum("tokens") > 0, power).otherwise(0.0).alias("share")))
 
 
-def rake(tokens: np.ndarray, codes: Sequence[np.ndarray], shares: Sequence[np.ndarray], *, rounds: int = 500, close: float = 1e-10) -> np.ndarray:
-    """Weights with the marginals ``shares`` (of the tokens' total), as near to ``tokens`` as raking gives."""
-    w, total = tokens.astype(float).copy(), float(tokens.sum())
-    for _ in range(rounds):
-        worst = 0.0
-        for code, share in zip(codes, shares, strict=True):
-            now = np.bincount(code, weights=w, minlength=len(share))
-            want = np.where(now > 0, share, 0.0)
-            want = want / max(want.sum(), 1e-300) * total
-            factor = np.divide(want, now, out=np.zeros_like(want), where=now > 0)
-            worst = max(worst, float(np.abs(np.where(want > 0, factor, 1.0) - 1).max(initial=0.0)))
-            w *= factor[code]
-        if worst < close:
-            break
-    return w
+def rake(cells: DataFrame, dims: Sequence[str], targets: Mapping[str, Mapping[str, float] | float], *, rounds: int = 500, close: float = 1e-10) -> DataFrame:
+    """``cells`` with raked: weights as near to tokens as raking gives, whose marginals are in the targets' proportions.
 
-
-def probabilities(tokens: np.ndarray, raked: np.ndarray, keep: float | None) -> np.ndarray:
-    """min(1, c * raked / tokens), with c such that the expected tokens are ``keep`` of all (at most what
-    the cells with a weight hold); without ``keep``, the largest c that caps nothing. Cells without tokens get 1."""
-    has = tokens > 0
-    ratio = np.divide(raked, tokens, out=np.zeros(len(tokens)), where=has)
-    if not has.any() or ratio.max() <= 0:
-        return np.where(has, 0.0, 1.0)
-    if keep is None:
-        p = ratio / ratio.max()
-    else:
-        order = np.argsort(-ratio, kind="stable")
-        t, r, wanted = tokens[order].astype(float), ratio[order], keep * float(tokens.sum())
-        capped = np.concatenate([[0.0], np.cumsum(t)])
-        rest = np.concatenate([np.cumsum((t * r)[::-1])[::-1], [0.0]])
-        c = np.inf
-        for k in range(len(t)):  # the k largest ratios are capped
-            c = (wanted - capped[k]) / rest[k] if rest[k] > 0 else np.inf
-            if not np.isfinite(c) or c * r[k] <= 1:
-                break
-        p = np.where(ratio > 0, np.minimum(1.0, c * np.maximum(ratio, 0)), 0.0) if np.isfinite(c) else (ratio > 0).astype(float)
-    return np.where(has, np.clip(p, 0, 1), 1.0)
-
-
-def _rake_frame(cells: DataFrame, dims: Sequence[str], shares: Sequence[DataFrame], total: float, rounds: int, close: float) -> DataFrame:
-    """The same raking for any number of cells: a grouped sum and an equi-join for each dimension."""
+    A dimension's step multiplies the cells of each value by one factor. Steps are taken without scaling to the
+    total, which later steps would undo; it is done once, at the end. Raking has settled when a
+    round's factors of each dimension differ by ``close`` at most.
+    """
+    shares = [_shares(cells, d, targets[d]) for d in dims]
     now = cells.withColumn("raked", F.col("tokens").cast("double"))
+    factors = [f"factor{k}" for k in range(len(dims))]
     for _ in range(rounds):
-        worst = 0.0
-        for dim, share in zip(dims, shares, strict=True):
-            sums = now.groupBy(dim).agg(F.sum("raked").alias("_now")).join(share.withColumnRenamed("value", dim), dim, "left").fillna(0.0, ["share"])
-            sums = cut(sums.withColumn("share", F.when(F.col("_now") > 0, F.col("share")).otherwise(0.0)))
-            named = sums.agg(F.sum("share")).first()[0] or 1e-300
-            factor = sums.select(dim, F.when(F.col("_now") > 0, F.col("share") / named * total / F.col("_now")).otherwise(0.0).alias("_factor"), F.col("share").alias("_share"))
-            worst = max(worst, factor.where("_share > 0").agg(F.max(F.abs(F.col("_factor") - 1))).first()[0] or 0.0)
-            now = now.join(factor.drop("_share"), dim).withColumn("raked", F.col("raked") * F.col("_factor")).drop("_factor")
+        now = now.drop(*factors)
+        for dim, share, name in zip(dims, shares, factors, strict=True):
+            sums = now.groupBy(dim).agg(F.sum("raked").alias("held")).join(share, dim, "left")
+            factor = F.when((F.col("held") > 0) & (F.col("share") > 0), F.col("share") / F.col("held")).otherwise(0.0)
+            now = now.join(sums.select(dim, factor.alias(name)), dim).withColumn("raked", F.col("raked") * F.col(name))
         now = cut(now)
-        if worst < close:
+        row = now.where("raked > 0").agg(*[(F.max(n) / F.min(n) - 1).alias(n) for n in factors], F.sum("raked").alias("total")).first()
+        if row.total is None or max(row[n] for n in factors) < close:
             break
-    return now
+    total = cells.agg(F.sum("tokens")).first()[0] or 0
+    return now.drop(*factors).withColumn("raked", F.col("raked") * F.lit(float(total) / (row.total or 1.0)))
+
+
+def calibration(raked: DataFrame, keep: float | None) -> float | None:
+    """The c for which min(1, c * raked / tokens) keeps ``keep`` of all tokens on average, or, where the cells with
+    a weight hold fewer, keeps all of theirs (infinity); without ``keep``, the largest c that caps nothing. None without a weight.
+
+    Each step solves for c with the cells that the last c caps; c only grows, and the cells are finite, so it ends.
+    """
+    ratio = F.col("raked") / F.col("tokens")
+    own = raked.where("raked > 0")
+    row = own.agg(F.max(ratio).alias("most"), F.sum("tokens").alias("held")).first()
+    if row.most is None:
+        return None
+    if keep is None:
+        return 1 / row.most
+    wanted = keep * float(raked.agg(F.sum("tokens")).first()[0])
+    if wanted >= row.held:
+        return float("inf")
+    c, capped = 0.0, -1
+    while True:
+        over = F.lit(c) * ratio > 1
+        row = own.agg(F.count_if(over).alias("n"), F.sum(F.when(over, F.col("tokens")).otherwise(0)).alias("full"), F.sum(F.when(over, 0.0).otherwise(F.col("raked"))).alias("rest")).first()
+        if row.n == capped or not row.rest:
+            return c
+        c, capped = (wanted - row.full) / row.rest, row.n
 
 
 def measure(docs: DataFrame, dims: Mapping[str, Column], *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, the dimensions, tokens and a uniform draw per row: a narrow table of the documents."""
-    draw = F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.col(text), F.lit("")), F.lit("draw"))
-    columns = [F.coalesce(c.cast("string"), F.lit(NONE)).alias(name) for name, c in dims.items()]
-    return docs.select(F.col(doc_id).alias("doc_id"), *columns, token_count(F.col(text)).alias("tokens"), (F.shiftrightunsigned(draw, 11) / float(1 << 53)).alias("draw"))
+    if set(dims) & set(_TAKEN):
+        raise ValueError(f"dimensions can't have the names {sorted(set(dims) & set(_TAKEN))}")
+    columns = [_value(c).alias(name) for name, c in dims.items()]
+    return docs.select(F.col(doc_id).alias("doc_id"), *columns, token_count(F.col(text)).alias("tokens"), _draw(doc_id, text).alias("draw"))
+
+
+def _value(dim: Column) -> Column:
+    return F.coalesce(dim.cast("string"), F.lit(NONE))
+
+
+def _draw(doc_id: str, text: str) -> Column:
+    """A number from 0 to 1 that depends on the id alone, or on the text of a row without one."""
+    drawn = F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.col(text), F.lit("")), F.lit("draw"))
+    return F.shiftrightunsigned(drawn, 11) / float(1 << 53)
 
 
-def fit(measured: DataFrame, dims: Sequence[str], targets: Mapping[str, Mapping[str, float] | float], *, keep: float | None = None, rounds: int = 500, close: float = 1e-10, driver_cells: int = DRIVER_CELLS) -> Raked:
+def fit(measured: DataFrame, dims: Sequence[str], targets: Mapping[str, Mapping[str, float] | float], *, keep: float | None = None, rounds: int = 500, close: float = 1e-10) -> Raked:
     """Rake the cells. A target is shares by value, or a power that tempers the marginal.
 
-    Cells are pre-aggregated before the shuffle; a hot source is as many partial rows as tasks. With
-    up to ``driver_cells`` cells the fitting is done on the driver, with more as DataFrame jobs.
+    Cells are pre-aggregated before the shuffle; a hot source is as many partial rows as tasks.
     """
     cells = cut(measured.groupBy(*dims).agg(F.count("*").alias("docs"), F.sum("tokens").alias("tokens")))
-    spark = measured.sparkSession
-    if cells.count() <= driver_cells:
-        got = cells.toPandas().sort_values(list(dims), ignore_index=True)
-        tokens = got["tokens"].to_numpy(float)
-        codes, shares = [], []
-        for dim in dims:
-            code, values = pd.factorize(got[dim], sort=True)
-            marginal = dict(zip(values, np.bincount(code, weights=tokens, minlength=len(values)).tolist(), strict=True))
-            given = targets[dim]
-            share = given if isinstance(given, Mapping) else tempered(marginal, float(given))
-            codes.append(code)
-            shares.append(np.array([share.get(v, 0.0) for v in values]))
-        raked = rake(tokens, codes, shares, rounds=rounds, close=close) if len(got) else np.zeros(0)
-        got["raked"], got["prob"] = raked, probabilities(tokens, raked, keep)
-        schema = cells.schema.add("raked", "double").add("prob", "double")
-        return Raked(spark.createDataFrame(got.to_records(index=False).tolist(), schema), tuple(dims), True)
-    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
-    frames = []
-    for dim in dims:
-        given = targets[dim]
-        if isinstance(given, Mapping):
-            frames.append(spark.createDataFrame(list(given.items()), "value string, share double"))
-        else:
-            power = cells.groupBy(F.col(dim).alias("value")).agg(F.pow(F.sum("tokens").cast("double"), F.lit(float(given))).alias("share"))
-            frames.append(cut(power))
-    now = _rake_frame(cells, dims, frames, total, rounds, close).withColumn("_ratio", F.when(F.col("tokens") > 0, F.col("raked") / F.col("tokens")).otherwise(0.0))
-    most = now.agg(F.max("_ratio")).first()[0] or 1.0
-    c = 1 / most
-    if keep is not None:  # bisect the calibration: each step is one sum over the cells
-        low, high = 0.0, 1e12 / most
-        for _ in range(100):
-            c = (low + high) / 2 if high < 1e3 * low else (low * high) ** 0.5 if low > 0 else high / 1e6
-            reached = now.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.lit(c) * F.col("_ratio")))).first()[0] or 0.0
-            low, high = (c, high) if reached < keep * total else (low, c)
-            if high - low <= 1e-12 * high:
-                break
-    prob = F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.lit(c) * F.col("_ratio"))).otherwise(1.0)
-    return Raked(cut(now.withColumn("prob", prob).drop("_ratio")), tuple(dims), False)
+    n = cells.count()
+    if not n:
+        return Raked(cells.withColumns({"raked": F.lit(0.0), "prob": F.lit(1.0)}), tuple(dims), 0)
+    raked = rake(cells, dims, targets, rounds=rounds, close=close)
+    c = calibration(raked, keep)
+    ratio = F.col("raked") / F.col("tokens")
+    prob = F.lit(0.0) if c is None else F.when(F.col("raked") > 0, F.least(F.lit(1.0), F.lit(c) * ratio)).otherwise(0.0)
+    return Raked(cut(raked.withColumn("prob", F.when(F.col("tokens") > 0, prob).otherwise(1.0))), tuple(dims), n)
+
+
+def _joined(rows: DataFrame, cells: DataFrame, keys: list[str], n: int, draw: str) -> DataFrame:
+    """Rows with their cells' columns: the cells are broadcast, or with many of them each goes to COPIES places,
+    among which ``draw`` spreads its rows, so that a hot cell is no hot key."""
+    if n <= BROADCAST_CELLS:
+        return rows.join(F.broadcast(cells), keys)
+    place = free_name([*rows.columns, *cells.columns], "place")
+    spread = cells.withColumn(place, F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
+    return rows.withColumn(place, F.floor(F.col(draw) * COPIES).cast("int")).join(spread, [*keys, place]).drop(place)
 
 
 def draw(measured: DataFrame, raked: Raked) -> DataFrame:
     """``measured`` with weight (raked over actual tokens), prob and sampled."""
     weight = F.when(F.col("tokens") > 0, F.col("raked") / F.col("tokens")).otherwise(0.0)
     cells = raked.cells.select(*raked.dims, weight.alias("weight"), "prob")
-    cells = F.broadcast(cells) if raked.small else cells  # at most driver_cells rows
-    return measured.join(cells, list(raked.dims)).withColumn("sampled", F.col("draw") < F.col("prob"))
+    return _joined(measured, cells, list(raked.dims), raked.n, "draw").withColumn("sampled", F.col("draw") < F.col("prob"))
 
 
 def mix(docs: DataFrame, dims: Mapping[str, Column], targets: Mapping[str, Mapping[str, float] | float], *, keep: float | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The sampled rows of ``docs`` with all their columns. The text isn't shuffled: a cell's probability
-    comes to the rows by a broadcast of the cells."""
-    measured = measure(docs, dims, doc_id=doc_id, text=text)
-    raked = fit(measured, list(dims), targets, keep=keep)
-    own = {f"_dim{k}": c for k, c in enumerate(dims.values())}
-    cells = raked.cells.select(*[F.col(d).alias(f"_dim{k}") for k, d in enumerate(dims)], F.col("prob").alias("_prob"))
-    cells = F.broadcast(cells) if raked.small else cells
-    value = F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.col(text), F.lit("")), F.lit("draw"))
-    rows = docs.withColumns({k: F.coalesce(c.cast("string"), F.lit(NONE)) for k, c in own.items()} | {"_draw": F.shiftrightunsigned(value, 11) / float(1 << 53)})
-    return rows.join(cells, list(own)).where("_draw < _prob").select(*docs.columns)
+    """The sampled rows of ``docs`` with all their columns. The text isn't shuffled where the cells are broadcast."""
+    raked = fit(measure(docs, dims, doc_id=doc_id, text=text), list(dims), targets, keep=keep)
+    own = {d: free_name(docs.columns, f"dim{k}") for k, d in enumerate(dims)}
+    prob, drawn = free_name(docs.columns, "prob"), free_name(docs.columns, "draw")
+    cells = raked.cells.select(*[F.col(d).alias(n) for d, n in own.items()], F.col("prob").alias(prob))
+    rows = docs.withColumns({own[d]: _value(c) for d, c in dims.items()} | {drawn: _draw(doc_id, text)})
+    return _joined(rows, cells, list(own.values()), raked.n, drawn).where(F.col(drawn) < F.col(prob)).select(*[docs[c] for c in docs.columns])

@@ -11,9 +11,6 @@ def docs(spark):
     return spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, lang string, source string, draw string")
 
 
-DIMS = {"source": F.col, "lang": F.col}
-
-
 def dims():
     return {"source": F.col("source"), "lang": F.col("lang"), "topic": mixing.topic_of(F.col("text"))}
 
@@ -39,21 +36,62 @@ def test_marginals_and_probabilities(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(drawn[drawn.sampled].doc_id)
 
 
-def test_frames_and_driver_agree(spark):
-    measured = mixing.cut(mixing.measure(docs(spark), dims()))
+def by_brute_force(cells, dims, targets, keep):
+    """Raking and calibration over a dict, value by value, to the last digit."""
+    total = sum(t for t in cells.values())
+    w = {c: float(t) for c, t in cells.items()}
+    shares = []
+    for k, dim in enumerate(dims):
+        own = {}
+        for c, t in cells.items():
+            own[c[k]] = own.get(c[k], 0) + t
+        shares.append(targets[dim] if isinstance(targets[dim], dict) else {v: t ** targets[dim] for v, t in own.items() if t})
+    for _ in range(3000):
+        for k in range(len(dims)):
+            held = {}
+            for c, x in w.items():
+                held[c[k]] = held.get(c[k], 0.0) + x
+            named = sum(shares[k].get(v, 0) for v, x in held.items() if x > 0)
+            w = {c: x * shares[k].get(c[k], 0) / named * total / held[c[k]] if held[c[k]] > 0 else 0.0 for c, x in w.items()}
+    ratio = {c: w[c] / t for c, t in cells.items() if t}
+    if keep is None:
+        c = 1 / max(ratio.values())
+    else:
+        low, high = 0.0, 1e12
+        for _ in range(300):
+            c = (low + high) / 2
+            low, high = (c, high) if sum(t * min(1, c * ratio[x]) for x, t in cells.items() if t) < keep * total else (low, c)
+    return {x: (w[x], min(1.0, c * ratio[x]) if t else 1.0) for x, t in cells.items()}
+
+
+@pytest.mark.parametrize("keep", [None, 0.4, 0.9])
+@pytest.mark.parametrize("targets", [TARGETS, {"source": 0.7, "lang": {"en": 1.0, "fr": 2.0, "nowhere": 5.0}, "topic": 1.0}])
+def test_against_brute_force(spark, targets, keep):
     key = ["source", "lang", "topic"]
-    for keep in (None, 0.4):
-        a = mixing.fit(measured, key, TARGETS, keep=keep, close=1e-4).cells.toPandas().sort_values(key)
-        b = mixing.fit(measured, key, TARGETS, keep=keep, close=1e-4, driver_cells=0, rounds=6).cells.toPandas().sort_values(key)
-        assert np.allclose(a.raked, b.raked, rtol=1e-2) and np.allclose(a.prob, b.prob, rtol=1e-2)
-
-
-def test_probabilities_by_hand():
-    t = np.array([10.0, 10.0, 0.0])
-    assert mixing.probabilities(t, np.array([15.0, 5.0, 0.0]), None).tolist() == [1.0, pytest.approx(1 / 3), 1.0]
-    p = mixing.probabilities(t, np.array([15.0, 5.0, 0.0]), 0.75)
-    assert p[0] == 1 and p[1] == pytest.approx(0.5)
-    assert mixing.probabilities(t, np.array([0.0, 20.0, 0.0]), 0.9).tolist() == [0.0, 1.0, 1.0]
+    measured = mixing.cut(mixing.measure(docs(spark), dims()))
+    got = {(r.source, r.lang, r.topic): r for r in mixing.fit(measured, key, targets, keep=keep).cells.collect()}
+    want = by_brute_force({k: r.tokens for k, r in got.items()}, key, targets, keep)
+    for k, (raked, prob) in want.items():
+        assert got[k].raked == pytest.approx(raked, rel=1e-8, abs=1e-8) and got[k].prob == pytest.approx(prob, rel=1e-8, abs=1e-8)
+
+
+def test_many_cells_are_dealt_out(spark, monkeypatch):
+    """Rows meet broadcast cells or cells in copies with one result."""
+    measured = mixing.cut(mixing.measure(docs(spark), dims()))
+    raked = mixing.fit(measured, list(dims()), TARGETS, keep=0.5)
+    a = sorted(map(tuple, mixing.draw(measured, raked).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_CELLS", 0)
+    dealt = mixing.draw(measured, raked)
+    assert sorted(map(tuple, dealt.select(*mixing.draw(measured, raked).columns).collect())) == a
+
+
+def test_columns_that_clash(spark):
+    df = docs(spark).selectExpr("*", "1 AS _prob", "2 AS _draw", "3 AS _dim0", "4 AS __prob", "5 AS tokens", "'a' AS weight")
+    kept = mixing.mix(df, dims(), TARGETS, keep=0.5)
+    assert kept.columns == df.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in mixing.mix(docs(spark), dims(), TARGETS, keep=0.5).collect())
+    with pytest.raises(ValueError):
+        mixing.measure(df, {"tokens": F.col("source")})
 
 
 def test_edges(spark):
