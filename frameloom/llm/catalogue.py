@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 
 from . import annsearch, bpe, chat, langid, mixing, pii, quality, rules, simhash, tokenbin
-from .common import crc_mod
+from .common import crc_mod, cut
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -44,7 +44,7 @@ def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     dims = {"source": F.col("source"), "lang": F.col("lang"), "topic": mixing.topic_of(F.col("text"))}
-    measured = mixing.cut(mixing.measure(docs, dims))
+    measured = cut(mixing.measure(docs, dims))
     raked = mixing.fit(measured, list(dims), corpus_pipeline.TARGETS, keep=0.5)
     return mixing.draw(measured, raked).select("doc_id", *dims, "tokens", "weight", "prob", "sampled")
 
@@ -95,7 +95,7 @@ _SQL = {
         one AS (SELECT l, min(conv_id) AS conv_id, count(*) AS copies FROM c GROUP BY l),
         kept AS (SELECT conv_id, copies, len(l) AS n_turns FROM one a
                  WHERE NOT EXISTS (SELECT 1 FROM one b WHERE b.l[1] = a.l[1] AND len(b.l) > len(a.l) AND b.l[1:len(a.l)] = a.l))
-        SELECT conv_id, (turn // 256)::BIGINT AS part, n_turns::BIGINT AS n_turns, copies,
+        SELECT conv_id, (turn // 256)::BIGINT AS part, 0::BIGINT AS piece, n_turns::BIGINT AS n_turns, copies,
                string_agg('<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10), '' ORDER BY turn, role, text) AS chat
         FROM kept JOIN t USING (conv_id) GROUP BY conv_id, turn // 256, n_turns, copies""",
     "op8_rules": """

@@ -3,12 +3,15 @@
 A conversation that another one begins with is a snapshot of it. Each turn has a 128-bit hash of its
 place, role and text; the hash of a prefix is the sum of its turns' hashes in four lanes, a rolling
 hash that needs no order within a block of turns. A conversation stays if no longer one has its hash
-as that of a prefix (an anti-join), and of equal ones the smallest id stays.
-
-Defined results: a null conversation id is a conversation of its own kind, with id null; a null turn
-number, role or text is a value like any other, unequal to the empty string; rows that repeat count
-once; turns with one number are ordered by role and text, and a prefix has all or none of them. Empty
-tables give empty results. Rendering escapes nothing; null texts render as empty.
+as that of a prefix (an anti-join), and of equal ones the smallest id stays. All this is done on
+hashes; texts are moved once, to be rendered.
+
+Defined results: a turn without a conversation id is a conversation of its own, with id null; a null
+turn number, role or text is a value like any other, unequal to the empty string; rows that repeat
+count once; turns with one number are ordered by role and text, and a prefix has all or none of them.
+Of over CROWD different turns with one number, each goes to one of several pieces by its hash. Very long
+texts are rendered whole. Empty tables give empty results; other columns, of whatever names, don't
+matter. Rendering escapes nothing; null texts render as empty.
 """
 
 from __future__ import annotations
@@ -18,61 +21,76 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Turns in a block: what is ordered or rendered in one go, however long a conversation is.
+#: Turn numbers in a block: what is ordered or rendered in one go, however long a conversation is.
 BLOCK = 256
-_LANES = ("_a", "_b", "_c", "_d")
+#: Different turns of one number in a piece, about.
+CROWD = 1024
+_LANES = ("a", "b", "c", "d")
+_SUMS = ("n", *_LANES)
 
 
-def _lanes() -> list[Column]:
-    """Four 32-bit hashes of a turn; their sums can't overflow a long below 2**31 turns."""
+def _given(df: DataFrame, conv_id: str, turn: str, role: str, text: str) -> DataFrame:
+    """key (what tells conversations apart), part (the block), turn, role, text and the turn's four 32-bit hashes,
+    whose sums can't overflow a long below 2**31 turns."""
+    named = df.select(F.col(conv_id).cast("long").alias("conv"), F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
     given = [F.coalesce(F.col("turn").cast("string"), F.lit("-")), F.coalesce(F.concat(F.lit("="), "role"), F.lit("-")), F.coalesce(F.concat(F.lit("="), "text"), F.lit("-"))]
-    low, high = F.xxhash64(*given), F.xxhash64(F.lit(1), *given)
-    mask = F.lit(0xFFFFFFFF)
-    return [h.alias(n) for n, h in zip(_LANES, (low.bitwiseAND(mask), F.shiftrightunsigned(low, 32), high.bitwiseAND(mask), F.shiftrightunsigned(high, 32)), strict=True)]
+    hashed = named.withColumns({"low": F.xxhash64(*given), "high": F.xxhash64(F.lit(1), *given)})
+    key = F.coalesce(F.concat(F.lit("c"), F.col("conv").cast("string")), F.concat(F.lit("t"), F.hex("low"), F.lit("-"), F.hex("high")))
+    part, mask = F.floor(F.coalesce("turn", F.lit(-1)) / BLOCK), F.lit(0xFFFFFFFF)
+    lanes = (F.col("low").bitwiseAND(mask), F.shiftrightunsigned("low", 32), F.col("high").bitwiseAND(mask), F.shiftrightunsigned("high", 32))
+    return hashed.select(key.alias("key"), part.alias("part"), "turn", "role", "text", *[c.alias(n) for c, n in zip(lanes, _LANES, strict=True)])
+
 
+def _conv_id(key: Column) -> Column:
+    return F.when(key.startswith("c"), F.substr(key, F.lit(2)).cast("long"))
 
-def turns(df: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """The distinct turns, with the block they belong to."""
-    given = df.select(F.col(conv_id).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"), F.col(text).alias("text")).distinct()
-    return given.withColumn("part", F.floor(F.coalesce("turn", F.lit(-1)) / BLOCK))
 
+def _steps(given: DataFrame) -> DataFrame:
+    """A row per conversation and turn number: how many turns it has and the sums of their hashes. Texts aren't moved;
+    rows that repeat are made one in part before the shuffle."""
+    own = given.select("key", "part", "turn", *_LANES).distinct()
+    return own.groupBy("key", "part", "turn").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in _LANES])
 
-def maximal(given: DataFrame) -> DataFrame:
-    """conv_id, n_turns and copies (equal conversations) of those that stay, from ``turns``.
+
+def maximal(steps: DataFrame) -> DataFrame:
+    """key, n_turns and copies (equal conversations) of those that stay.
 
     Sums per conversation and per block are made in part before they are shuffled. Running sums go
     over blocks first and over the turns of a block then, so no task orders more of a
     conversation than its blocks. Prefixes are made distinct before the anti-join: a first turn that
     many conversations share is one row there.
     """
-    sums = [F.sum(n).alias(n) for n in _LANES]
-    hashed = given.select("conv_id", "part", "turn", *_lanes())
-    steps = cut(hashed.groupBy("conv_id", "part", "turn").agg(F.count("*").alias("_n"), *sums))  # turns of one number are one step
-    names = ("_n", *_LANES)
-    blocks = steps.groupBy("conv_id", "part").agg(*[F.sum(n).alias(n) for n in names])
-    ahead = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    before = blocks.select(F.col("conv_id").alias("_conv"), F.col("part").alias("_part"), *[F.coalesce(F.sum(n).over(ahead), F.lit(0)).alias(f"{n}0") for n in names])
-    within = Window.partitionBy("conv_id", "part").orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rolling = steps.select("conv_id", "part", *[F.sum(n).over(within).alias(n) for n in names])
-    same = rolling["conv_id"].eqNullSafe(before["_conv"]) & (rolling["part"] == before["_part"])
-    prefixes = rolling.join(before, same).select("conv_id", *[(F.col(n) + F.col(f"{n}0")).alias(n) for n in names])
-    whole = cut(steps.groupBy("conv_id").agg(*[F.sum(n).alias(n) for n in names]))
-    ids = whole.groupBy(*names).agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("copies"))
-    totals = whole.select(F.col("conv_id").alias("_conv"), F.col("_n").alias("_total"))
-    proper = prefixes.join(totals, prefixes["conv_id"].eqNullSafe(totals["_conv"])).where("_n < _total").select(*names).distinct()
-    return ids.join(proper, list(names), "left_anti").select("conv_id", F.col("_n").alias("n_turns"), "copies")
-
-
-def render(given: DataFrame, kept: DataFrame) -> DataFrame:
-    """conv_id, part, n_turns (of the conversation), copies and chat: the part's turns in order, each as
-    <|role|>, its text and <|end|> on lines of their own. A conversation of over BLOCK turns has several parts."""
-    own = kept.withColumnRenamed("conv_id", "_conv")
-    line = F.concat(F.lit("<|"), F.coalesce("role", F.lit("")), F.lit("|>\n"), F.coalesce("text", F.lit("")), F.lit("\n<|end|>\n"))
-    rows = given.join(own, given["conv_id"].eqNullSafe(own["_conv"])).select("conv_id", "part", "n_turns", "copies", F.struct("turn", "role", "text", line.alias("line")).alias("row"))
-    grouped = rows.groupBy("conv_id", "part", "n_turns", "copies").agg(F.sort_array(F.collect_list("row")).alias("rows"))
-    return grouped.select("conv_id", "part", "n_turns", "copies", F.array_join(F.transform("rows", lambda r: r["line"]), "").alias("chat"))
-
-
-def collapse_and_render(df: DataFrame, **columns: str) -> DataFrame:
-    given = turns(df, **columns)
-    return render(given, maximal(given))
+    total = lambda df, *keys: df.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in _SUMS])
+    ahead = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = total(steps, "key", "part").select("key", "part", *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"{c}0") for c in _SUMS])
+    within = Window.partitionBy("key", "part").orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rolling = steps.select("key", "part", *[F.sum(c).over(within).alias(c) for c in _SUMS])
+    prefixes = rolling.join(before, ["key", "part"]).select("key", *[(F.col(c) + F.col(f"{c}0")).alias(c) for c in _SUMS])
+    whole = cut(total(steps, "key"))
+    first = F.min(F.struct(_conv_id(F.col("key")).isNull().alias("none"), _conv_id(F.col("key")).alias("conv"), "key"))
+    ids = whole.groupBy(*_SUMS).agg(first.alias("first"), F.count("*").alias("copies"))
+    proper = prefixes.join(whole.select("key", F.col("n").alias("total")), "key").where("n < total").select(*_SUMS).distinct()
+    return ids.join(proper, list(_SUMS), "left_anti").select("first.key", F.col("n").alias("n_turns"), "copies")
+
+
+def collapse_and_render(df: DataFrame, *, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """conv_id, part, piece, n_turns (of the conversation), copies and chat: the part's turns in order, each as
+    <|role|>, its text and <|end|> on lines of their own. A conversation of over BLOCK turns has several parts; a
+    part has one piece unless turns crowd under one number.
+
+    Texts go to the blocks they are rendered in, repeated rows made one before, and there meet the
+    conversations that stay: one shuffle of texts.
+    """
+    given = _given(df, conv_id, turn, role, text)
+    steps = cut(_steps(given))
+    kept = maximal(steps)
+    crowded = steps.where(F.col("n") > CROWD).select("key", F.col("turn").alias("crowd_turn"), F.ceil(F.col("n") / CROWD).alias("pieces"))
+    parts, rows = steps.groupBy("key", "part").agg(F.max(F.ceil(F.col("n") / CROWD)).alias("pieces")), given.withColumn("piece", F.lit(0).cast("long"))
+    if not crowded.isEmpty():
+        at = F.pmod(F.col("a"), F.coalesce("pieces", F.lit(1)))
+        rows = given.join(crowded.withColumnRenamed("key", "crowd_key"), (F.col("key") == F.col("crowd_key")) & F.col("turn").eqNullSafe(F.col("crowd_turn")), "left").withColumn("piece", at)
+    line = F.struct("turn", "role", "text")
+    grouped = rows.groupBy("key", "part", "piece").agg(F.sort_array(F.collect_set(line)).alias("rows"))
+    wanted = kept.join(parts, "key").select("key", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"), "n_turns", "copies")
+    written = F.transform("rows", lambda r: F.concat(F.lit("<|"), F.coalesce(r["role"], F.lit("")), F.lit("|>\n"), F.coalesce(r["text"], F.lit("")), F.lit("\n<|end|>\n")))
+    return grouped.join(wanted, ["key", "part", "piece"]).select(_conv_id(F.col("key")).alias("conv_id"), "part", "piece", "n_turns", "copies", F.array_join(written, "").alias("chat"))

@@ -44,3 +44,32 @@ def test_edges(spark):
     got = {r.conv_id: r.chat for r in chat.collapse_and_render(spark.createDataFrame(rows, schema)).collect()}
     assert set(got) == {None, 1, 2, 3}
     assert got[None] == "<||>\n\n<|end|>\n" and len(got[3]) > 200_000
+
+
+def test_turns_without_a_conversation(spark):
+    rows = [(None, 0, "user", "a"), (None, 0, "user", "a"), (None, 1, "user", "b"), (None, 0, "user", "hi"), (7, 0, "user", "hi"), (7, 1, "user", "more"), (8, 5, "user", "x"), (None, 5, "user", "x")]
+    df = spark.createDataFrame([(*r, "z") for r in rows], "conv_id long, turn long, role string, text string, key string")
+    got = sorted((str(r.conv_id), r.n_turns, r.copies, r.chat) for r in chat.collapse_and_render(df).collect())
+    one = lambda t: f"<|user|>\n{t}\n<|end|>\n"
+    assert got == [("7", 2, 1, one("hi") + one("more")), ("8", 1, 2, one("x")), ("None", 1, 1, one("a")), ("None", 1, 1, one("b"))]
+
+
+def test_crowds_are_dealt_out(spark, monkeypatch):
+    """Many turns without an id, and many different turns under one number, null too: no group grows with them."""
+    monkeypatch.setattr(chat, "CROWD", 50)
+    rows = [(None, 0, "user", f"t{i}") for i in range(3000)] + [(1, 0, "user", f"t{i}") for i in range(1000)] + [(2, None, "user", f"t{i}") for i in range(400)] + [(2, 1, "user", "end")]
+    df = spark.createDataFrame(rows + rows[:50], "conv_id long, turn long, role string, text string")
+    got = chat.collapse_and_render(df).collect()
+    assert sum(r.conv_id is None for r in got) == 3000
+    for c, n in ((1, 1000), (2, 401)):
+        own = [r for r in got if r.conv_id == c]
+        assert {r.n_turns for r in own} == {n} and len({(r.part, r.piece) for r in own}) == len(own)
+        assert max(r.chat.count("<|end|>") for r in own) < 100 and sum(r.chat.count("<|end|>") for r in own) == n
+
+
+def test_texts_are_shuffled_once(spark):
+    df = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "user", "b"), (2, 0, "user", "a")], "conv_id long, turn long, role string, text string")
+    found = chat.collapse_and_render(df)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert sum("Exchange hashpartitioning" in line and "buf" in line for line in plan.splitlines()) <= 1
+    assert found.count() == 1
