@@ -1,4 +1,4 @@
-"""The queries of this subpackage, one for each operator, and the pipeline."""
+"""The queries of this subpackage, one for each operator."""
 
 from __future__ import annotations
 
@@ -6,12 +6,12 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-
 from . import annsearch, bpe, chat, langid, mixing, pii, quality, rules, simhash, tokenbin
 from .common import crc_mod, cut
 
 VOCABULARY = "word_bpe_49k.json"
+#: Powers that temper the sources' and languages' token shares, topics as they are.
+TARGETS = {"source": 0.7, "lang": 0.8, "topic": 1.0}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,7 +45,7 @@ def op4_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     dims = {"source": F.col("source"), "lang": F.col("lang"), "topic": mixing.topic_of(F.col("text"))}
     measured = cut(mixing.measure(docs, dims))
-    raked = mixing.fit(measured, list(dims), corpus_pipeline.TARGETS, keep=0.5)
+    raked = mixing.fit(measured, list(dims), TARGETS, keep=0.5)
     return mixing.draw(measured, raked).select("doc_id", *dims, "tokens", "weight", "prob", "sampled")
 
 
@@ -68,7 +68,7 @@ def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.digest(_table(spark, sf_dir, "documents"), corpus_pipeline.PII_KEY)
+    return pii.digest(_table(spark, sf_dir, "documents"), pii.session_key(spark))
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +78,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     own = (op1_quality, op2_language_id, op3_nearest, op4_mixture, op5_chat, op6_simhash, op7_token_files, op8_rules, op9_pii, op10_bpe)
-    return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in own}
 
 
 #: Exact nearest neighbours by brute force; maximal conversations by comparing lists; the base counts and rules.
@@ -120,4 +120,4 @@ _SQL = {
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL) | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return dict(_SQL)

@@ -43,6 +43,12 @@ def shared_folder(spark: SparkSession, what: str) -> str:
     return f"{base}/{what}-{uuid.uuid4().hex}"
 
 
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    """Delete an intermediate result through Spark's own file system, whatever store it is in."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder: lineage ends there and a lost executor costs nothing."""
     checkpoint_dir(df.sparkSession)

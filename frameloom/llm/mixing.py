@@ -30,6 +30,8 @@ from .common import SPACES, cut, free_name
 NONE = "(none)"
 #: Cells up to which they are broadcast to the documents (their number is counted); more are dealt out with them, each in so many copies, among which a cell's documents are spread.
 BROADCAST_CELLS, COPIES = 200_000, 64
+#: Rounds without progress after which raking ends.
+STALLED = 3
 #: Names that a dimension can't have.
 _TAKEN = ("doc_id", "docs", "tokens", "raked", "prob", "weight", "draw", "sampled")
 
@@ -70,16 +72,18 @@ def _shares(cells: DataFrame, dim: str, target: Mapping[str, float] | float) ->
     return cut(cells.groupBy(dim).agg(F.when(F.sum("tokens") > 0, power).otherwise(0.0).alias("share")))
 
 
-def rake(cells: DataFrame, dims: Sequence[str], targets: Mapping[str, Mapping[str, float] | float], *, rounds: int = 500, close: float = 1e-10) -> DataFrame:
+def rake(cells: DataFrame, dims: Sequence[str], targets: Mapping[str, Mapping[str, float] | float], *, rounds: int = 100, close: float = 1e-10) -> DataFrame:
     """``cells`` with raked: weights as near to tokens as raking gives, whose marginals are in the targets' proportions.
 
     A dimension's step multiplies the cells of each value by one factor. Steps are taken without scaling to the
     total, which later steps would undo; it is done once, at the end. Raking has settled when a
-    round's factors of each dimension differ by ``close`` at most.
+    round's factors of each dimension differ by ``close`` at most, or, as targets that no weights meet can't be
+    reached, when for STALLED rounds they haven't come a hundredth nearer to each other.
     """
     shares = [_shares(cells, d, targets[d]) for d in dims]
     now = cells.withColumn("raked", F.col("tokens").cast("double"))
     factors = [f"factor{k}" for k in range(len(dims))]
+    apart, stalled = float("inf"), 0
     for _ in range(rounds):
         now = now.drop(*factors)
         for dim, share, name in zip(dims, shares, factors, strict=True):
@@ -88,7 +92,11 @@ def rake(cells: DataFrame, dims: Sequence[str], targets: Mapping[str, Mapping[st
             now = now.join(sums.select(dim, factor.alias(name)), dim).withColumn("raked", F.col("raked") * F.col(name))
         now = cut(now)
         row = now.where("raked > 0").agg(*[(F.max(n) / F.min(n) - 1).alias(n) for n in factors], F.sum("raked").alias("total")).first()
-        if row.total is None or max(row[n] for n in factors) < close:
+        if row.total is None:
+            break
+        before, apart = apart, max(row[n] for n in factors)
+        stalled = stalled + 1 if apart > 0.99 * before else 0
+        if apart < close or stalled == STALLED:
             break
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     return now.drop(*factors).withColumn("raked", F.col("raked") * F.lit(float(total) / (row.total or 1.0)))
@@ -137,7 +145,7 @@ def _draw(doc_id: str, text: str) -> Column:
     return F.shiftrightunsigned(drawn, 11) / float(1 << 53)
 
 
-def fit(measured: DataFrame, dims: Sequence[str], targets: Mapping[str, Mapping[str, float] | float], *, keep: float | None = None, rounds: int = 500, close: float = 1e-10) -> Raked:
+def fit(measured: DataFrame, dims: Sequence[str], targets: Mapping[str, Mapping[str, float] | float], *, keep: float | None = None, rounds: int = 100, close: float = 1e-10) -> Raked:
     """Rake the cells. A target is shares by value, or a power that tempers the marginal.
 
     Cells are pre-aggregated before the shuffle; a hot source is as many partial rows as tasks.

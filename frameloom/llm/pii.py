@@ -23,12 +23,13 @@ import datetime
 import hashlib
 import math
 import re
+import secrets
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -354,6 +355,20 @@ def replace(text: str, key: bytes, windows: list[list[int]] | None = None) -> tu
     return "".join([*out, text[at:]]), counts
 
 
+#: Where a session names the key of its pseudonyms.
+KEY_NAME = "spark.frameloom.pii.key"
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key that the session names. Without one, a random key is drawn for this application: pseudonyms are
+    linked within its results, and nobody can invert them or link them with another run's."""
+    key = spark.conf.get(KEY_NAME, None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY_NAME, key)
+    return key
+
+
 def pseudonymise(docs: DataFrame, key: str, *, text: str = "text", counts: bool = True) -> DataFrame:
     """``docs`` with ``text`` pseudonymised; with ``counts``, also a column n_<kind> for each kind, which
     replaces a column of that name."""

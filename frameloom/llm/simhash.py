@@ -11,7 +11,8 @@ did not, and drops a whole run once they exceed the threshold.
 
 Defined results: null and empty texts have fingerprint 0 and are linked with each other like any
 others; a null id is never a representative while its component has another id; rows that repeat
-have the same component; an empty table gives an empty result.
+have the same component; a very long text is read whole, in one task; columns other than id and text, of
+whatever names and types, don't matter; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -235,11 +236,6 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     return prints.join(_classes(prints, most).drop("root"), "fp").select("doc_id", "fp", "component_id")
 
 
-def _least_row(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    one = rows.groupBy(key).agg(F.min(F.struct(*columns)).alias("_row"))
-    return one.select(*[F.col(f"_row.{c}").alias(c) for c in columns])
-
-
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 3, most: int = 2) -> DataFrame:
     """``docs`` without those whose component has a smaller id: one document of each group stays."""
     prints = cut(fingerprints(docs, doc_id=doc_id, text=text, width=width))
@@ -248,30 +244,30 @@ def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", wid
 
 
 def keep_classes(docs: DataFrame, prints: DataFrame, classes: DataFrame, fp_of: Callable[[pa.Array], np.ndarray], *, doc_id: str, text: str) -> DataFrame:
-    """One document of each class; ``fp_of`` gives the fp of texts as in ``prints``.
+    """One row of each class, one with the smallest id; ``fp_of`` gives the fp of texts as in ``prints``.
 
-    Ids are taken to name documents: of rows that repeat the kept id one stays. Rows without an id stay
-    if no row of their component has one, one of them. Both need a look at whole rows, which is
-    taken for such rows only, if there are any.
+    Where that id stands on one row only, the id tells the row. Rows without an id and rows whose id repeats are
+    told by their text's fp: of the rows of a class that have its smallest id (null if no row has one) one stays.
     """
-    kept = prints.join(classes, "fp").where("doc_id = component_id")
-    keep = cut(kept.groupBy("doc_id").agg(F.count("*").alias("_n")))
-    out = docs.join(keep.where("_n = 1").select(F.col("doc_id").alias(doc_id)), doc_id, "left_semi").select(*docs.columns)
-    twice = keep.where("_n > 1").select(F.col("doc_id").alias(doc_id))
-    if not twice.isEmpty():
-        out = out.unionByName(_least_row(docs.join(twice, doc_id, "left_semi"), doc_id, docs.columns))
+    repeated = cut(prints.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias(doc_id)))
+    kept = prints.join(classes, "fp").where("doc_id = component_id").select(F.col("doc_id").alias(doc_id))
+    any_repeated = not repeated.isEmpty()
+    out = docs.join(kept.join(repeated, doc_id, "left_anti") if any_repeated else kept, doc_id, "left_semi").select(*[docs[c] for c in docs.columns])
+    loose = []
+    if any_repeated:
+        loose.append(docs.join(repeated, doc_id, "left_semi").select(*[docs[c] for c in docs.columns]))
     if not prints.where("doc_id IS NULL").isEmpty():
-        given = docs.where(F.col(doc_id).isNull())
-        columns = [F.col(c).alias(f"_c{k}") for k, c in enumerate(docs.columns)]
-        at = docs.columns.index(text)
-        packed = given.select(*columns)
+        loose.append(docs.where(docs[doc_id].isNull()))
+    at, of = docs.columns.index(doc_id), f"c{docs.columns.index(text)}"
+    for rows in loose:
+        packed = rows.toDF(*[f"c{k}" for k in range(len(docs.columns))])
         schema = T.StructType([*packed.schema.fields, T.StructField("fp", T.LongType())])
 
-        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part, texts in text_slices(batches, f"_c{at}", 1 << 21):
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fp_of(texts))], names=[*part.schema.names, "fp"])
+        def add(batches: Iterator[pa.RecordBatch], names: tuple[str, ...] = tuple(schema.names)) -> Iterator[pa.RecordBatch]:
+            for part, texts in text_slices(batches, of, 1 << 21):
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fp_of(texts))], names=names)
 
-        loose = packed.mapInArrow(add, schema).join(classes.where("component_id IS NULL").select("fp", "root"), "fp")
-        one = _least_row(loose, "root", packed.columns)
-        out = out.unionByName(one.select(*[F.col(f"_c{k}").alias(c) for k, c in enumerate(docs.columns)]))
+        own = packed.mapInArrow(add, schema).join(classes, "fp").where(F.col(f"c{at}").cast("long").eqNullSafe(F.col("component_id")))
+        one = own.groupBy("root").agg(F.min_by(F.struct(*packed.columns), F.coalesce(F.col(of), F.lit(""))).alias("row"))
+        out = out.unionByName(one.select(*[F.col(f"row.c{k}").alias(c) for k, c in enumerate(docs.columns)]))
     return out
