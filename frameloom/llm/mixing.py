@@ -4,9 +4,10 @@ Documents are counted into cells of source, language and topic. Cell token weigh
 their marginals meet the targets; a cell's documents are then sampled with probability
 proportional to raked over actual tokens, calibrated so that the expected tokens are the wanted share.
 
-Cells are a table from first to last, however few or many there are: a round of raking is a grouped sum
-and an equi-join for each dimension, and calibration is a few sums. Only single numbers come to the
-driver.
+A round of raking is a grouped sum and a look-up for each dimension, and calibration is a few sums. Up to
+DRIVER_CELLS cells, which are counted first, these steps run on arrays on the driver; with more the
+same steps run on a table, a grouped sum and an equi-join for each dimension, and only single numbers
+come to the driver.
 
 Defined results: null dimensions are a value of their own; a null or empty text has 0 tokens and is
 sampled with its cell's probability (1 where the cell has no tokens at all); a very long text counts
@@ -21,6 +22,8 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +31,8 @@ from .common import SPACES, cut, free_name
 
 #: What stands for a null dimension.
 NONE = "(none)"
-#: Cells up to which they are broadcast to the documents (their number is counted); more are dealt out with them, each in so many copies, among which a cell's documents are spread.
-BROADCAST_CELLS, COPIES = 200_000, 64
+#: Cells up to which they are raked on the driver and broadcast to the documents; more are a table throughout and are dealt out with the documents, each in so many copies, among which a cell's documents are spread.
+DRIVER_CELLS, COPIES = 200_000, 64
 #: Rounds without progress after which raking ends.
 STALLED = 3
 #: Names that a dimension can't have.
@@ -64,6 +67,54 @@ class Raked:
     n: int
 
 
+def _settled(apart: list[float], close: float) -> bool:
+    """Whether raking ends after rounds whose factors differed by ``apart``: they are as good as equal, or for STALLED
+    rounds, as with targets that no weights meet, they haven't come a hundredth nearer to each other."""
+    last = apart[-STALLED - 1 :]
+    return apart[-1] < close or (len(last) > STALLED and all(b > 0.99 * a for a, b in zip(last[:-1], last[1:], strict=True)))
+
+
+def rake_arrays(tokens: np.ndarray, codes: Sequence[np.ndarray], shares: Sequence[np.ndarray], *, rounds: int = 500, close: float = 1e-10) -> np.ndarray:
+    """Weights as near to ``tokens`` as raking gives, whose marginals are in proportion to ``shares`` (by code).
+
+    A dimension's step multiplies the cells of each value by one factor. Steps are taken without scaling to the
+    total, which later steps would undo; it is done once, at the end.
+    """
+    w, apart = tokens.astype(float), []
+    for _ in range(rounds):
+        factors = []
+        for code, share in zip(codes, shares, strict=True):
+            held = np.bincount(code, weights=w, minlength=len(share))
+            factors.append(np.divide(share, held, out=np.zeros_like(held), where=(held > 0) & (share > 0))[code])
+            w = w * factors[-1]
+        some = w > 0
+        if not some.any():
+            return w
+        apart.append(max(f[some].max() / f[some].min() - 1 for f in factors))
+        if _settled(apart, close):
+            break
+    return w * (tokens.sum() / w.sum())
+
+
+def calibrate_arrays(tokens: np.ndarray, raked: np.ndarray, keep: float | None) -> float | None:
+    """``calibration`` on arrays."""
+    own = raked > 0
+    t, r = tokens[own].astype(float), raked[own]
+    if not len(t):
+        return None
+    if keep is None:
+        return 1 / (r / t).max()
+    wanted = keep * float(tokens.sum())
+    if wanted >= t.sum():
+        return float("inf")
+    c, capped = 0.0, -1
+    while True:
+        over = c * (r / t) > 1
+        if over.sum() == capped or not r[~over].sum():
+            return c
+        c, capped = (wanted - t[over].sum()) / r[~over].sum(), over.sum()
+
+
 def _shares(cells: DataFrame, dim: str, target: Mapping[str, float] | float) -> DataFrame:
     """dim and share: as named, or proportional to a power of the tokens (below 1, small values gain)."""
     if isinstance(target, Mapping):
@@ -72,18 +123,12 @@ def _shares(cells: DataFrame, dim: str, target: Mapping[str, float] | float) ->
     return cut(cells.groupBy(dim).agg(F.when(F.sum("tokens") > 0, power).otherwise(0.0).alias("share")))
 
 
-def rake(cells: DataFrame, dims: Sequence[str], targets: Mapping[str, Mapping[str, float] | float], *, rounds: int = 100, close: float = 1e-10) -> DataFrame:
-    """``cells`` with raked: weights as near to tokens as raking gives, whose marginals are in the targets' proportions.
-
-    A dimension's step multiplies the cells of each value by one factor. Steps are taken without scaling to the
-    total, which later steps would undo; it is done once, at the end. Raking has settled when a
-    round's factors of each dimension differ by ``close`` at most, or, as targets that no weights meet can't be
-    reached, when for STALLED rounds they haven't come a hundredth nearer to each other.
-    """
+def rake(cells: DataFrame, dims: Sequence[str], targets: Mapping[str, Mapping[str, float] | float], *, rounds: int = 500, close: float = 1e-10) -> DataFrame:
+    """``cells`` with raked: the steps of ``rake_arrays`` on a table of any number of cells."""
     shares = [_shares(cells, d, targets[d]) for d in dims]
     now = cells.withColumn("raked", F.col("tokens").cast("double"))
     factors = [f"factor{k}" for k in range(len(dims))]
-    apart, stalled = float("inf"), 0
+    apart: list[float] = []
     for _ in range(rounds):
         now = now.drop(*factors)
         for dim, share, name in zip(dims, shares, factors, strict=True):
@@ -94,9 +139,8 @@ def rake(cells: DataFrame, dims: Sequence[str], targets: Mapping[str, Mapping[st
         row = now.where("raked > 0").agg(*[(F.max(n) / F.min(n) - 1).alias(n) for n in factors], F.sum("raked").alias("total")).first()
         if row.total is None:
             break
-        before, apart = apart, max(row[n] for n in factors)
-        stalled = stalled + 1 if apart > 0.99 * before else 0
-        if apart < close or stalled == STALLED:
+        apart.append(max(row[n] for n in factors))
+        if _settled(apart, close):
             break
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     return now.drop(*factors).withColumn("raked", F.col("raked") * F.lit(float(total) / (row.total or 1.0)))
@@ -145,7 +189,7 @@ def _draw(doc_id: str, text: str) -> Column:
     return F.shiftrightunsigned(drawn, 11) / float(1 << 53)
 
 
-def fit(measured: DataFrame, dims: Sequence[str], targets: Mapping[str, Mapping[str, float] | float], *, keep: float | None = None, rounds: int = 100, close: float = 1e-10) -> Raked:
+def fit(measured: DataFrame, dims: Sequence[str], targets: Mapping[str, Mapping[str, float] | float], *, keep: float | None = None, rounds: int = 500, close: float = 1e-10) -> Raked:
     """Rake the cells. A target is shares by value, or a power that tempers the marginal.
 
     Cells are pre-aggregated before the shuffle; a hot source is as many partial rows as tasks.
@@ -154,17 +198,31 @@ def fit(measured: DataFrame, dims: Sequence[str], targets: Mapping[str, Mapping[
     n = cells.count()
     if not n:
         return Raked(cells.withColumns({"raked": F.lit(0.0), "prob": F.lit(1.0)}), tuple(dims), 0)
-    raked = rake(cells, dims, targets, rounds=rounds, close=close)
-    c = calibration(raked, keep)
+    if n <= DRIVER_CELLS:
+        got = cells.toPandas()
+        tokens, codes, shares = got["tokens"].to_numpy(), [], []
+        for dim in dims:
+            code, values = pd.factorize(got[dim])
+            held = np.bincount(code, weights=tokens, minlength=len(values)) / max(1, tokens.sum())
+            target = targets[dim]
+            codes.append(code)
+            shares.append(np.array([target.get(v, 0.0) for v in values]) if isinstance(target, Mapping) else np.where(held > 0, held ** float(target), 0.0))
+        got["raked"] = rake_arrays(tokens, codes, shares, rounds=rounds, close=close)
+        c = calibrate_arrays(tokens, got["raked"].to_numpy(), keep)
+        raked = cells.sparkSession.createDataFrame(got.to_records(index=False).tolist(), cells.schema.add("raked", "double"))
+    else:
+        raked = rake(cells, dims, targets, rounds=rounds, close=close)
+        c = calibration(raked, keep)
     ratio = F.col("raked") / F.col("tokens")
     prob = F.lit(0.0) if c is None else F.when(F.col("raked") > 0, F.least(F.lit(1.0), F.lit(c) * ratio)).otherwise(0.0)
-    return Raked(cut(raked.withColumn("prob", F.when(F.col("tokens") > 0, prob).otherwise(1.0))), tuple(dims), n)
+    weighed = raked.withColumn("prob", F.when(F.col("tokens") > 0, prob).otherwise(1.0))
+    return Raked(weighed if n <= DRIVER_CELLS else cut(weighed), tuple(dims), n)
 
 
 def _joined(rows: DataFrame, cells: DataFrame, keys: list[str], n: int, draw: str) -> DataFrame:
     """Rows with their cells' columns: the cells are broadcast, or with many of them each goes to COPIES places,
     among which ``draw`` spreads its rows, so that a hot cell is no hot key."""
-    if n <= BROADCAST_CELLS:
+    if n <= DRIVER_CELLS:
         return rows.join(F.broadcast(cells), keys)
     place = free_name([*rows.columns, *cells.columns], "place")
     spread = cells.withColumn(place, F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))

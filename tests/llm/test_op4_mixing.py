@@ -64,9 +64,11 @@ def by_brute_force(cells, dims, targets, keep):
     return {x: (w[x], min(1.0, c * ratio[x]) if t else 1.0) for x, t in cells.items()}
 
 
-@pytest.mark.parametrize("keep", [None, 0.4, 0.9])
-@pytest.mark.parametrize("targets", [TARGETS, {"source": 0.7, "lang": {"en": 1.0, "fr": 2.0, "nowhere": 5.0}, "topic": 1.0}])
-def test_against_brute_force(spark, targets, keep):
+@pytest.mark.parametrize("driver_cells", [200_000, 0])
+@pytest.mark.parametrize(("targets", "keep"), [(TARGETS, None), (TARGETS, 0.4), ({"source": 0.7, "lang": {"en": 1.0, "fr": 2.0, "nowhere": 5.0}, "topic": 1.0}, 0.9)])
+def test_against_brute_force(spark, monkeypatch, targets, keep, driver_cells):
+    """On arrays and on a table: the same numbers."""
+    monkeypatch.setattr(mixing, "DRIVER_CELLS", driver_cells)
     key = ["source", "lang", "topic"]
     measured = mixing.cut(mixing.measure(docs(spark), dims()))
     got = {(r.source, r.lang, r.topic): r for r in mixing.fit(measured, key, targets, keep=keep).cells.collect()}
@@ -80,11 +82,18 @@ def test_many_cells_are_dealt_out(spark, monkeypatch):
     measured = mixing.cut(mixing.measure(docs(spark), dims()))
     raked = mixing.fit(measured, list(dims()), TARGETS, keep=0.5)
     a = sorted(map(tuple, mixing.draw(measured, raked).collect()))
-    monkeypatch.setattr(mixing, "BROADCAST_CELLS", 0)
+    monkeypatch.setattr(mixing, "DRIVER_CELLS", 0)
     dealt = mixing.draw(measured, raked)
     assert sorted(map(tuple, dealt.select(*mixing.draw(measured, raked).columns).collect())) == a
 
 
+def test_targets_that_no_weights_meet():
+    tokens, codes = np.array([5.0, 7.0]), [np.array([0, 1]), np.array([0, 1])]
+    w = mixing.rake_arrays(tokens, codes, [np.array([0.9, 0.1]), np.array([0.5, 0.5])])
+    assert w.sum() == pytest.approx(12) and (w > 0).all()
+    assert mixing.rake_arrays(tokens, codes, [np.zeros(2), np.ones(2)]).tolist() == [0, 0]
+
+
 def test_columns_that_clash(spark):
     df = docs(spark).selectExpr("*", "1 AS _prob", "2 AS _draw", "3 AS _dim0", "4 AS __prob", "5 AS tokens", "'a' AS weight")
     kept = mixing.mix(df, dims(), TARGETS, keep=0.5)
