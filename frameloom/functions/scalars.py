@@ -65,9 +65,23 @@ def stereo_controls(source_width: Column, *, half: bool, strength_percent: float
 
 
 def rate_text(mbps: Column) -> Column:
-    """A bit rate as encoders take it: 12.5 is 12.5M, 100 is 100M; rates of 0 or less give null."""
-    plain = F.regexp_replace(F.format_string("%.4f", mbps), r"\.?0+$", "")
-    return F.when(mbps > 0, F.concat(plain, F.lit("M")))
+    """A bit rate as encoders take it, with six significant digits and no trailing zeros: 12.5 is 12.5M, 100 is 100M,
+    123.4567 is 123.457M and 0.00001 is 1e-05M; rates of 0 or less give null."""
+    parts = F.split(F.format_string("%.5e", mbps), "e")  # rounded to six digits: one, a point, five
+    power = F.get(parts, 1).cast("int")
+    trimmed = lambda c: F.regexp_replace(c, r"\.?0+$", "")
+    scientific = F.concat(trimmed(F.get(parts, 0)), F.lit("e"), F.get(parts, 1))
+    digits = F.regexp_replace(F.get(parts, 0), r"\.", "")
+    plain = (
+        F.when(power < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits))
+        .when(power < 5, F.concat(F.substr(digits, F.lit(1), power + 1), F.lit("."), F.substr(digits, power + 2)))
+        .otherwise(F.concat(digits, F.lit(".0")))
+    )
+    return F.when(mbps > 0, F.concat(F.when((power < -4) | (power > 5), scientific).otherwise(trimmed(plain)), F.lit("M")))
+
+
+#: What no file name may hold.
+RESERVED = r'[<>:"/\\|?*\x00-\x1f]'
 
 
 def safe_stem(name: Column) -> Column:
@@ -75,7 +89,7 @@ def safe_stem(name: Column) -> Column:
     base = F.regexp_extract(F.trim(F.coalesce(name, F.lit(""))), r"([^/]*)$", 1)
     stem = F.regexp_replace(base, r"(?<=[^.])\.[^.]*$", "")
     stem = F.when(stem == "", F.when(base == "", F.lit("video")).otherwise(base)).otherwise(stem)
-    clean = F.btrim(F.regexp_replace(stem, r'[<>:"/\\|?*\x00-\x1f]', "_"), F.lit(" ."))
+    clean = F.btrim(F.regexp_replace(stem, RESERVED, "_"), F.lit(" ."))
     return F.when(clean == "", F.lit("video")).otherwise(clean)
 
 
@@ -83,7 +97,7 @@ def output_name(prefix: Column, source: Column, suffix: Column, by_source: Colum
     """The path without extension: the prefix itself, or the source's stem and suffix in the prefix's folder."""
     given = F.coalesce(prefix, F.lit(""))
     folder = F.when(given.rlike(r"[/\\]$"), F.regexp_replace(given, r"[/\\]+$", "")).otherwise(F.regexp_replace(F.regexp_extract(given, r"^(.*)/[^/]*$", 1), "(?<=.)/+$", ""))
-    stem = F.concat(safe_stem(source), F.regexp_replace(F.coalesce(suffix, F.lit("")), r'[<>:"/\\|?*\x00-\x1f]', "_"))
+    stem = F.concat(safe_stem(source), F.regexp_replace(F.coalesce(suffix, F.lit("")), RESERVED, "_"))
     named = F.when(folder == "", stem).otherwise(F.concat_ws("/", folder, stem))
     return F.when(by_source, named).otherwise(given)
 
@@ -95,6 +109,14 @@ def frame_counter(file: Column, stem: str) -> Column:
     return F.when(found != "", found.cast("long"))
 
 
+def free_output(stem: Column, taken: Column, extension: str = ".mp4") -> Column:
+    """The stem if no file of an output folder (``taken``, an array of names) has it, else with (2), (3) and so on."""
+    numbered = lambda n: F.concat(stem, F.lit(" ("), n.cast("string"), F.lit(")"))
+    is_free = lambda name: ~F.array_contains(taken, F.concat(name, F.lit(extension)))
+    n = F.get(F.filter(F.sequence(F.lit(2), F.size(taken) + 2), lambda k: is_free(numbered(k))), 0)
+    return F.when(is_free(stem), stem).otherwise(numbered(n))
+
+
 def model_rank(name: Column) -> Column:
     """What models are ordered by: release 4.25 first, then 4.26, then the rest by name."""
     low = F.lower(name)

@@ -65,3 +65,25 @@ def reflect_pad(pixels: DataFrame, height: int, width: int, multiple: int) -> Da
     if full_h - height >= height or full_w - width >= width:
         raise ValueError("padding exceeds the picture")
     return pixels.withColumn("y", places("y", height, full_h)).withColumn("x", places("x", width, full_w))
+
+
+def decode_chain(pixels: DataFrame, keys: Sequence[str], idx: str, columns: Sequence[str], size: tuple[int, int], *, rate: float = 0, force_rate: float = 0, to: tuple[int, int] = (0, 0), cap: int = 0) -> tuple[DataFrame, tuple[int, int]]:
+    """Frames at another rate and size, and that size: the frame whose time is nearest before each new one's, the
+    middle of the picture at the target's shape, a bicubic resize. A side of 0 follows from the other one.
+
+    ``idx`` counts from 0. The rate is a map from frames to the new ones they stand for, so nothing is shuffled for it."""
+    from .spatial import resize
+
+    if force_rate and rate and force_rate != rate:
+        first, after = (F.ceil(F.col(idx) * force_rate / rate), F.ceil((F.col(idx) + 1) * force_rate / rate))
+        pixels = pixels.where(after > first).withColumn(idx, F.explode(F.sequence(first.cast("long"), (after - 1).cast("long"))))
+    if cap:
+        pixels = pixels.where(F.col(idx) < cap)
+    (h, w), (th, tw) = size, to
+    th, tw = (th or (round(tw * h / w) if tw else h)), (tw or (round(th * w / h) if th else w))
+    if (th, tw) == (h, w):
+        return pixels, size
+    own = (h, min(w, max(1, round(h * tw / th)))) if h * tw <= w * th else (min(h, max(1, round(w * th / tw))), w)
+    if own != (h, w):
+        pixels = crop(pixels, (h - own[0]) // 2, (w - own[1]) // 2, *own)
+    return resize(pixels, [*keys, idx], columns, own, (th, tw), kernel="cubic"), (th, tw)

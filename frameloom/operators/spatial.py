@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from ..functions.pixels import clamp01, lerp, luma
 
 
+#: Rows of a resize's table of taps, which is broadcast; a picture that needs more is refused.
+MOST_TAPS = 1 << 20
+
+
 def _along(keys: Sequence[str], fixed: str, moving: str, r: int):
     return Window.partitionBy(*keys, fixed).orderBy(moving).rowsBetween(-r, r)
 
@@ -140,7 +144,7 @@ def resize(pixels: DataFrame, keys: Sequence[str], columns: Sequence[str], size:
         if n == m:
             continue
         taps = _taps(n, m, kernel)
-        if len(taps) > 1 << 20:
+        if len(taps) > MOST_TAPS:
             raise ValueError("a picture of that size is resized on dense frames")
         joined = pixels.join(F.broadcast(spark.createDataFrame(taps, "_to long, _from long, _w double")), F.col(axis) == F.col("_from"))
         pixels = joined.groupBy(*keys, other, F.col("_to").alias(axis)).agg(*[F.sum(F.col(c) * F.col("_w")).alias(c) for c in columns])
@@ -150,6 +154,8 @@ def resize(pixels: DataFrame, keys: Sequence[str], columns: Sequence[str], size:
 def nearest_resize(pixels: DataFrame, size: tuple[int, int], to: tuple[int, int], keys: Sequence[str]) -> DataFrame:
     """Each target pixel takes the source at floor(target * size / to)."""
     spark = pixels.sparkSession
+    if max(to) > MOST_TAPS:
+        raise ValueError(f"a picture of {to[0]} x {to[1]}")
     for axis, n, m in (("y", size[0], to[0]), ("x", size[1], to[1])):
         places = spark.range(m).select(F.col("id").alias(f"_{axis}"), F.floor(F.col("id") * n / m).cast("long").alias(f"_from_{axis}"))
         pixels = pixels.join(F.broadcast(places), F.col(axis) == F.col(f"_from_{axis}")).withColumn(axis, F.col(f"_{axis}")).drop(f"_{axis}", f"_from_{axis}")

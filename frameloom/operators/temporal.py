@@ -12,10 +12,14 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.pixels import luma
+from .layout import to_frames
+from .spatial import area_average
+
 #: Fixed values of the depth windows: their length and step, the overlap that is blended and what lies before it.
 WINDOW, STEP, OVERLAP, BLEND = 32, 22, 10, 8
 KEYFRAMES = (0, 12, 24, 25, 26, 27, 28, 29, 30, 31)
@@ -48,6 +52,22 @@ def cut_after(df: DataFrame, keys: Sequence[str], idx: str, proxy: str, threshol
     return both.withColumn(out, F.coalesce(mean_abs_difference(F.col(proxy), F.col("_next")) >= threshold, F.lit(False))).drop("_next")
 
 
+def luma_proxy(pixels: DataFrame, keys: Sequence[str], colours: Sequence[str], size: tuple[int, int], *, to: tuple[int, int] = (48, 64), out: str = "proxy") -> DataFrame:
+    """A frame's small luma picture as one row-major array, which ``cut_after`` compares: colours are averaged over areas first."""
+    small = area_average(pixels, keys, colours, size, to)
+    grey = small.select(*keys, "y", "x", luma(*[F.col(c) for c in colours]).alias("_luma"))
+    return to_frames(grey, keys, "_luma", out=out)
+
+
+def thumbnail(pixels: DataFrame, keys: Sequence[str], colours: Sequence[str], size: tuple[int, int], *, side: int = 48, out: str = "thumb") -> DataFrame:
+    """A frame's raw colours at every n-th pixel from the first on, about ``side`` each way, as one array, which
+    ``cut_before`` compares."""
+    sy, sx = (max(1, n // side) for n in size)
+    some = pixels.where((F.col("y") % sy == 0) & (F.col("x") % sx == 0))
+    whole = to_frames(some.withColumn("_rgb", F.array(*colours)), keys, "_rgb", out=out)
+    return whole.withColumn(out, F.flatten(out))
+
+
 def cut_before(df: DataFrame, keys: Sequence[str], idx: str, proxy: str, threshold: float, *, out: str = "cut") -> DataFrame:
     """Whether a cut lies before a frame. A first frame, or one after a change of size, has none."""
     before = df.select(*keys, (F.col(idx) + 1).alias(idx), F.col(proxy).alias("_prev"))
@@ -65,38 +85,83 @@ def percentile_bounds(pixels: DataFrame, keys: Sequence[str], depth: str, *, low
     return found.select(*keys, lo.alias("low"), F.when(hi <= lo + 1e-8, lo + 1e-6).otherwise(hi).alias("high"))
 
 
-def fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: Sequence[tuple[str, str]], step: Callable[[Any, Any], tuple[Any, tuple]]) -> DataFrame:
-    """``df`` with columns from a recursion: ``step(state, row)`` gives the next state (None at first) and the
-    row's new values. A stream is read in order by one task that holds a batch and one state, not the stream."""
+def fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], given: Sequence[str], out: Sequence[tuple[str, str]], step: Callable[..., tuple[Any, tuple]]) -> DataFrame:
+    """``df`` with columns from a recursion: ``step(state, *values)`` takes a row's ``given`` columns and gives the next
+    state (None at first) and the row's new values. A stream is read in order by one task that holds a batch and one
+    state, not the stream. Null keys are a stream like any other."""
     schema = T.StructType([*df.schema.fields, *T.StructType.fromDDL(", ".join(f"{n} {kind}" for n, kind in out)).fields])
     names = [n for n, _ in out]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        stream, state = object(), None
+        before, state = None, None
         for part in parts:
+            if not len(part):
+                continue
+            begins = np.zeros(len(part), bool)
+            begins[0] = before is None
+            for k, name in enumerate(keys):
+                now = part[name].reset_index(drop=True)
+                last = now.shift()
+                if before is not None:
+                    last = pd.concat([pd.Series([before[k]], dtype=object), now[:-1].astype(object)], ignore_index=True)
+                begins |= ~((now.astype(object) == last) | (now.isna() & last.isna())).to_numpy(bool) & (before is not None or np.arange(len(part)) > 0)
             made = []
-            for row in part.itertuples(index=False):
-                own = tuple(getattr(row, k) for k in keys)
-                if own != stream:
-                    stream, state = own, None
-                state, values = step(state, row)
-                made.append(values)
-            yield part.assign(**{n: [m[k] for m in made] for k, n in enumerate(names)})
+            for begin, *values in zip(begins.tolist(), *[part[c].tolist() for c in given], strict=True):
+                state, new = step(None if begin else state, *values)
+                made.append(new)
+            before = [part[name].iloc[-1] for name in keys]
+            yield part.assign(**{n: list(column) for n, column in zip(names, zip(*made, strict=True), strict=True)})
 
     dealt = df.repartition(*keys) if keys else df.repartition(1)
     return dealt.sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
-def smooth_bounds(bounds: DataFrame, keys: Sequence[str], idx: str, *, ema: float = 0.95, cut: str = "cut") -> DataFrame:
-    """Running bounds norm_low and norm_high: an average of past and present that starts anew at a cut."""
+#: Rows whose recursion is computed in one go, and levels of such blocks of blocks: beyond BLOCK**3 rows a stream's uppermost block grows.
+BLOCK, LEVELS = 256, 3
+
+
+def _composed(m: Column, then: Column) -> Column:
+    """The step that does m and then another. A step takes the average s to a * s + (low, high), or, where there is none yet, to first."""
+    low, high = then["a"] * m["low"] + then["low"], then["a"] * m["high"] + then["high"]
+    first = [F.coalesce(then["a"] * m[f] + then[v], then[f]).alias(f) for f, v in (("first_low", "low"), ("first_high", "high"))]
+    return F.struct((m["a"] * then["a"]).alias("a"), low.alias("low"), high.alias("high"), *first)
+
+
+def _applied(state: Column, m: Column) -> Column:
+    return F.struct(*[F.when(state[v].isNull(), m[f"first_{v}"]).otherwise(m["a"] * state[v] + m[v]).alias(v) for v in ("low", "high")])
+
 
-    def step(state, row):
-        now = (row.low, row.high)
-        if state is not None and not getattr(row, cut):
-            now = tuple(ema * s + (1 - ema) * v for s, v in zip(state, now, strict=True))
-        return now, now
+def _states_before(steps: DataFrame, level: int) -> DataFrame:
+    """at and state for each stream's steps (stream, at, m): the average before each step, null before the first."""
+    block = F.floor(F.col("at") / BLOCK) if level else F.lit(0).cast("long")  # what is left uppermost is one block
+    packed = steps.groupBy("stream", block.alias("block")).agg(F.sort_array(F.collect_list(F.struct("at", "m"))).alias("rows"))
+    none = F.lit(None).cast("struct<low: double, high: double>")
+    if level:
+        nothing = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("low"), F.lit(0.0).alias("high"), F.lit(None).cast("double").alias("first_low"), F.lit(None).cast("double").alias("first_high"))
+        whole = packed.select("stream", F.col("block").alias("at"), F.aggregate("rows", nothing, lambda m, r: _composed(m, r["m"])).alias("m"))
+        packed = packed.join(_states_before(whole, level - 1).select("stream", F.col("at").alias("block"), "state"), ["stream", "block"])
+    else:
+        packed = packed.withColumn("state", none)
+    begin = F.struct(F.col("state"), F.array().cast("array<struct<at: bigint, state: struct<low: double, high: double>>>").alias("done"))
+    walked = F.aggregate("rows", begin, lambda s, r: F.struct(_applied(s["state"], r["m"]).alias("state"), F.array_append(s["done"], F.struct(r["at"].alias("at"), s["state"].alias("state"))).alias("done")))
+    return packed.select("stream", F.inline(walked["done"]))
 
-    return fold(bounds, keys, [idx], [("norm_low", "double"), ("norm_high", "double")], step)
+
+def smooth_bounds(bounds: DataFrame, keys: Sequence[str], idx: str, *, ema: float = 0.95, cut: str = "cut") -> DataFrame:
+    """Running bounds norm_low and norm_high: an average of past and present that starts anew at a cut.
+
+    Every row is a step a * s + b of the average s, and steps compose: blocks of rows are composed side by side, then
+    blocks of blocks, so one long stream is spread over the cluster. Rows of a stream have an index each.
+    """
+    fresh = F.coalesce(F.col(cut), F.lit(False))
+    share = F.when(fresh, 1.0).otherwise(1 - ema)
+    parts = [F.when(fresh, 0.0).otherwise(ema).alias("a"), *[(share * F.col(c)).alias(c) for c in ("low", "high")], *[F.col(c).cast("double").alias(f"first_{c}") for c in ("low", "high")]]
+    stream = F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))  # in a struct nulls are equal
+    steps = bounds.select(stream.alias("stream"), F.col(idx).cast("long").alias("at"), F.struct(*parts).alias("m"))
+    states = _states_before(steps, LEVELS - 1).withColumnsRenamed({"stream": "_stream", "at": "_at", "state": "_state"})
+    both = bounds.withColumns({"_stream": stream, "_at": F.col(idx).cast("long"), "_m": F.struct(*parts)}).join(states, ["_stream", "_at"])
+    now = _applied(F.col("_state"), F.col("_m"))
+    return both.select(*bounds.columns, now["low"].alias("norm_low"), now["high"].alias("norm_high"))
 
 
 def normalised(depth: Column, low: Column, high: Column, *, inverted: bool = False) -> Column:
@@ -112,13 +177,13 @@ def stabilise(df: DataFrame, keys: Sequence[str], order: Sequence[str], depth: s
     if a <= 0:
         return df.withColumn(out, F.col(depth))
 
-    def step(state, row):
-        now = np.asarray(getattr(row, depth), float)
+    def step(state, value):
+        now = np.asarray(value, float)
         if state is not None and state.shape == now.shape and np.abs(now - state).mean() < max(0.0, threshold):
             now = now + a * (state - now)
         return now, (now.tolist(),)
 
-    return fold(df, keys, order, [(out, kind.simpleString())], step)
+    return fold(df, keys, order, [depth], [(out, kind.simpleString())], step)
 
 
 def densify(df: DataFrame, keys: Sequence[str], idx: str, value: str, multiplier: int, *, following: str | None = None, cut: str | None = None, tail: bool = True, between: Callable[[Column, Column, Column], Column] | None = None) -> DataFrame:
@@ -201,11 +266,10 @@ def align_chain(windows: DataFrame, keys: Sequence[str], depth: str) -> DataFram
     """keys, window, scale and shift. Only places 0, 1 and 12 of a window enter the chain."""
     used = windows.where(F.col("place").isin(0, 1, 12)).groupBy(*keys, "window").agg(*[F.max(F.when(F.col("place") == p, F.col(depth))).alias(f"_p{p}") for p in (0, 1, 12)])
 
-    def step(state, row):
-        return align_step(state, row.window, *[np.asarray(getattr(row, n), float) for n in ("p0", "p1", "p12")])
+    def step(state, window, *frames):
+        return align_step(state, window, *[np.asarray(f, float) for f in frames])
 
-    named = used.withColumnsRenamed({f"_p{p}": f"p{p}" for p in (0, 1, 12)})
-    return fold(named, keys, ["window"], [("scale", "double"), ("shift", "double")], step).select(*keys, "window", "scale", "shift")
+    return fold(used, keys, ["window"], ["window", "_p0", "_p1", "_p12"], [("scale", "double"), ("shift", "double")], step).select(*keys, "window", "scale", "shift")
 
 
 def blend_windows(windows: DataFrame, keys: Sequence[str], idx: str, depth: str, aligned: DataFrame) -> DataFrame:
@@ -225,6 +289,20 @@ def keyframe_inputs(window: Column) -> Column:
     return F.when(window > 0, F.array(*before))
 
 
+def counted(df: DataFrame, name: str = "rows") -> tuple[DataFrame, Observation]:
+    """``df`` and what it will have counted when it has run: no second pass. ``.get["n"]`` waits for that."""
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("n")), seen
+
+
+def verify(seen: Observation, expected: int, what: str = "rows") -> int:
+    """Compare what was counted on the way; a difference is an error."""
+    found = seen.get["n"]
+    if found != expected:
+        raise ValueError(f"{found} {what} instead of {expected}")
+    return found
+
+
 def check_count(df: DataFrame, expected: int, what: str = "rows") -> int:
     """Count and compare; a difference is an error."""
     found = df.count()

@@ -92,6 +92,18 @@ def render_stereo(pixels: DataFrame, keys: Sequence[str], colours: Sequence[str]
     return tuple(render_eye(pixels, keys, colours, depth, d, size, **how) for d in (1, -1))
 
 
+def upsample_depth(depth: DataFrame, keys: Sequence[str], column: str, size: tuple[int, int], to: tuple[int, int]) -> DataFrame:
+    """A depth map at the picture's size, in 0..1: a bilinear resize, which comes before gamma."""
+    big = depth if tuple(size) == tuple(to) else resize(depth, keys, [column], size, to)
+    return big.select(*keys, "y", "x", clamp01(F.col(column)).alias(column))
+
+
+def render_with_depth(rgb: DataFrame, depth: DataFrame, keys: Sequence[str], colours: Sequence[str], column: str, size: tuple[int, int], depth_size: tuple[int, int], **how) -> tuple[DataFrame, DataFrame]:
+    """Left and right eye of pictures whose depth maps have a size of their own."""
+    both = join_depth(rgb, upsample_depth(depth, keys, column, depth_size, size), [*keys, "y", "x"])
+    return render_stereo(both, keys, colours, column, size, **how)
+
+
 def join_depth(rgb: DataFrame, depth: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Colour and depth by place; a frame that only one side has stops the query."""
     both = rgb.join(depth, list(keys), "full_outer")

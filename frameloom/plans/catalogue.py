@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import pixels as px
 from ..functions import scalars as sc
 from ..operators import layout, spatial, temporal, warp
-from ..session import table
+from ..session import shared_folder, table
 from ..sources import rawframes
 from ..streaming import series
 from . import encoder
@@ -347,9 +347,12 @@ def q_scene_cut(spark, sf_dir):
 _EMA = f"""{_EVENTS}, k AS (SELECT *, coalesce(abs(v - prev_v) >= 50e0, false) AS cut FROM s)"""
 
 
-@_query(f"""WITH RECURSIVE {_EMA}, r AS (SELECT user_id, idx, v AS lo, v + 10 AS hi FROM k WHERE idx = 0
+_NORM_EMA = f"""WITH RECURSIVE {_EMA}, r AS (SELECT user_id, idx, v AS lo, v + 10 AS hi FROM k WHERE idx = 0
     UNION ALL SELECT k.user_id, k.idx, CASE WHEN k.cut THEN k.v ELSE 0.95e0 * r.lo + (1 - 0.95e0) * k.v END, CASE WHEN k.cut THEN k.v + 10 ELSE 0.95e0 * r.hi + (1 - 0.95e0) * (k.v + 10) END FROM r JOIN k ON k.user_id = r.user_id AND k.idx = r.idx + 1)
-    SELECT user_id, idx, {_q('lo', '1e5')} AS norm_low, {_q('hi', '1e5')} AS norm_high FROM r""")
+    SELECT user_id, idx, {_q('lo', '1e5')} AS norm_low, {_q('hi', '1e5')} AS norm_high FROM r"""
+
+
+@_query(_NORM_EMA)
 def q_norm_ema(spark, sf_dir):
     v = F.col("v")
     e = _events(spark, sf_dir).select("user_id", "idx", v.alias("low"), (v + 10).alias("high"), F.coalesce(F.abs(v - F.col("prev_v")) >= 50, F.lit(False)).alias("cut"))
@@ -370,9 +373,12 @@ def q_normalise_frames(spark, sf_dir):
     return cells.join(bounds.select("frame_idx", "norm_low", "norm_high"), KEYS).select("frame_idx", "y", "x", q(norm, 1e5).alias("norm"))
 
 
-@_query(f"""WITH RECURSIVE {_EVENTS}, r AS (SELECT user_id, idx, v FROM s WHERE idx = 0
+_STABLE = f"""WITH RECURSIVE {_EVENTS}, r AS (SELECT user_id, idx, v FROM s WHERE idx = 0
     UNION ALL SELECT s.user_id, s.idx, CASE WHEN abs(s.v - r.v) >= 40e0 THEN s.v ELSE s.v + 0.15e0 * (r.v - s.v) END FROM r JOIN s ON s.user_id = r.user_id AND s.idx = r.idx + 1)
-    SELECT user_id, idx, {_q('v', '1e5')} AS stable FROM r""")
+    SELECT user_id, idx, {_q('v', '1e5')} AS stable FROM r"""
+
+
+@_query(_STABLE)
 def q_disp_stability(spark, sf_dir):
     e = _events(spark, sf_dir).select("user_id", "idx", "v")
     return temporal.stabilise(e, ["user_id"], ["idx"], "v", threshold=40.0).select("user_id", "idx", q(F.col("stable"), 1e5).alias("stable"))
@@ -426,30 +432,52 @@ _WINDOWS = """n AS (SELECT max(vec_id) + 1 AS n FROM embeddings), w AS (SELECT u
     p AS (SELECT w, n, unnest(generate_series(0, 31)) AS place FROM w), h AS (SELECT w AS "window", place::INTEGER AS place, least(w * 22 + place, n - 1) AS frame_idx, w * 22 + place >= n AS padded FROM p)"""
 
 
-@_query(f"""WITH {_WINDOWS} SELECT "window", place, frame_idx, padded, {_q('e.embedding[1]::DOUBLE')} AS first FROM h JOIN embeddings e ON e.vec_id = h.frame_idx""")
+_CELL = "(SELECT unnest(generate_series(0, 63))::INTEGER AS cell)"
+#: A frame's weight in a window; l.last is the stream's last window.
+_WEIGHT = """CASE WHEN "window" > 0 AND place < 2 THEN 0 WHEN "window" > 0 AND place < 10 THEN (place - 2) / 7e0 WHEN place < 24 OR "window" = last THEN 1 ELSE 1 - (place - 24) / 7e0 END"""
+
+
+def _by_cell(frames: DataFrame, values: str, *columns: str) -> DataFrame:
+    """A row per cell of a frame: the columns, cell and v."""
+    return frames.select(*columns, F.posexplode(values).alias("cell", "v"))
+
+
+@_query(f"""WITH {_WINDOWS} SELECT "window", place, frame_idx, padded, cell, {_q('e.embedding[cell + 1]::DOUBLE')} AS v FROM h JOIN embeddings e ON e.vec_id = h.frame_idx, {_CELL}""")
 def q_hop_windows(spark, sf_dir):
     out = temporal.hop_windows(_frames(spark, sf_dir), [], "frame_idx", ["e"])
-    return out.select("window", "place", "frame_idx", "padded", q(F.get("e", 0)).alias("first"))
+    return _by_cell(out, "e", "window", "place", "frame_idx", "padded").withColumn("v", q(F.col("v")))
 
 
-@_query(f"""WITH {_WINDOWS}, m AS (SELECT max("window") AS last FROM h), r AS (SELECT h.*, last, embedding[1]::DOUBLE * (1 + h."window" / 1e3) AS v FROM h, m JOIN embeddings e ON e.vec_id = h.frame_idx WHERE NOT padded),
-    k AS (SELECT frame_idx, v * CASE WHEN "window" > 0 AND place < 2 THEN 0 WHEN "window" > 0 AND place < 10 THEN (place - 2) / 7e0 WHEN place < 24 OR "window" = last THEN 1 ELSE 1 - (place - 24) / 7e0 END AS v FROM r)
-    SELECT frame_idx, {_q('sum(v)', '1e5')} AS v FROM k GROUP BY frame_idx""")
+@_query(f"""WITH {_WINDOWS}, m AS (SELECT max("window") AS last FROM h), r AS (SELECT h.*, last, cell, embedding[cell + 1]::DOUBLE * (1 + h."window" / 1e3) AS v FROM h, m, {_CELL} JOIN embeddings e ON e.vec_id = h.frame_idx WHERE NOT padded)
+    SELECT frame_idx, cell, {_q(f'sum(v * {_WEIGHT})', '1e5')} AS v FROM r GROUP BY frame_idx, cell""")
 def q_crossfade(spark, sf_dir):
     wins = temporal.hop_windows(_frames(spark, sf_dir), [], "frame_idx", ["e"]).where("NOT padded").withColumn("e", F.transform("e", lambda v: v * (1 + F.col("window") / 1e3)))
     plain = wins.select("window").distinct().select("window", F.lit(1.0).alias("scale"), F.lit(0.0).alias("shift"))
     floored = wins.withColumn("e", F.transform("e", lambda v: v + 100))  # the floor at 0 stays out of it
     out = temporal.blend_windows(floored, [], "frame_idx", "e", plain)
-    return out.select("frame_idx", q(F.get("e", 0) - 100, 1e5).alias("v"))
+    return _by_cell(out, "e", "frame_idx").withColumn("v", q(F.col("v") - 100, 1e5))
+
 
+def _chain_sql(depth: str) -> str:
+    """The alignment chain as a recursion over windows: of each, three frames' depths as lists. ``depth`` is that of x in a window w
+    whose first frame begins with b."""
+    lists = ", ".join(f"list_transform(e{p}.embedding, lambda x: {depth.replace('{x}', 'x::DOUBLE').replace('{b}', 'e0.embedding[1]::DOUBLE')}) AS p{p}" for p in (0, 1, 12))
+    joins = " ".join(f"JOIN embeddings e{p} ON e{p}.vec_id = least(w * 22 + {p}, n - 1)" for p in (0, 1, 12))
+    fitted = "SELECT w, a, p12, (128 * gt - sg * st) / (128 * gg - sg * sg) AS scale, sg, st FROM (SELECT w, a, p12, list_sum(g) AS sg, list_sum(t) AS st, list_inner_product(g, g) AS gg, list_inner_product(g, t) AS gt FROM (SELECT d.w, c.a, d.p12, list_concat(d.p0, d.p1) AS g, list_concat(c.a, c.b) AS t FROM chain c JOIN d ON d.w = c.w + 1))"
+    return f"""WITH RECURSIVE {_WINDOWS}, m AS (SELECT max("window") AS last FROM h), d AS (SELECT w, e0.embedding[1]::DOUBLE AS b, {lists} FROM w {joins}),
+    chain AS (SELECT w, p0 AS a, p12 AS b, 1e0 AS scale, 0e0 AS shift FROM d WHERE w = 0
+        UNION ALL SELECT w, a, list_transform(p12, lambda x: greatest(0e0, x * scale + (st - scale * sg) / 128)), scale, (st - scale * sg) / 128 FROM ({fitted})),
+    r AS (SELECT h.*, last, cell, scale, shift, {depth.replace('{x}', 'embedding[cell + 1]::DOUBLE').replace('{b}', 'd.b').replace('w ', 'h."window" ').replace('(w', '(h."window"')} AS v FROM h, m, {_CELL} JOIN embeddings e ON e.vec_id = h.frame_idx JOIN chain ON chain.w = h."window" JOIN d ON d.w = h."window" WHERE NOT padded)
+    SELECT frame_idx, cell, {_q(f'sum(CASE WHEN "window" = 0 THEN v ELSE greatest(0e0, v * scale + shift) END * {_WEIGHT})', '1e4')} AS v FROM r GROUP BY frame_idx, cell"""
 
-@_query()
+
+@_query(_chain_sql("({x} + 1) * (1 + w / 10e0) + w / 7e0"))
 def q_align_chain(spark, sf_dir):
     """Windows whose depths each have a scale and shift of their own, brought back onto one chain."""
     wins = temporal.hop_windows(_frames(spark, sf_dir), [], "frame_idx", ["e"]).withColumn("d", F.transform("e", lambda v: (v + 1) * (1 + F.col("window") / 10) + F.col("window") / 7))
     aligned = temporal.align_chain(wins, [], "d")
     out = temporal.blend_windows(wins, [], "frame_idx", "d", aligned)
-    return out.select("frame_idx", q(F.get("d", 0), 1e4).alias("v"))
+    return _by_cell(out, "d", "frame_idx").withColumn("v", q(F.col("v"), 1e4))
 
 
 @_query("""SELECT frame_idx // 22 AS "window", [0, 12, 24, 25, 26, 27, 28, 29, 30, 31][k]::INTEGER AS place,
@@ -479,30 +507,99 @@ def q_encoder_matrix(spark, sf_dir):
     return encoder.matrix(spark)
 
 
-def _shared(spark: SparkSession, what: str) -> str:
-    """A new folder that all executors reach: under the checkpoint folder, or a temporary one where none is set."""
-    import tempfile
-    import uuid
+def _streamed(spark: SparkSession, rows: DataFrame, batch: int, columns: list[str]) -> DataFrame:
+    """Rows stream_id, idx and columns as a stream: three micro-batches cut at multiples of ``batch``, ends in the last."""
+    folder = f"{shared_folder(spark, 'stream')}/in"
+    given = rows.select(F.col("stream_id").cast("string").alias("stream_id"), "idx", *columns, F.lit(False).alias("is_eof"))
+    for k in range(3):  # a file per batch
+        part = given.where(F.least(F.lit(2).cast("long"), F.floor(F.col("idx") / batch)) == k)
+        if k == 2:
+            nulls = [F.lit(None).cast(given.schema[c].dataType).alias(c) for c in columns]
+            part = part.unionByName(given.groupBy("stream_id").agg((F.max("idx") + 1).alias("idx")).select("stream_id", "idx", *nulls, F.lit(True).alias("is_eof")))
+        part.coalesce(1).write.parquet(f"{folder}/{k}")
+    return spark.readStream.schema(given.schema).option("maxFilesPerTrigger", "1").parquet(f"{folder}/*")
+
+
+def _ended(spark: SparkSession, stream: DataFrame) -> DataFrame:
+    """What a stream has given when its source has ended."""
+    folder = shared_folder(spark, "streamed")
+    series.run_to_end(stream, f"{folder}/out", f"{folder}/checkpoint")
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _events(spark, sf_dir).withColumn("stream_id", F.col("user_id"))
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='shared-')}"
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+def _frame_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frames as one stream."""
+    return _frames(spark, sf_dir).select(F.lit(0).alias("stream_id"), F.col("frame_idx").alias("idx"), F.col("e").alias("v"))
 
 
 @_query(_dense_sql(4, True, "false"))
 def q_stream_densify(spark, sf_dir):
     """The series cut into micro-batches, with state between them: the same rows as in one go."""
-    folder = _shared(spark, "stream")
-    e = _events(spark, sf_dir).select(F.col("user_id").cast("string").alias("stream_id"), "idx", "v", F.lit(False).alias("is_eof"))
-    for k in range(3):  # a file per batch
-        part = e.where(F.least(F.lit(2).cast("long"), F.floor(F.col("idx") / 30)) == k)
-        if k == 2:
-            ends = e.groupBy("stream_id").agg((F.max("idx") + 1).alias("idx")).select("stream_id", "idx", F.lit(None).cast("double").alias("v"), F.lit(True).alias("is_eof"))
-            part = part.unionByName(ends)
-        part.coalesce(1).write.parquet(f"{folder}/in/{k}")
-    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", "1").parquet(f"{folder}/in/*")
-    series.run_to_end(series.densify_stream(stream, 4), f"{folder}/out", f"{folder}/checkpoint")
-    out = spark.read.parquet(f"{folder}/out")
-    return out.select(F.col("stream_id").cast("long").alias("user_id"), "out_idx", q(F.col("v"), 1e5).alias("v"))
+    out = _ended(spark, series.densify_stream(_streamed(spark, _event_stream(spark, sf_dir), 30, ["v"]), 4))
+    return out.select(F.col("stream_id").alias("user_id"), "out_idx", q(F.col("v"), 1e5).alias("v"))
+
+
+@_query(_NORM_EMA)
+def q_stream_bounds(spark, sf_dir):
+    """The running bounds as a stream."""
+    e = _event_stream(spark, sf_dir).withColumns({"low": F.col("v"), "high": F.col("v") + 10, "cut": F.coalesce(F.abs(F.col("v") - F.col("prev_v")) >= 50, F.lit(False))})
+    out = _ended(spark, series.bounds_stream(_streamed(spark, e, 30, ["low", "high", "cut"])))
+    return out.select(F.col("stream_id").alias("user_id"), "idx", q(F.col("norm_low"), 1e5).alias("norm_low"), q(F.col("norm_high"), 1e5).alias("norm_high"))
+
+
+@_query(_STABLE)
+def q_stream_stability(spark, sf_dir):
+    """Depth stability as a stream of fields, here of one cell."""
+    e = _event_stream(spark, sf_dir).withColumn("v", F.array("v"))
+    out = _ended(spark, series.stability_stream(_streamed(spark, e, 30, ["v"]), threshold=40.0))
+    return out.select(F.col("stream_id").alias("user_id"), "idx", q(F.get("stable", 0), 1e5).alias("stable"))
+
+
+@_query(f"""WITH {_CELLS}, {_MAD}, m AS (SELECT frame_idx, coalesce(mad >= 0.14e0, false) AS cut FROM d),
+    j AS (SELECT c.*, b.v AS nv, m.cut FROM c JOIN m USING (frame_idx) LEFT JOIN c b ON b.frame_idx = c.frame_idx + 1 AND b.y = c.y AND b.x = c.x), o AS (SELECT *, unnest(generate_series(0, 3)) AS k FROM j)
+    SELECT frame_idx * 4 + k AS out_idx, (y * 8 + x)::INTEGER AS cell, {_q('CASE WHEN k = 0 OR nv IS NULL OR cut THEN v ELSE v * (1 - k / 4e0) + nv * (k / 4e0) END', '1e5')} AS v FROM o""")
+def q_stream_frames(spark, sf_dir):
+    """Whole frames densified as a stream, with cuts held and the exact tail."""
+    out = _ended(spark, series.densify_stream(_streamed(spark, _frame_stream(spark, sf_dir), 100, ["v"]), 4, threshold=0.14))
+    return _by_cell(out, "v", "out_idx").withColumn("v", q(F.col("v"), 1e5))
+
+
+def _tilted(window):
+    """A stand-in depth model whose scale and shift depend on the window's first value."""
+    first = window[0, 0]
+    return (window + 1) * (2 + first) + first
+
+
+@_query(_chain_sql("({x} + 1) * (2 + {b}) + {b}"))
+def q_stream_windows(spark, sf_dir):
+    """Depth windows as a stream: windowed, modelled, aligned on the chain and cross-faded between micro-batches."""
+    rows = _streamed(spark, _frame_stream(spark, sf_dir).withColumnRenamed("v", "values"), 100, ["values"])
+    out = _ended(spark, series.depth_window_stream(rows, _tilted))
+    return _by_cell(out, "depth", F.col("idx").alias("frame_idx")).withColumn("v", q(F.col("v"), 1e4))
+
+
+@_query(f"WITH {_CELLS} SELECT frame_idx, y, x, floor(z * 65535 + 0.5e0)::INTEGER AS u16 FROM c")
+def q_stream_sink(spark, sf_dir):
+    """Frames written batch by batch by the stream's sink, their number checked at the end, and read back."""
+    spark.dataSource.register(rawframes.RawFrames)
+    folder = shared_folder(spark, "frames")
+    stream = series.densify_stream(_streamed(spark, _frame_stream(spark, sf_dir), 100, ["v"]), 1)
+    rgb = stream.withColumn("rgb", F.flatten(F.transform("v", lambda v: F.array_repeat(px.clamp01(v + 0.5), 3))))
+    packed = rawframes.pack(rgb.select("out_idx", "rgb"), "rgb", "rgb48le").select("out_idx", "data")
+    series.run_to_end(packed, folder, f"{shared_folder(spark, 'checkpoint')}", form="rawframes")
+    rawframes.finish(folder, _frames(spark, sf_dir).count())
+    return _read_back(spark, folder)
+
+
+def _read_back(spark: SparkSession, folder: str) -> DataFrame:
+    read = spark.read.format("rawframes").options(width=SIDE, height=SIDE, pix_fmt="rgb48le", path=folder).load()
+    cells = rawframes.unpack(read.select("frame_idx", "pix_fmt", "data")).select("frame_idx", F.posexplode("rgb").alias("at", "v")).where("at % 3 = 0")
+    at = (F.col("at") / 3).cast("long")
+    return cells.select("frame_idx", F.floor(at / SIDE).cast("long").alias("y"), (at % SIDE).alias("x"), F.round(F.col("v").cast("double") * 65535).cast("int").alias("u16"))
 
 
 @_query(f"WITH {_CELLS} SELECT frame_idx, y, x, floor(z * 65535 + 0.5e0)::INTEGER AS u16 FROM c")
@@ -511,13 +608,9 @@ def q_frame_roundtrip(spark, sf_dir):
     spark.dataSource.register(rawframes.RawFrames)
     rgb = F.flatten(F.transform("e", lambda v: F.array_repeat(px.clamp01(v + 0.5), 3)))
     frames = rawframes.pack(_frames(spark, sf_dir).select(F.col("frame_idx").alias("out_idx"), rgb.alias("rgb")), "rgb", "rgb48le")
-    folder = _shared(spark, "frames")
-    rawframes.write_ordered(frames, folder, partitions=1)
-    manifest = spark.read.text(f"{folder}/manifest.json", wholetext=True).select(F.from_json("value", "struct<frames: long, files: array<array<string>>>").alias("m")).first().m
-    read = spark.read.format("rawframes").options(width=SIDE, height=SIDE, pix_fmt="rgb48le", path=f"{folder}/{manifest.files[0][0]}").load()
-    cells = rawframes.unpack(read.select("frame_idx", "pix_fmt", "data")).select("frame_idx", F.posexplode("rgb").alias("at", "v")).where("at % 3 = 0")
-    at = (F.col("at") / 3).cast("long")
-    return cells.select("frame_idx", F.floor(at / SIDE).cast("long").alias("y"), (at % SIDE).alias("x"), F.round(F.col("v").cast("double") * 65535).cast("int").alias("u16"))
+    folder = shared_folder(spark, "frames")
+    rawframes.write_ordered(frames, folder, partitions=4)
+    return _read_back(spark, folder)
 
 
 @_query(f"""WITH {_CELLS}, {_MAD}, p AS (SELECT frame_idx, quantile_cont(v, 0.02) AS lo, quantile_cont(v, 0.98) AS hi FROM c GROUP BY frame_idx),

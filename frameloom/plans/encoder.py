@@ -32,6 +32,8 @@ LEGACY_PRESETS = ("lossless_x264_qp0", "av1_vaapi_150m_10bit")
 
 @dataclass(frozen=True)
 class Settings:
+    """An encoder's settings. The defaults are fixed values, those of the graph's encoder node."""
+
     codec: str = "x264"
     bit_depth: str = "10bit"
     rate_control: str = "constant_quality"
@@ -75,12 +77,35 @@ def mbps(value: float) -> str:
     return f"{value:g}M"
 
 
-def _input(fmt: str, rate: float, width: int, height: int) -> list[str]:
-    return f"-f rawvideo -pix_fmt {fmt} -color_range pc -colorspace rgb -color_primaries bt709 -color_trc bt709 -s {width}x{height} -r {float(rate)} -i -".split()
+#: Fixed values, which the encoder's command line defines: arguments before the raw format, between it and the size, and after the rate.
+QUIET = ["-v", "error", "-y"]
+RAW_INPUT = ["-f", "rawvideo", "-pix_fmt"]
+RAW_COLOUR = ["-color_range", "pc", "-colorspace", "rgb", "-color_primaries", "bt709", "-color_trc", "bt709", "-s"]
+RAW_END = ["-i", "-"]
+OUTPUT_COLOUR = ["-color_range", "tv", "-colorspace", "bt709", "-color_primaries", "bt709", "-color_trc", "bt709", "-movflags", "+faststart"]
+DEVICE = ["-init_hw_device", "vaapi=foo:{device}", "-filter_hw_device", "foo"]
+COLOUR_FILTER = "scale=out_color_matrix=bt709:out_range=tv"
+#: Quality arguments by rate control and codec; {crf} is the setting, {whole} the setting as a whole number.
+QUALITY = {
+    ("lossless", "x264"): ["-qp", "0"],
+    ("lossless", "x265"): ["-x265-params", "lossless=1"],
+    ("constant_quality", "x264"): ["-crf", "{crf}"],
+    ("constant_quality", "x265"): ["-crf", "{crf}"],
+    ("constant_quality", "av1"): ["-crf", "{whole}"],
+}
+#: What the two older presets put between input and output.
+LEGACY_LOSSLESS = ["-c:v", "libx264", "-preset", "ultrafast", "-qp", "0", "-pix_fmt"]
+LEGACY_HARDWARE = ["-c:v", "av1_vaapi", "-b:v", "150M", "-maxrate", "150M", "-bufsize", "300M", "-rc_mode", "VBR"]
+
+
+def _filled(arguments: list[str], **values: str) -> list[str]:
+    return [a.format(**values) for a in arguments]
 
 
-def _output(path: str) -> list[str]:
-    return [*"-color_range tv -colorspace bt709 -color_primaries bt709 -color_trc bt709 -movflags +faststart".split(), path]
+def _whole(tool: str, device: list[str], fmt: str, size: tuple[int, int], rate: float, mode: list[str], path: str) -> list[str]:
+    """A command: the tool, raw frames on its input, what is done with them, and where they go."""
+    given = [*RAW_INPUT, fmt, *RAW_COLOUR, "x".join(map(str, size)), "-r", str(float(rate)), *RAW_END]
+    return [tool, *QUIET, *device, *given, *mode, *OUTPUT_COLOUR, path]
 
 
 def command(tool: str, rate: float, width: int, height: int, path: str, s: Settings) -> list[str]:
@@ -92,34 +117,25 @@ def command(tool: str, rate: float, width: int, height: int, path: str, s: Setti
     rates = ["-b:v", mbps(s.bitrate_mbps), "-maxrate", mbps(s.maxrate_mbps), "-bufsize", mbps(s.bufsize_mbps)] if s.rate_control == "vbr" else []
     if s.codec == "av1":
         rates = rates[:2]  # this encoder takes bounds with a quality setting only
-    quality = {
-        ("lossless", "x264"): ["-qp", "0"],
-        ("lossless", "x265"): ["-x265-params", "lossless=1"],
-        ("constant_quality", "x264"): ["-crf", f"{float(s.crf):g}"],
-        ("constant_quality", "x265"): ["-crf", f"{float(s.crf):g}"],
-        ("constant_quality", "av1"): ["-crf", str(round(s.crf))],
-    }
     if hardware:
         mode = ["-rc_mode", "VBR", *rates] if rates else ["-rc_mode", "CQP", "-global_quality", str(int(s.av1_qp))]
     else:
         preset = str(SOFTWARE_PRESETS[s.software_preset]) if s.codec == "av1" else s.software_preset
-        mode = ["-preset", preset, *(rates or quality[s.rate_control, s.codec]), "-pix_fmt", fmt]
-    device = ["-init_hw_device", f"vaapi=foo:{s.vaapi_device}", "-filter_hw_device", "foo"] if hardware else []
-    scale = f"scale=out_color_matrix=bt709:out_range=tv,format={fmt}" + ",hwupload" * hardware
+        quality = rates or _filled(QUALITY[s.rate_control, s.codec], crf=f"{float(s.crf):g}", whole=str(round(s.crf)))
+        mode = ["-preset", preset, *quality, "-pix_fmt", fmt]
+    scale = ",".join([COLOUR_FILTER, f"format={fmt}", *(["hwupload"] if hardware else [])])
+    device = _filled(DEVICE, device=s.vaapi_device) if hardware else []
     raw = "rgb48le" if s.bit_depth == "10bit" else "rgb24"
-    return [tool, "-v", "error", "-y", *device, *_input(raw, rate, width, height), "-vf", scale, "-c:v", encoder, *mode, *_output(path)]
+    return _whole(tool, device, raw, (width, height), rate, ["-vf", scale, "-c:v", encoder, *mode], path)
 
 
 def legacy_command(tool: str, rate: float, width: int, height: int, path: str, preset: str, pixel_format: str = "yuv420p") -> list[str]:
     """The two older presets, which always take 8-bit input."""
     if preset == LEGACY_PRESETS[0]:
-        mode = ["-vf", "scale=out_color_matrix=bt709:out_range=tv", "-c:v", "libx264", "-preset", "ultrafast", "-qp", "0", "-pix_fmt", pixel_format]
-        return [tool, "-v", "error", "-y", *_input("rgb24", rate, width, height), *mode, *_output(path)]
+        return _whole(tool, [], "rgb24", (width, height), rate, ["-vf", COLOUR_FILTER, *LEGACY_LOSSLESS, pixel_format], path)
     if preset == LEGACY_PRESETS[1]:
-        s = Settings(codec="av1_vaapi", rate_control="vbr", bitrate_mbps=150, maxrate_mbps=150, bufsize_mbps=300)
-        device = ["-init_hw_device", f"vaapi=foo:{s.vaapi_device}", "-filter_hw_device", "foo"]
-        mode = ["-vf", "scale=out_color_matrix=bt709:out_range=tv,format=p010le,hwupload", "-c:v", "av1_vaapi", "-b:v", "150M", "-maxrate", "150M", "-bufsize", "300M", "-rc_mode", "VBR"]
-        return [tool, "-v", "error", "-y", *device, *_input("rgb24", rate, width, height), *mode, *_output(path)]
+        device = _filled(DEVICE, device=Settings.vaapi_device)
+        return _whole(tool, device, "rgb24", (width, height), rate, ["-vf", f"{COLOUR_FILTER},format=p010le,hwupload", *LEGACY_HARDWARE], path)
     raise ValueError(f"unknown preset {preset}")
 
 

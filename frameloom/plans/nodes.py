@@ -38,9 +38,9 @@ for _name, _target in {
     "DepthStereoTuning": pixels.tune,
     "ResolutionStereoControls": scalars.stereo_controls,
     "AsyncVideoEncoder": encoder.command,
-    "StreamingVideoEncoder": rawframes.write_ordered,
+    "StreamingVideoEncoder": series.run_to_end,
     "AsyncLosslessVideoEncoder": encoder.legacy_command,
-    "EncoderCleanup": lambda spark: [q.stop() for q in spark.streams.active],
+    "EncoderCleanup": lambda spark, name: [q.stop() for q in spark.streams.active if q.name == name],
 }.items():
     register(_name, _target)
 

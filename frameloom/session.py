@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -27,3 +31,14 @@ def session(app: str = "frameloom", master: str | None = None, **conf: str) -> S
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table. The path goes to Spark's reader as it is, so any store that Spark reads will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession, what: str) -> str:
+    """A new folder's URI that the driver and all executors reach, under the session's checkpoint folder. Only a local
+    session, which has one machine, may leave that out."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='shared-')}"
+    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"

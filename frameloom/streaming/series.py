@@ -45,40 +45,97 @@ def _ordered(parts: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(list(parts)).sort_values(["is_eof", "idx"], kind="stable")
 
 
+def _fields(values: list[Any]) -> pd.Series:
+    """A column of arrays, also where there are none."""
+    return pd.Series([v.tolist() for v in values], dtype=object)
+
+
+#: Rows that a processor hands on at once, and numbers in them, where rows are frames.
+_PART, _NUMBERS = 10_000, 1 << 20
+
+
 class DensifyProcessor(StatefulProcessor):
     """Rows stream_id, out_idx, v: ``multiplier`` - 1 linear steps between neighbours, cuts held, and the last
-    row held at the end of the stream if there is a tail."""
+    row held at the end of the stream if there is a tail. v is a number, or with ``frames`` an array, whose
+    mean absolute difference makes a cut."""
 
-    def __init__(self, multiplier: int, threshold: float = 0.0, tail: bool = True, on_change: str = "error"):
-        self.multiplier, self.threshold, self.tail = multiplier, threshold, tail
-        self.signature = Signature(f"{multiplier}|{threshold}|{tail}", on_change)
+    def __init__(self, multiplier: int, threshold: float = 0.0, tail: bool = True, on_change: str = "error", frames: bool = False):
+        self.multiplier, self.threshold, self.tail, self.frames = multiplier, threshold, tail, frames
+        self.signature = Signature(f"{multiplier}|{threshold}|{tail}|{frames}", on_change)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "signature string, last double, n long, out long")
+        kind = "array<double>" if self.frames else "double"
+        self.state = handle.getValueState("state", f"signature string, last {kind}, n long, out long")
+
+    def _dense(self, given: pd.DataFrame, last: Any) -> Iterator[tuple[Any, bool]]:
+        """Each row that comes out, and whether it is one of the input's."""
+        m = self.multiplier
+        for v, end in zip(given["v"], given["is_eof"], strict=True):
+            if end:
+                yield from [(last, False)] * ((m - 1) if last is not None and self.tail else 0)
+                continue
+            v = np.asarray(v, float) if self.frames else float(v)
+            if last is not None:
+                cut = self.threshold > 0 and np.mean(np.abs(v - last)) >= self.threshold
+                yield from ((last if cut else last * (1 - j / m) + v * (j / m), False) for j in range(1, m))
+            last = v
+            yield v, True
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        last, n, out, made, ended = None, 0, 0, [], False
+        last, n, out = None, 0, 0
         if self.state.exists():
             held, before, count, written = self.state.get()
             if self.signature.carries_on(held):
-                last, n, out = before, count, written
-        m = self.multiplier
-        for row in _ordered(rows).itertuples(index=False):
-            if row.is_eof:
-                ended = True
-                if last is not None and self.tail:
-                    made += [last] * (m - 1)
-                continue
-            if last is not None:
-                cut = self.threshold > 0 and abs(row.v - last) >= self.threshold
-                made += [last if cut else last * (1 - j / m) + row.v * (j / m) for j in range(1, m)]
-            made.append(row.v)
-            last, n = row.v, n + 1
-        if ended:
+                last, n, out = np.array(before, float) if self.frames else before, count, written
+        given = _ordered(rows)
+        own = given.loc[~given["is_eof"], "v"]
+        part = max(1, _NUMBERS // max(1, len(own.iloc[0]))) if self.frames and len(own) else _PART
+        made: list[Any] = []
+        for v, real in self._dense(given, last):
+            made.append(v)
+            if real:
+                last, n = v, n + 1
+            if len(made) == part:  # parts, so that no frame of a micro-batch's whole output is made
+                yield self._rows(key, out, made)
+                out, made = out + len(made), []
+        if bool(given["is_eof"].any()):
             self.state.clear()
         elif last is not None:
-            self.state.update((self.signature.value, float(last), n, out + len(made)))
-        yield pd.DataFrame({"stream_id": [key[0]] * len(made), "out_idx": np.arange(out, out + len(made)), "v": made})
+            self.state.update((self.signature.value, last.tolist() if self.frames else float(last), n, out + len(made)))
+        yield self._rows(key, out, made)
+
+    def _rows(self, key: Any, out: int, made: list[Any]) -> pd.DataFrame:
+        return pd.DataFrame({"stream_id": [key[0]] * len(made), "out_idx": np.arange(out, out + len(made)), "v": _fields(made) if self.frames else pd.Series(made, dtype=float)})
+
+    def close(self) -> None:
+        pass
+
+
+class StabilityProcessor(StatefulProcessor):
+    """Rows stream_id, idx, stable from v, an array: mixed with the field before as it was mixed, unless that is far."""
+
+    def __init__(self, stability: float = 0.15, threshold: float = 0.2):
+        self.stability, self.threshold = min(0.95, max(0.0, stability)), max(0.0, threshold)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("state", "last array<double>")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        last = np.array(self.state.get()[0], float) if self.state.exists() else None
+        given = _ordered(rows)
+        real = given[~given["is_eof"]]
+        made = []
+        for value in real["v"]:
+            now = np.asarray(value, float)
+            if last is not None and last.shape == now.shape and np.abs(now - last).mean() < self.threshold:
+                now = now + self.stability * (last - now)
+            last = now
+            made.append(now)
+        if len(real) < len(given):
+            self.state.clear()
+        elif last is not None:
+            self.state.update((last.tolist(),))
+        yield pd.DataFrame({"stream_id": [key[0]] * len(made), "idx": real["idx"].to_numpy(), "stable": _fields(made)})
 
     def close(self) -> None:
         pass
@@ -184,14 +241,22 @@ class DepthWindowProcessor(StatefulProcessor):
         else:
             lists = lambda v: [x.tolist() for x in v]
             self.state.update((self.signature.value, core.first, core.window, lists(core.frames), lists(core.chain or ()), lists(core.pending)))
-        yield pd.DataFrame({"stream_id": [key[0]] * len(out), "idx": [i for i, _ in out], "depth": [d.tolist() for _, d in out]})
+        yield pd.DataFrame({"stream_id": [key[0]] * len(out), "idx": [i for i, _ in out], "depth": _fields([d for _, d in out])})
 
     def close(self) -> None:
         pass
 
 
 def densify_stream(rows: DataFrame, multiplier: int, **how) -> DataFrame:
-    return rows.groupBy("stream_id").transformWithStateInPandas(DensifyProcessor(multiplier, **how), "stream_id long, out_idx long, v double", "Append", "None")
+    """From rows stream_id, idx, v and is_eof, v being a number or an array of them."""
+    frames = rows.schema["v"].dataType.typeName() == "array"
+    kind = "array<double>" if frames else "double"
+    return rows.groupBy("stream_id").transformWithStateInPandas(DensifyProcessor(multiplier, frames=frames, **how), f"stream_id long, out_idx long, v {kind}", "Append", "None")
+
+
+def stability_stream(rows: DataFrame, **how) -> DataFrame:
+    """From rows stream_id, idx, v (an array) and is_eof."""
+    return rows.groupBy("stream_id").transformWithStateInPandas(StabilityProcessor(**how), "stream_id long, idx long, stable array<double>", "Append", "None")
 
 
 def bounds_stream(rows: DataFrame, ema: float = 0.95) -> DataFrame:
@@ -202,13 +267,13 @@ def depth_window_stream(rows: DataFrame, model, **how) -> DataFrame:
     return rows.groupBy("stream_id").transformWithStateInPandas(DepthWindowProcessor(model, **how), "stream_id long, idx long, depth array<double>", "Append", "None")
 
 
-def run_to_end(stream: DataFrame, sink: str, checkpoint: str) -> None:
-    """All that the source has, in as many micro-batches as it gives, appended to Parquet at ``sink``."""
+def run_to_end(stream: DataFrame, sink: str, checkpoint: str, *, form: str = "parquet", **options: str) -> None:
+    """All that the source has, in as many micro-batches as it gives, appended to ``sink``."""
     spark = stream.sparkSession
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     try:
-        query = stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query = stream.writeStream.format(form).options(**options).option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
         if before is None:

@@ -198,3 +198,61 @@ def test_nodes():
     with pytest.raises(ValueError):
         nodes.register("SBSCombine", print)
     assert [k for k, _ in nodes.stage_profile({"z": 1, "block1": 2, "a": 3, "encode": 4}, ["encode", "block0", "block1"])] == ["encode", "block1", "a", "z"]
+
+
+def test_rates_have_six_digits(spark):
+    values = [12.5, 100.0, 123.4567, 0.00001, 0.0001234567, 999999.5, 1e6, 99999.97, 0.1, 7.0, 1234567.0, 150.0]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [r.t for r in df.select(sc.rate_text(F.col("v")).alias("t")).collect()] == [f"{v:g}M" for v in values]
+
+
+def test_names_of_outputs_that_are_taken(spark):
+    df = spark.createDataFrame([("a", []), ("a", ["a.mp4"]), ("a", ["a.mp4", "a (2).mp4", "a (4).mp4"]), ("b c", ["a.mp4"])], "stem string, taken array<string>")
+    assert [r.n for r in df.select(sc.free_output(F.col("stem"), F.col("taken")).alias("n")).collect()] == ["a", "a (2)", "a (3)", "b c"]
+
+
+def test_decode_chain(spark):
+    pixels = spark.createDataFrame([(f, y, x, float(100 * f + 10 * y + x)) for f in range(4) for y in range(4) for x in range(8)], "f long, y long, x long, v double")
+    same, size = layout.decode_chain(pixels, [], "f", ["v"], (4, 8))
+    assert size == (4, 8) and same.count() == pixels.count()
+    fast, _ = layout.decode_chain(pixels, [], "f", ["v"], (4, 8), rate=24, force_rate=48)
+    assert sorted({(r.f, int(r.v // 100)) for r in fast.collect()}) == [(k, k // 2) for k in range(8)]
+    slow, _ = layout.decode_chain(pixels, [], "f", ["v"], (4, 8), rate=24, force_rate=12, cap=1)
+    assert {(r.f, int(r.v // 100)) for r in slow.collect()} == {(0, 0)}
+    square, size = layout.decode_chain(pixels, [], "f", ["v"], (4, 8), to=(4, 4))
+    got = {(r.f, r.y, r.x): r.v for r in square.collect()}
+    assert size == (4, 4) and all(v == 100 * f + 10 * y + x + 2 for (f, y, x), v in got.items())
+    half, size = layout.decode_chain(pixels, [], "f", ["v"], (4, 8), to=(0, 4))
+    assert size == (2, 4) and half.where("f = 0").count() == 8
+
+
+def test_depth_of_another_size(spark):
+    rgb = spark.createDataFrame([(0, y, x, 0.5, 0.25 * y) for y in range(4) for x in range(4)], "f long, y long, x long, r double, g double")
+    depth = spark.createDataFrame([(0, y, x, 0.2 + 0.5 * y + 0.1 * x) for y in range(2) for x in range(2)], "f long, y long, x long, z double")
+    big = {(r.y, r.x): r.z for r in warp.upsample_depth(depth, ["f"], "z", (2, 2), (4, 4)).collect()}
+    line = [0, 0.25, 0.75, 1]
+    assert all(big[y, x] == pytest.approx(min(1, 0.2 + 0.5 * line[y] + 0.1 * line[x])) for y in range(4) for x in range(4))
+    left, right = warp.render_with_depth(rgb, depth, ["f"], ["r", "g"], "z", (4, 4), (2, 2), max_eye_px=1.0)
+    assert left.count() == right.count() == 16
+
+
+def test_a_stream_of_frames_and_its_end(spark, tmp_path):
+    spark.dataSource.register(rawframes.RawFrames)
+    (tmp_path / "in").mkdir()
+    rows = [(k, bytes([k] * 6)) for k in range(7)]
+    for k, part in enumerate((rows[:3], rows[3:5], rows[5:])):
+        spark.createDataFrame(part, "out_idx long, data binary").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    def go(out, **options):
+        stream = spark.readStream.schema("out_idx long, data binary").option("maxFilesPerTrigger", "1").parquet(f"{tmp_path}/in/*")
+        query = stream.writeStream.format("rawframes").options(path=str(tmp_path / out), **options).option("checkpointLocation", str(tmp_path / f"{out}-state")).trigger(availableNow=True).start()
+        query.awaitTermination()
+    go("a", expected_frames="7")
+    assert rawframes.finish(str(tmp_path / "a"), 7) == 7
+    with pytest.raises(rawframes.SourceError):
+        rawframes.finish(str(tmp_path / "a"), 8)
+    read = spark.read.format("rawframes").options(path=str(tmp_path / "a"), width=2, height=1, frames_per_partition=2).load().orderBy("frame_idx").collect()
+    assert [(r.frame_idx, bytes(r.data), r.is_last) for r in read] == [(k, d, k == 6) for k, d in rows]
+    with pytest.raises(Exception, match="instead of 4"):
+        go("b", expected_frames="4")
+    with pytest.raises(Exception, match="force_rate"):
+        spark.read.format("rawframes").options(path=str(tmp_path / "a"), width=2, height=1, force_rate=24).load().count()

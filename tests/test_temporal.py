@@ -147,3 +147,52 @@ def test_signatures():
     assert not Signature("a", "new").carries_on("b")
     with pytest.raises(ValueError):
         Signature("a").carries_on("b")
+
+
+def test_null_keys_are_a_stream(spark):
+    rows = [(None, i, float(i > 0), 2.0, False) for i in range(3)] + [("b", 0, 9.0, 9.5, False)]
+    df = spark.createDataFrame(rows, "s string, i long, low double, high double, cut boolean")
+    assert [r.norm_low for r in temporal.smooth_bounds(df, ["s"], "i", ema=0.5).orderBy("s", "i").collect()] == [0, 0.5, 0.75, 9]
+    assert [r.stable for r in temporal.stabilise(df, ["s"], ["i"], "low", stability=0.5, threshold=3).orderBy("s", "i").collect()] == [0, 0.5, 0.75, 9]
+    numbered = df.selectExpr("CAST(NULL AS bigint) AS s", "i", "low").where("high = 2")
+    assert [r.stable for r in temporal.stabilise(numbered, ["s"], ["i"], "low", stability=0.5, threshold=3).orderBy("i").collect()] == [0, 0.5, 0.75]
+
+
+def test_bounds_in_blocks_equal_a_loop(spark, monkeypatch):
+    """Blocks of blocks: the same averages as one after another, wherever cuts and blocks begin."""
+    monkeypatch.setattr(temporal, "BLOCK", 4)
+    rng = np.random.default_rng(8)
+    rows = [(s, i, float(v), float(v + w), bool(c)) for s, n in (("a", 300), ("b", 17), (None, 1)) for i, (v, w, c) in enumerate(zip(rng.normal(size=n), rng.random(n), rng.random(n) < 0.05, strict=True))]
+    df = spark.createDataFrame(rows, "s string, i long, low double, high double, cut boolean").repartition(3)
+    got = {(r.s, r.i): (r.norm_low, r.norm_high) for r in temporal.smooth_bounds(df, ["s"], "i", ema=0.9).collect()}
+    held, before = None, object()
+    for s, i, low, high, cut in rows:
+        held = (low, high) if s != before or cut else tuple(0.9 * a + (1 - 0.9) * b for a, b in zip(held, (low, high), strict=True))
+        before = s
+        assert got[s, i] == pytest.approx(held, rel=1e-12, abs=1e-12)
+    alone = temporal.smooth_bounds(df.where("s = 'a'"), [], "i", ema=0.9).collect()
+    assert len(alone) == 300 and all((r.norm_low, r.norm_high) == pytest.approx(got["a", r.i]) for r in alone)
+
+
+def test_counted_on_the_way(spark):
+    df, seen = temporal.counted(spark.range(50))
+    assert df.where("id < 10").count() == 10 and temporal.verify(seen, 50) == 50
+    with pytest.raises(ValueError):
+        temporal.verify(seen, 51)
+
+
+def test_proxies_find_cuts(spark):
+    rng = np.random.default_rng(2)
+    base = rng.random((12, 16, 3))
+    frames = [base, base + 0.01, 1 - base, 1 - base]
+    rows = [(f, y, x, *map(float, v[y, x])) for f, v in enumerate(frames) for y in range(12) for x in range(16)]
+    df = spark.createDataFrame(rows, "f long, y long, x long, r double, g double, b double")
+    proxy = temporal.luma_proxy(df, ["f"], ["r", "g", "b"], (12, 16), to=(3, 4))
+    grey = [v @ [0.2126, 0.7152, 0.0722] for v in frames]
+    small = [g.reshape(3, 4, 4, 4).mean(axis=(1, 3)).reshape(-1) for g in grey]
+    got = {r.f: r.proxy for r in proxy.collect()}
+    assert all(np.allclose(got[f], small[f]) for f in range(4))
+    cuts = {r.f: r.cut for r in temporal.cut_after(proxy, [], "f", "proxy", 0.05).collect()}
+    assert cuts == {f: f < 3 and bool(np.abs(small[f] - small[f + 1]).mean() >= 0.05) for f in range(4)}
+    thumbs = {r.f: r.thumb for r in temporal.thumbnail(df, ["f"], ["r", "g", "b"], (12, 16), side=4).collect()}
+    assert all(np.allclose(thumbs[f], frames[f][::3, ::4].reshape(-1)) for f in range(4))
