@@ -63,12 +63,12 @@ def _query(sql: str | None = None):
 # --- per-pixel arithmetic and scalars
 
 
-@_query(f"""WITH t AS (SELECT vec_id AS frame_idx, k::INTEGER AS k, embedding[3 * k + 1]::DOUBLE AS r, embedding[3 * k + 2]::DOUBLE AS g, embedding[3 * k + 3]::DOUBLE AS b
-    FROM (SELECT vec_id, embedding, unnest(generate_series(0, 20)) AS k FROM embeddings))
+@_query(f"""WITH t AS (SELECT vec_id AS frame_idx, k::INTEGER AS k, embedding[3 * k % 64 + 1]::DOUBLE AS r, embedding[(3 * k + 1) % 64 + 1]::DOUBLE AS g, embedding[(3 * k + 2) % 64 + 1]::DOUBLE AS b
+    FROM (SELECT vec_id, embedding, unnest(generate_series(0, 21)) AS k FROM embeddings))
     SELECT frame_idx, k, {_q('greatest(0e0, least(1e0, r * 0.2126e0 + g * 0.7152e0 + b * 0.0722e0))')} AS luma FROM t""")
 def q_luma_clamp(spark, sf_dir):
-    t = _frames(spark, sf_dir).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(20))))
-    r, g, b = (F.get("e", 3 * F.col("k") + c) for c in range(3))
+    t = _frames(spark, sf_dir).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(21))))
+    r, g, b = (F.get("e", (3 * F.col("k") + c) % 64) for c in range(3))
     return t.select("frame_idx", "k", q(px.clamp01(px.luma(r, g, b))).alias("luma"))
 
 
@@ -126,6 +126,48 @@ def q_parse_rate(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", sc.parse_rate(text).alias("rate"))
 
 
+@_query("""SELECT p_partkey, printf('%g', p_retailprice / 7e0) || 'M' AS rate, printf('%g', p_size / 3e6) || 'M' AS low FROM part""")
+def q_rate_text(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", sc.rate_text(F.col("p_retailprice") / 7).alias("rate"), sc.rate_text(F.col("p_size") / 3e6).alias("low"))
+
+
+@_query(f"""WITH t AS (SELECT p_partkey, (p_size * 16)::INTEGER AS width, p_partkey % 3 AS k, 1000e0 * (p_size + 1) / 1001 AS rate, p_retailprice AS seconds, p_partkey % 5 = 0 AS deep FROM part)
+    SELECT p_partkey, width, {_q('CASE WHEN k = 2 THEN 1 ELSE rate END')} AS fps, CASE WHEN k = 0 THEN p_partkey + 1 ELSE round_even(seconds * CASE WHEN k = 2 THEN 1 ELSE rate END, 0)::BIGINT END AS total_frames,
+    CASE WHEN deep THEN 'yuv420p10le' ELSE 'yuv420p' END AS pix_fmt, deep AS ten_bit, CASE WHEN deep THEN 6 ELSE 3 END AS bytes FROM t""")
+def q_probe(spark, sf_dir):
+    """A probe's JSON: counted frames, frames from the duration, and an unknown rate, which is 1."""
+    k, deep = F.col("p_partkey") % 3, F.col("p_partkey") % 5 == 0
+    rate = F.when(k == 2, "0/0").otherwise(F.concat((F.col("p_size") + 1) * 1000, F.lit("/1001")))
+    stream = F.struct((F.col("p_size") * 16).alias("width"), rate.alias("avg_frame_rate"), F.lit("0/0").alias("r_frame_rate"), F.when(k == 0, (F.col("p_partkey") + 1).cast("string")).otherwise("N/A").alias("nb_frames"), F.when(deep, "YUV420P10LE").otherwise("yuv420p").alias("pix_fmt"))
+    text = F.to_json(F.struct(F.array(stream).alias("streams"), F.struct(F.col("p_retailprice").cast("string").alias("duration")).alias("format")))
+    p = table(spark, sf_dir, "part").select("p_partkey", rawframes.probe(text).alias("p"))
+    return p.select("p_partkey", "p.width", q(F.col("p.fps")).alias("fps"), "p.total_frames", "p.pix_fmt", "p.ten_bit", rawframes.raw_format(F.col("p.ten_bit"))["bytes"].alias("bytes"))
+
+
+@_query("""WITH c(codec, k, encoder, label, f8, f10) AS (VALUES ('x264', 0, 'libx264', 'video/h264-mp4', 'yuv420p', 'yuv420p10le'), ('x265', 1, 'libx265', 'video/h265-mp4', 'yuv420p', 'yuv420p10le'), ('av1', 2, 'libsvtav1', 'video/av1-mp4', 'yuv420p', 'yuv420p10le'), ('av1_vaapi', 3, 'av1_vaapi', 'video/av1-mp4', 'nv12', 'p010le'))
+    SELECT p_partkey, codec, encoder, label, CASE WHEN p_size % 2 = 0 THEN f8 ELSE f10 END AS pix_fmt FROM part JOIN c ON c.k = p_partkey % 4""")
+def q_codec_lookup(spark, sf_dir):
+    """Options looked up in the table of codecs."""
+    codec = F.get(F.array(*map(F.lit, encoder.CODECS)), (F.col("p_partkey") % 4).cast("int"))
+    asked = table(spark, sf_dir, "part").select("p_partkey", codec.alias("codec"), F.when(F.col("p_size") % 2 == 0, "8bit").otherwise("10bit").alias("bit_depth"))
+    return asked.join(encoder.codecs(spark), ["codec", "bit_depth"]).select("p_partkey", "codec", "encoder", "label", "pix_fmt")
+
+
+@_query(f"WITH {_CELLS} SELECT frame_idx, y, x, {_q('v')} AS untouched, {_q('greatest(0e0, least(1e0, 0.5e0 + (v - 0.5e0) * 1.5e0))')} AS scaled FROM c")
+def q_tune_noop(spark, sf_dir):
+    """Without settings depth isn't touched, not even clamped."""
+    c = _cells(spark, sf_dir)
+    return c.select("frame_idx", "y", "x", q(px.tune(F.col("v"))).alias("untouched"), q(px.tune(F.col("v"), zero_parallax=0.5, scale=1.5)).alias("scaled"))
+
+
+@_query("""SELECT p_partkey, 'part ' || p_size AS stem, CASE WHEN p_size % 4 = 0 THEN 'part ' || p_size WHEN p_size % 4 = 1 THEN 'part ' || p_size || ' (2)' ELSE 'part ' || p_size || ' (' || (p_size % 4 + 1) || ')' END AS name FROM part""")
+def q_output_collisions(spark, sf_dir):
+    """Outputs are numbered from 2 where their name is taken: here by p_size % 4 earlier ones."""
+    stem = F.concat(F.lit("part "), F.col("p_size"))
+    taken = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.when(k == 0, F.concat(stem, F.lit(".mp4"))).otherwise(F.concat(stem, F.lit(" ("), k + 1, F.lit(").mp4"))))
+    return table(spark, sf_dir, "part").select("p_partkey", stem.alias("stem"), sc.free_output(stem, F.slice(taken, 1, F.col("p_size") % 4)).alias("name"))
+
+
 @_query("""WITH t AS (SELECT p_partkey, 'in/' || p_name || '?: ' || p_partkey || '.tar.mp4' AS n FROM part)
     SELECT p_partkey, 'out/' || trim(regexp_replace(regexp_replace(regexp_extract(n, '([^/]*)$', 1), '\\.[^.]*$', ''), '[<>:"/\\\\|?*\\x00-\\x1f]', '_', 'g'), ' .') || ' Half-SBS' AS name FROM t""")
 def q_output_names(spark, sf_dir):
@@ -344,6 +386,48 @@ def q_scene_cut(spark, sf_dir):
     return temporal.cut_after(_frames(spark, sf_dir), [], "frame_idx", "e", 0.14).select("frame_idx", "cut")
 
 
+@_query(f"""WITH {_CELLS}, w AS (SELECT t, t * 8 / 12e0 + 4 / 12e0 - 0.5e0 AS pos FROM (SELECT unnest(generate_series(0, 11)) AS t)), p AS (SELECT t, floor(pos) + k AS s, abs(pos - floor(pos) - k) AS d FROM w, (SELECT unnest(generate_series(-1, 2)) AS k)),
+    g AS (SELECT t, greatest(0, least(7, s)) AS s, CASE WHEN d <= 1 THEN 1.25e0 * d * d * d - 2.25e0 * d * d + 1 ELSE -0.75e0 * d * d * d + 3.75e0 * d * d - 6 * d + 3 END AS w FROM p)
+    SELECT frame_idx, a.t AS y, b.t AS x, {_q('sum(v * a.w * b.w)', '1e5')} AS v FROM c JOIN g a ON a.s = c.y JOIN g b ON b.s = c.x GROUP BY frame_idx, a.t, b.t""")
+def q_cubic_resize(spark, sf_dir):
+    out = spatial.resize(_cells(spark, sf_dir), KEYS, ["v"], (SIDE, SIDE), (12, 12), kernel="cubic")
+    return out.select("frame_idx", "y", "x", q(F.col("v"), 1e5).alias("v"))
+
+
+@_query(f"""WITH {_CELLS}, n AS (SELECT max(frame_idx) AS last FROM c), o AS (SELECT c.*, unnest(generate_series((frame_idx * 30 + 23) // 24, ((frame_idx + 1) * 30 + 23) // 24 - 1)) AS idx FROM c)
+    SELECT idx AS frame_idx, y, x - 2 AS x, {_q('v', '1e5')} AS v FROM o WHERE x BETWEEN 2 AND 5 AND y BETWEEN 0 AND 7""")
+def q_decode_chain(spark, sf_dir):
+    """24 frames a second as 30, the middle of the picture at another shape."""
+    out, size = layout.decode_chain(_cells(spark, sf_dir), [], "frame_idx", ["v"], (SIDE, SIDE), rate=24, force_rate=30, to=(SIDE, SIDE // 2))
+    return out.select("frame_idx", "y", "x", q(F.col("v"), 1e5).alias("v"))
+
+
+@_query(f"""WITH {_CELLS}, g AS (SELECT frame_idx, y // 4 AS cy, x // 2 AS cx, avg(z) * 0.2126e0 + avg(v) * 0.7152e0 + avg(1 - z) * 0.0722e0 AS l FROM c GROUP BY frame_idx, y // 4, x // 2),
+    d AS (SELECT a.frame_idx, avg(abs(a.l - b.l)) AS mad FROM g a LEFT JOIN g b ON b.frame_idx = a.frame_idx + 1 AND b.cy = a.cy AND b.cx = a.cx GROUP BY a.frame_idx) SELECT frame_idx, coalesce(mad >= 0.05e0, false) AS cut FROM d""")
+def q_luma_proxy_cut(spark, sf_dir):
+    """Cuts found on small luma pictures that are averages over areas."""
+    c = _cells(spark, sf_dir).select("frame_idx", "y", "x", F.col("z").alias("r"), F.col("v").alias("g"), (1 - F.col("z")).alias("b"))
+    proxy = temporal.luma_proxy(c, KEYS, ["r", "g", "b"], (SIDE, SIDE), to=(2, 4))
+    return temporal.cut_after(proxy, [], "frame_idx", "proxy", 0.05).select("frame_idx", "cut")
+
+
+@_query(f"""WITH {_CELLS}, t AS (SELECT * FROM c WHERE y % 4 = 0 AND x % 4 = 0), d AS (SELECT a.frame_idx, avg((abs(a.z - b.z) * 2 + abs(a.v - b.v)) / 3) AS mad FROM t a LEFT JOIN t b ON b.frame_idx = a.frame_idx - 1 AND b.y = a.y AND b.x = a.x GROUP BY a.frame_idx)
+    SELECT frame_idx, coalesce(mad >= 0.1e0, false) AS cut FROM d""")
+def q_thumbnail_cut(spark, sf_dir):
+    """Cuts found on raw colours at every fourth pixel."""
+    c = _cells(spark, sf_dir).select("frame_idx", "y", "x", F.col("z").alias("r"), F.col("v").alias("g"), (1 - F.col("z")).alias("b"))
+    thumb = temporal.thumbnail(c, KEYS, ["r", "g", "b"], (SIDE, SIDE), side=2)
+    return temporal.cut_before(thumb, [], "frame_idx", "thumb", 0.1).select("frame_idx", "cut")
+
+
+@_query(f"""WITH {_CELLS}, d AS (SELECT frame_idx, y, x, z FROM c WHERE y < 8) SELECT c.frame_idx, c.y, c.x, {_q('c.v')} AS v, {_q('d.z')} AS z FROM c JOIN d USING (frame_idx, y, x)""")
+def q_join_depth(spark, sf_dir):
+    """Colour and depth pixels by place, an error where one side lacks a frame."""
+    c = _cells(spark, sf_dir)
+    both = warp.join_depth(c.select("frame_idx", "y", "x", "v"), c.select("frame_idx", "y", "x", "z"), ["frame_idx", "y", "x"])
+    return both.select("frame_idx", "y", "x", q(F.col("v")).alias("v"), q(F.col("z")).alias("z"))
+
+
 _EMA = f"""{_EVENTS}, k AS (SELECT *, coalesce(abs(v - prev_v) >= 50e0, false) AS cut FROM s)"""
 
 

@@ -139,6 +139,12 @@ def legacy_command(tool: str, rate: float, width: int, height: int, path: str, p
     raise ValueError(f"unknown preset {preset}")
 
 
+def codecs(spark: SparkSession) -> DataFrame:
+    """codec, bit_depth, encoder, label and pix_fmt: the table that options are looked up in."""
+    rows = [(c, depth, name, label, fmt) for c, (name, label, formats) in CODECS.items() for depth, fmt in formats.items()]
+    return spark.createDataFrame(rows, "codec string, bit_depth string, encoder string, label string, pix_fmt string")
+
+
 def matrix(spark: SparkSession) -> DataFrame:
     """codec, rate_control, valid, quality_min and quality_max: a row per pair."""
     rows = [(c, r, r in MODES[c], *(MODES[c].get(r) or (None, None))) for c in CODECS for r in RATE_CONTROLS]
