@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_slices, value_slices
+from .common import numbered, text_slices, value_slices
 from .pieces import SUFFIX, Splitter, TextEncoder
 
 #: Pairs of tokens whose boundary a worker remembers, and the automaton's moves.
@@ -262,9 +262,11 @@ def vocabulary(spark: SparkSession, path: str):
 
 
 def encode(docs: DataFrame, path: str, *, text: str = "text", keep: list[str], decoded: bool = False) -> DataFrame:
-    """Columns ``keep`` with ids (binary, little-endian 32-bit) and, if asked for, decoded: the text that those ids give."""
+    """Columns ``keep`` with ids (binary, little-endian 32-bit) and, if asked for, decoded: the text that those ids give.
+    Both replace kept columns of their names."""
+    keep = [c for c in keep if c not in ("ids", "decoded")]
     content = vocabulary(docs.sparkSession, path)
-    given = _numbered(docs, keep, text)
+    given = numbered(docs, keep, text)
     schema = docs.select(*keep).schema.add("ids", "binary")
     if decoded:
         schema = schema.add("decoded", "string")
@@ -281,6 +283,7 @@ def encode(docs: DataFrame, path: str, *, text: str = "text", keep: list[str], d
 
 def decode(encoded: DataFrame, path: str, *, ids: str = "ids", keep: list[str]) -> DataFrame:
     """Columns ``keep`` with decoded: the text of the binary column ``ids``."""
+    keep = [c for c in keep if c != "decoded"]
     content = vocabulary(encoded.sparkSession, path)
     schema = encoded.select(*keep).schema.add("decoded", "string")
 
@@ -289,9 +292,5 @@ def decode(encoded: DataFrame, path: str, *, ids: str = "ids", keep: list[str])
         for part, _ in value_slices(batches, f"c{len(keep)}", _SLICE):
             yield pa.RecordBatch.from_arrays([*[part.column(k) for k in range(len(keep))], own.decode_texts(part.column(len(keep)))], names=schema.names)
 
-    return _numbered(encoded, keep, ids).mapInArrow(run, schema)
+    return numbered(encoded, keep, ids).mapInArrow(run, schema)
 
-
-def _numbered(df: DataFrame, keep: list[str], value: str) -> DataFrame:
-    """Columns ``keep`` and ``value`` under names of their place, which clash with none."""
-    return df.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate([*keep, value])])

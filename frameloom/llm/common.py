@@ -63,6 +63,11 @@ def free_name(columns: Iterable[str], name: str) -> str:
     return name
 
 
+def numbered(df: DataFrame, keep: list[str], value: str) -> DataFrame:
+    """Columns ``keep`` and ``value`` under names of their place, c0 and so on, which clash with none."""
+    return df.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate([*keep, value])])
+
+
 def crc_mod(id_col: Column, m: int) -> Column:
     """crc32 of the id as text, modulo ``m``; null for a null id."""
     return F.crc32(id_col.cast("string").cast("binary")) % F.lit(m)

@@ -7,8 +7,9 @@ training rows. A text whose two nearest codewords are about equally near is flag
 
 Defined results: a null text, an empty one and one without a letter get ``und``, score 0 and
 ``ambiguous`` false; with no training row at all every text gets ``und``; with one learned
-language every other text gets that one. Rows are judged one by one, so repeated rows, ties and
-clashing columns don't matter; ids may be null.
+language every other text gets that one. Rows are judged one by one, so repeated rows, ties and other columns, of
+whatever names, don't matter; ids may be null; a very long text is read whole, in one task; an empty table gives
+an empty table.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffer_of, cut, text_slices
+from .common import buffer_of, cut, numbered, text_slices
 
 UNDETERMINED = "und"
 _LETTER = regex.compile(r"\p{L}")
@@ -178,13 +179,15 @@ def train(df: DataFrame, text: str, lang: str, doc_id: str, *, sample_rows: int
 
 
 def identify(df: DataFrame, model: CodedModel, text: str, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` (the text may be one) with lang_pred, score (0 to 1) and ambiguous, a row per row."""
-    out = df.select(*keep, F.col(text).alias("_text"))
-    schema = out.select(*keep).schema.add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
+    """Columns ``keep`` (the text may be one) with lang_pred, score (0 to 1) and ambiguous, which replace kept
+    columns of their names; a row per row."""
+    keep = [c for c in keep if c not in ("lang_pred", "score", "ambiguous")]
+    out = numbered(df, keep, text)
+    schema = df.select(*keep).schema.add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
     names = np.array([*model.langs, UNDETERMINED], object)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in text_slices(batches, "_text", 1 << 19, 200):
+        for part, texts in text_slices(batches, f"c{len(keep)}", 1 << 19, 200):
             lettered = np.array([_LETTER.search(t) is not None for t in texts.to_pylist()], bool)
             if model.langs:
                 best, score, vague = model.decode(ngram_features(texts, len(model.weights)) @ model.weights + model.bias)

@@ -6,7 +6,9 @@ compiled into one Spark column expression over the statistics' columns.
 
 Defined results: a null or empty text has all statistics 0 and is scored like any other; with no
 training rows every score is 0.5, and with labels of one kind only that label's share, smoothed.
-Null labels are left out; a row that repeats counts as often as it stands there.
+Null labels and ids teach nothing; rows that repeat are scored each, and count in training as often as they
+stand there; a very long text is read whole, in one task; columns other than id and text, of whatever
+names, don't matter; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import numbered
 from .textstats import STATISTICS, with_statistics
 
 
@@ -166,5 +169,8 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
 
 
 def score(docs: DataFrame, model: RuleEnsemble, *, text: str = "text", keep: list[str], out: str = "score") -> DataFrame:
-    """Columns ``keep`` with the ensemble's probability, from the compiled expression."""
-    return with_statistics(docs, text, keep).select(*keep, model.column().alias(out))
+    """Columns ``keep`` with the ensemble's probability, from the compiled expression; it replaces a kept column of its name."""
+    keep = [c for c in keep if c != out]
+    names = [f"c{k}" for k in range(len(keep))]
+    counted = with_statistics(numbered(docs, keep, text), f"c{len(keep)}", names)
+    return counted.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], model.column().alias(out))

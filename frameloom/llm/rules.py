@@ -26,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, numbered
 
 _WINDOW = 3
 _SPACES = " \t\n\x0b\x0c\r"
@@ -104,13 +104,18 @@ def duplicate_lines(text: Column) -> Column:
     return _held(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
 
 
+#: What a judged row has beside the columns that are kept, and the text on the way.
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "_text")
+
+
 def with_counts(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """Columns ``keep``, _text, _words and the base counts."""
-    given = docs.select(*keep, F.col(text).alias("_text"))
+    """Columns ``keep``, _text and the base counts, which replace kept columns of their names."""
+    keep = [c for c in keep if c not in COUNTS]
+    given = numbered(docs, keep, text).withColumnRenamed(f"c{len(keep)}", "_text")
     words = _held(words_in(F.col("_text")), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.aggregate(w, F.lit(0).cast("long"), lambda total, x: total + F.length(x)).alias("word_chars"), repeat_words(w).alias("n_repeat_words")))
     symbols = F.length("_text") - F.length(F.regexp_replace("_text", _SYMBOLS, ""))
     return given.withColumn("_of", words).select(
-        *keep,
+        *[F.col(f"c{k}").alias(c) for k, c in enumerate(keep)],
         "_text",
         F.col("_of.n_words"),
         F.col("_of.word_chars"),

@@ -55,3 +55,44 @@ def test_edges(spark):
     single = langid.train(spark.createDataFrame(corpus(["fr"]), "doc_id long, text string, lang string"), "text", "lang", "doc_id")
     assert {r.lang_pred for r in langid.identify(docs, single, "text", ["doc_id"]).collect()} == {"und", "fr"}
     assert langid.identify(docs.limit(0), model, "text", ["doc_id"]).count() == 0
+
+
+def by_brute_force(model, text):
+    """lang_pred and score of one text, n-gram by n-gram and bit by bit."""
+    import math
+
+    m32, raw = 0xFFFFFFFF, (text or "").lower().encode()
+    if not any(c.isalpha() for c in text or ""):
+        return "und", 0.0
+    b = [x if x > 127 or 97 <= x <= 122 else 32 for x in raw]
+    buckets = len(model.weights)
+    half, three, two = buckets // 2, {}, {}
+    mixed = lambda h: ((h ^ h >> 15) * 0x2C1B3C6D & m32) >> 8
+    pair = [(x * 0x9E3779B1 + y * 0x85EBCA77) & m32 for x, y in zip(b, b[1:], strict=False)]
+    fine = [(x, y) != (32, 32) for x, y in zip(b, b[1:], strict=False)]
+    for k, h in enumerate(pair):
+        if fine[k]:
+            two[mixed(h) % half] = two.get(mixed(h) % half, 0) + 1
+        if k + 1 < len(pair) and fine[k] and fine[k + 1]:
+            t = (h ^ b[k + 2] * 0xC2B2AE3D & m32) * 0x27D4EB2F & m32
+            three[mixed(t) % half] = three.get(mixed(t) % half, 0) + 1
+    margin = [float(x) for x in model.bias]
+    for part, shift in ((three, 0), (two, half)):
+        for k, n in part.items():
+            for bit in range(len(margin)):
+                margin[bit] += math.sqrt(n / sum(part.values())) * float(model.weights[k + shift, bit])
+    near = [-len(margin) * sum(t * math.log1p(math.exp(-c * f)) for t, c, f in zip(trust, code, margin, strict=True)) for trust, code in zip(model.trust, model.codes, strict=True)]
+    share = [math.exp(x - max(near)) for x in near]
+    best = max(range(len(share)), key=share.__getitem__)
+    return model.langs[best], share[best] / sum(share)
+
+
+def test_predictions_by_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", F.lit(1).alias("lang_pred"), F.lit(2).alias("_text"))
+    model = langid.train(docs.where("doc_id % 4 <> 2"), "text", "lang", "doc_id")
+    got = {r.doc_id: r for r in langid.identify(docs, model, "text", ["doc_id", "lang_pred", "_text"]).collect()}
+    rows = [r for r in docs.collect() if len(r.text or "") < 6000]
+    assert len(rows) > 100
+    for r in rows:
+        lang, score = by_brute_force(model, r.text)
+        assert got[r.doc_id]["_text"] == 2 and got[r.doc_id].lang_pred == lang and got[r.doc_id].score == pytest.approx(score, abs=1e-3)
