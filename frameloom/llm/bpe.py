@@ -33,9 +33,9 @@ from .common import numbered, text_slices, value_slices
 from .pieces import SUFFIX, Splitter, TextEncoder
 
 #: Pairs of tokens whose boundary a worker remembers, and the automaton's moves.
-_KEPT_PAIRS, _KEPT_MOVES = 400_000, 600_000
+_KEPT_PAIRS, _KEPT_MOVES = 200_000, 300_000
 #: Bytes of text that are encoded together: the more, the more often a word is shared.
-_SLICE = 1 << 23
+_SLICE = 1 << 22
 #: The automaton's letter for a word's end, above all byte letters; the mark of a word's last letter.
 _END, _FINAL = 511, 512
 

@@ -29,7 +29,7 @@ SUFFIX = "</w>"
 #: Blocks where no character composes with the one before it: Latin, Greek, Cyrillic, Armenian letters and punctuation.
 _BLOCKS = ((0x00, 0x300), (0x370, 0x483), (0x48A, 0x590), (0x1E00, 0x1F00), (0x2010, 0x2028), (0x2030, 0x205F), (0x20A0, 0x20C1))
 #: Words whose ids a worker keeps, the ones used last.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 400_000
 
 
 def grouped(values: pa.Array, starts: np.ndarray) -> pa.Array:
