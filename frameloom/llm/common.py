@@ -55,6 +55,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of a narrow table up to which it is broadcast (they are counted first); a larger one is joined by a shuffle.
+SMALL = 1_000_000
+
+
+def beside(rows: DataFrame, narrow: DataFrame, key: str, how: str) -> DataFrame:
+    """``rows`` joined with a narrow table of counted size, which spares the rows a shuffle where it is SMALL."""
+    return rows.join(F.broadcast(narrow) if narrow.count() <= SMALL else narrow, key, how)
+
+
 def free_name(columns: Iterable[str], name: str) -> str:
     """``name`` with as many underscores before it as make it unlike all columns, whatever their case."""
     taken = {c.lower() for c in columns}

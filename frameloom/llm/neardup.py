@@ -1,17 +1,18 @@
-"""Near-duplicates by the Jaccard similarity of five-word shingle sets.
+"""Near-duplicates by the Jaccard similarity of five-word shingle sets, found through the Gray-order index of SimHash.
 
 A text's set holds 64-bit hashes of its five-word shingles (A-Z in lower case; fewer words are one
-shingle). Two texts are near copies if their sets have a similarity of 0.8 or more. MinHash finds
-the candidates: 32 bands of four minima, so a pair at exactly 0.8 shares no band with a chance of
-(1 - 0.8^4)^32 = 5e-8. Candidates must agree in size and in 96 of 128 one-bit minima (a pair at 0.8
-agrees in 115 on average, and in fewer than 96 with a chance under 1e-6), and at last in 78 of 128
-minima of eight bits (102 on average, fewer with a chance under 1e-6); what is left is confirmed
-on whole sets, in integers.
-
-Equal sets count once. A band's members are first held against the least of them; members that
-thereby share a component need no more pairs. Then, in rounds, each is held against the few members of
-other components that agree best, as long as that joins components, and at last against all that are
-left in others: links that join components are not lost.
+shingle). Two texts are near copies if their sets have a similarity of 0.8 or more. A set's fingerprint has 256 bits, each
+what more than half of its hashes have. Fingerprints of a pair at 0.8 differ in 14 to 15 % of the bits, and in 19 % where
+four of five shingles are shared (the worst case: two bits of 64 would lose nearly all). So the radius is 78 bits (4.7
+deviations beyond 19 %; unrelated ones differ in 128, 6 deviations away), and the index has more upper nodes than
+the pigeonhole's: masks of so many bits that unrelated members of a node are about NODE, and so many masks that a
+pair at 19 % shares no node with a chance of MISS (far less at 15 %). Members of a node within the radius are put under
+one root; what these links join is a candidate group, whose members are compared by their whole sets, in integers.
+
+Equal sets count once. A set goes to its group's task once, whatever the number of its links. Members of a group are
+compared in a search that leaves out those already reached. A group of more than GROUP sets is dealt to several
+tasks; sets that then lie outside the group's largest component are held against all members of other
+components: no link between candidates is lost.
 
 Defined results: texts without words, null ones too, have the empty set and are copies of each other; a
 null id is never a representative while its component has another id; of rows that repeat, or share an
@@ -21,7 +22,8 @@ types, don't matter; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,25 +32,26 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import coded, cut, text_slices, words_of
+from .common import beside, coded, cut, give_back, text_slices, words_of
 from .components import components
-from .simhash import keep_classes
+from .simhash import keep_classes, majority, wide_stars
 
 WIDTH = 5
 #: The least similarity, as a fraction.
 LEAST = (4, 5)
-BANDS, ROWS = 32, 4
-#: One-bit minima that two sets must share.
-AGREE = 96
-#: And minima of eight bits.
-AGREE_WIDE = 78
-#: As many best members of other components are tried in a round, before all are.
-BEST = 4
-#: Rows of a narrow table up to which it is broadcast (they are counted first); a larger one is joined by a shuffle.
-SMALL = 1_000_000
-_PAIRS = 1 << 21  # pairs that a search holds at once
-_SEEDS = np.random.default_rng(11).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64) | np.array([[0], [1]], np.uint64)
+#: Words of a fingerprint; the most bits in which near copies differ, in all and in the first half of the words.
+WORDS, RADIUS, RADIUS_HALF = 4, 78, 46
+#: The share of bits in which near copies differ at worst, and the chance that such a pair shares no node.
+FLIP, MISS = 0.19, 1e-5
+#: Unrelated members of a node, about.
+NODE = 1024
+#: Sets of a candidate group that a task compares.
+GROUP = 2048
+#: Bits and wide places in which near copies agree.
+AGREE, AGREE_WIDE = WORDS * 32 - RADIUS_HALF, WORDS * 64 - RADIUS
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_MEMBERS = 1 << 17  # members of all nodes that a task packs at once
+_NAMES = [f"w{k}" for k in range(WORDS)]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -83,18 +86,35 @@ def set_keys(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(data[s:e], 7) for s, e in zip((starts[:-1] * 8).tolist(), (starts[1:] * 8).tolist(), strict=True)], np.uint64)
 
 
-def signatures(values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each set BANDS band hashes, one bit of each minimum, packed, and eight bits of each. Empty sets have zeros."""
-    some = np.flatnonzero(np.diff(starts))
-    least = np.zeros((len(starts) - 1, BANDS * ROWS), np.uint64)
-    if len(some):
-        for k, (b, a) in enumerate(_SEEDS.T):
-            least[some, k] = np.minimum.reduceat((values ^ b) * a, starts[some])
-    bands = np.repeat(np.arange(BANDS, dtype=np.uint64)[None], len(least), axis=0)
-    for k in range(ROWS):
-        bands = _mix(bands * _M2 + least[:, k::ROWS] + np.uint64(1))
-    wide = (_mix(least) & np.uint64(255)).astype(np.uint8)
-    return bands, np.packbits(wide & 1, axis=1, bitorder="little").view(np.uint64), wide
+def prints(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The fingerprint of each set, a row of WORDS words. Empty sets have zeros."""
+    return np.stack([majority(_mix(values * _M2 + np.uint64(k + 1)), starts) for k in range(WORDS)], axis=1)
+
+
+def masks_of(n: int) -> np.ndarray:
+    """The upper nodes' masks in an index of n fingerprints, a row of WORDS words each. Every bit is used about equally often."""
+    bits = max(0, round(math.log2(max(1, n) / NODE)))
+    many = math.ceil(-math.log(MISS) / (1 - FLIP) ** bits) if bits else 1
+    rng, out = np.random.default_rng(11), np.zeros((many, WORDS * 64), bool)
+    deal = 64 * WORDS // max(1, bits)  # masks that one order of the bits gives
+    for k in range(many):
+        order = rng.permutation(WORDS * 64) if k % deal == 0 else order
+        out[k, order[k % deal * bits : (k % deal + 1) * bits]] = True
+    return np.packbits(out, axis=1, bitorder="little").view(np.uint64)
+
+
+def nodes_of(words: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """The node of each fingerprint (row) under each mask (column), as a hash of the mask's number and the masked bits."""
+    out = np.repeat(np.arange(1, len(masks) + 1, dtype=np.uint64)[None], len(words), axis=0)
+    for w in range(WORDS):
+        out = _mix(out * _M2 + (words[:, w, None] & masks[None, :, w]))
+    return out
+
+
+def signatures(values: np.ndarray, starts: np.ndarray, n: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each set its nodes in an index of n, the first half of its fingerprint, and all its bits, one in a place."""
+    words = prints(values, starts)
+    return nodes_of(words, masks_of(n)), np.ascontiguousarray(words[:, : WORDS // 2]), np.unpackbits(words.view(np.uint8), axis=1, bitorder="little")
 
 
 def _keys(texts: pa.Array) -> np.ndarray:
@@ -102,27 +122,130 @@ def _keys(texts: pa.Array) -> np.ndarray:
 
 
 def prints_of(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, fp (the set's hash), n (its size), bands, the one-bit minima s0 and s1 and the wide ones, one row per row."""
+    """doc_id, fp (the set's hash), n (its size) and the words of its fingerprint, one row per row."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_slices(batches, "_text", 1 << 21):
             values, starts = shingle_sets(texts)
-            bands, bits, wide = signatures(values, starts)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS), pa.int32()), pa.array(bands.reshape(-1).view(np.int64)))
-            columns = [part.column(0), set_keys(values, starts).view(np.int64), np.diff(starts), lists, *bits.view(np.int64).T, pa.array([w.tobytes() for w in wide], pa.binary())]
-            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(np.ascontiguousarray(c)) for c in columns], names=["doc_id", "fp", "n", "bands", "s0", "s1", "wide"])
+            columns = [part.column(0), set_keys(values, starts).view(np.int64), np.diff(starts), *prints(values, starts).view(np.int64).T]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(np.ascontiguousarray(c)) for c in columns], names=["doc_id", "fp", "n", *_NAMES])
 
     given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text"))
-    return given.mapInArrow(count, "doc_id long, fp long, n long, bands array<long>, s0 long, s1 long, wide binary")
+    return given.mapInArrow(count, f"doc_id long, fp long, n long, {', '.join(f'{w} long' for w in _NAMES)}")
 
 
-def _beside(rows: DataFrame, narrow: DataFrame, key: str, how: str) -> DataFrame:
-    """``rows`` joined with a narrow table of counted size, which spares the rows a shuffle where it is SMALL."""
-    return rows.join(F.broadcast(narrow) if narrow.count() <= SMALL else narrow, key, how)
+def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The rows of each value of the first ``keys`` columns (longs), which lie together, however many batches they take."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        names = np.stack([batch.column(k).to_numpy() for k in range(keys)], axis=1)
+        heads = np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1
+        for s, e in zip([0, *heads.tolist()], [*heads.tolist(), batch.num_rows], strict=True):
+            if held and (names[s] != last).any():
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(s, e - s))
+            last = names[s]
+    if held:
+        yield pa.Table.from_batches(held)
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
-    """fp and set of the wanted fps."""
+def _edges(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    u, v = (np.concatenate(x) for x in zip(*found, strict=True))
+    pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], names=["u", "v"])
+
+
+def _by_run(edges_of: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], keys: int) -> Callable:
+    """A function of batches that yields the edges that ``edges_of`` makes of each run, some at a time."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, many = [], 0
+        for rows in _runs(batches, keys):
+            made = edges_of(rows)
+            if len(made[0]):
+                found.append(made)
+                many += len(made[0])
+            if many > 1 << 18:
+                yield _edges(found)
+                found, many = [], 0
+        if found:
+            yield _edges(found)
+        give_back()
+
+    return search
+
+
+def _node_links(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    data = np.frombuffer(b"".join(rows.column(1).to_pylist()), np.uint64).reshape(-1, WORDS + 1)
+    own, root = wide_stars(data[:, 1:], RADIUS, RADIUS_HALF)
+    return data[own, 0].view(np.int64), data[root, 0].view(np.int64)
+
+
+def candidates(distinct: DataFrame, n: int) -> DataFrame:
+    """Edges u, v between sets (rows fp and the words of their fingerprint; n of them) that connect what links within the
+    radius connect. A task packs its members of a node in one value, 40 bytes each."""
+    masks = masks_of(n)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            step = max(1, _MEMBERS // len(masks))
+            for at in range(0, batch.num_rows, step):
+                data = np.stack([c.to_numpy() for c in batch.slice(at, step).columns], axis=1).view(np.uint64)
+                nodes = nodes_of(np.ascontiguousarray(data[:, 1:]), masks).reshape(-1)
+                order = np.argsort(nodes)
+                nodes, packed = nodes[order], data[order // len(masks)]
+                heads = np.concatenate([[0], np.flatnonzero(nodes[1:] != nodes[:-1]) + 1])
+                ends = np.append(heads, len(nodes)).astype(np.int32) * np.int32((WORDS + 1) * 8)
+                values = pa.Array.from_buffers(pa.binary(), len(heads), [None, pa.py_buffer(ends), pa.py_buffer(packed)])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[heads].view(np.int64)), values], names=["node", "members"])
+                del data, nodes, order, packed, values
+            give_back()
+
+    dealt = distinct.select("fp", *_NAMES).mapInArrow(deal, "node long, members binary")
+    dealt = dealt.repartition("node").sortWithinPartitions("node")
+    return dealt.mapInArrow(_by_run(_node_links, 1), "u long, v long").distinct()
+
+
+def joined(values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(member, root) as places of sets that have the least similarity to another, or are reached over such links."""
+    sizes, root = np.diff(starts), np.arange(len(starts) - 1)
+    todo = root.copy()
+    while len(todo) > 1:
+        top, todo = todo[0], todo[1:]
+        reached = [top]
+        while reached and len(todo):
+            own = values[starts[p := reached.pop()] : starts[p + 1]]
+            size = sizes[todo]
+            fits = LEAST[1] * np.minimum(size, len(own)) >= LEAST[0] * np.maximum(size, len(own))
+            some, size = todo[fits], size[fits]
+            if not len(some):
+                continue
+            ends = np.cumsum(size)
+            theirs = values[np.arange(ends[-1]) + np.repeat(starts[some] - ends + size, size)]
+            hit = own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs
+            shared = np.add.reduceat(hit, ends - size, dtype=np.int64)
+            near = some[shared * sum(LEAST) >= LEAST[0] * (size + len(own))]
+            root[near] = top
+            reached += near.tolist()
+            todo = np.setdiff1d(todo, near, assume_unique=True)
+    own = np.flatnonzero(root != np.arange(len(root)))
+    return own, root[own]
+
+
+def _group_links(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    lists = rows.column(3).combine_chunks()
+    lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+    fp, at = rows.column(2).to_numpy(), lists.offsets.to_numpy().astype(np.int64)
+    own, root = joined(lists.flatten().to_numpy().view(np.uint64), at - at[0])
+    return fp[own], fp[root]
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``wanted`` (fp, id and more, one row per fp) with each fp's set, from the rows that have these ids only."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in text_slices(batches, "_text", 1 << 21):
@@ -130,67 +253,12 @@ def _sets(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(values.view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(set_keys(values, starts).view(np.int64)), lists], names=["fp", "set"])
 
-    made = docs.select(F.col(text).alias("_text")).mapInArrow(make, "fp long, set array<long>")
-    return _beside(made, wanted, "fp", "left_semi").dropDuplicates(["fp"])
-
-
-def pairs_of(root: np.ndarray, n: np.ndarray, bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Places of pairs of members of different components that may be near copies, and in how many bits they agree."""
-    top, many = np.unique(root, return_counts=True)
-    rest = np.flatnonzero(root != top[many.argmax()])  # the largest component has no pairs within
-    step = max(1, _PAIRS // len(root))
-    for at in range(0, len(rest), step):
-        own = rest[at : at + step]
-        agree = np.bitwise_count(~(bits[own, None] ^ bits[None])).sum(axis=2, dtype=np.int64)
-        near = (agree >= AGREE) & (root[own, None] != root[None])
-        near &= LEAST[1] * np.minimum(n[own, None], n[None]) >= LEAST[0] * np.maximum(n[own, None], n[None])
-        a, b = np.nonzero(near)
-        yield own[a], b, agree[a, b]
-
-
-def best_pairs(root: np.ndarray, n: np.ndarray, bits: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Of each member's pairs the BEST that agree most."""
-    found = []
-    for a, b, agree in pairs_of(root, n, bits):
-        order = np.lexsort((-agree, a))
-        a, b = a[order], b[order]
-        few = np.arange(len(a)) - np.searchsorted(a, a) < BEST
-        found.append((a[few], b[few]))
-    return found
-
-
-def all_pairs(root: np.ndarray, n: np.ndarray, bits: np.ndarray, band: int, bands: np.ndarray, wide: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Every pair that agrees in its wide minima too, in the first band that its members share and in no other one."""
-    found = []
-    for a, b, _ in pairs_of(root, n, bits):
-        for at in range(0, len(a), 1 << 16):
-            x, y = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
-            same = bands[x] == bands[y]
-            good = (bands[x, same.argmax(axis=1)] == band) & ((wide[x] == wide[y]).sum(axis=1) >= AGREE_WIDE)
-            found.append((x[good], y[good]))
-    return found
-
-
-def _searcher(everything: bool):
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names, lists = batch.column(0).to_pylist(), batch.column(1)
-            at = lists.offsets.to_numpy()
-            fp, root, n, s0, s1, *more = lists.flatten().flatten()
-            fp, root, n, s0, s1 = (c.to_numpy() for c in (fp, root, n, s0, s1))
-            bits, at, found = np.stack([s0, s1], axis=1).view(np.uint64), at - at[0], []
-            if more:
-                bands = more[0].flatten().to_numpy().reshape(-1, BANDS)
-                wide = np.frombuffer(b"".join(more[1].to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
-            for band, s, e in zip(names, at[:-1].tolist(), at[1:].tolist(), strict=True):
-                own = (root[s:e], n[s:e], bits[s:e])
-                made = all_pairs(*own, band, bands[s:e], wide[s:e]) if everything else best_pairs(*own)
-                found += [(fp[s + a], fp[s + b]) for a, b in made]
-            if found:
-                u, v = (np.concatenate(x) for x in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
-
-    return search
+    given = docs.select(F.col(doc_id).cast("long").alias("least"), F.col(text).alias("_text"))
+    rows = beside(given, wanted.select("least").where("least IS NOT NULL").distinct(), "least", "left_semi")
+    if not wanted.where("least IS NULL").isEmpty():
+        rows = rows.unionByName(given.where("least IS NULL"))
+    made = rows.select("_text").mapInArrow(make, "fp long, set array<long>")
+    return beside(made, wanted.drop("least"), "fp", "inner").dropDuplicates(["fp"])
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -202,36 +270,37 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "u").join(other, "v").where(enough).select("u", "v")
 
 
-def _candidates(members: DataFrame, edges: DataFrame, distinct: DataFrame, everything: bool) -> DataFrame:
-    """Pairs u, v of members of one band and different components, those that agree best or all that may be near copies.
-    Only bands with several components are put together."""
-    roots = components(edges).withColumnRenamed("u", "fp")
-    rooted = _beside(members, roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    mixed = rooted.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("band")
-    rows, columns = rooted.join(mixed, "band"), ["fp", "root", "n", "s0", "s1"]
-    if everything:
-        rows, columns = rows.join(distinct.select("fp", "bands", "wide"), "fp"), [*columns, "bands", "wide"]
-    groups = rows.groupBy("band").agg(F.collect_list(F.struct(*columns)).alias("members"))
-    return groups.mapInArrow(_searcher(everything), "u long, v long").distinct()
+def _across(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """Pairs u, v of members of one group and different components that may be near copies, but for those within
+    the group's largest component."""
+    roots = components(edges).withColumnRenamed("u", "fp").withColumnRenamed("root", "own")
+    rooted = cut(members.join(roots, "fp", "left").withColumn("own", F.coalesce("own", "fp")))
+    most = rooted.groupBy("root", "own").count().groupBy("root").agg(F.max_by("own", F.struct("count", "own")).alias("own"))
+    rest = rooted.join(most, ["root", "own"], "left_anti")
+    a, b = rest.alias("a"), rooted.alias("b")
+    apart = sum(F.bit_count(F.col(f"a.{w}").bitwiseXOR(F.col(f"b.{w}"))) for w in _NAMES)
+    fits = LEAST[1] * F.least("a.n", "b.n") >= LEAST[0] * F.greatest("a.n", "b.n")
+    pairs = a.join(b, F.col("a.root") == F.col("b.root")).where((F.col("a.own") != F.col("b.own")) & fits & (apart <= RADIUS))
+    return pairs.select(F.least("a.fp", "b.fp").alias("u"), F.greatest("a.fp", "b.fp").alias("v")).distinct()
 
 
-def classes_of(prints: DataFrame, docs: DataFrame, *, text: str = "text") -> DataFrame:
+def classes_of(prints: DataFrame, docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """fp, root (an fp that names the component) and component_id of each distinct set."""
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", "bands", "s0", "s1", "wide")]))
-    bands = distinct.where("n > 0").select("fp", "n", "s0", "s1", F.explode("bands").alias("band"))
-    shared = bands.groupBy("band").agg(F.count("*").alias("_many"), F.min("fp").alias("_first")).where("_many > 1").select("band", "_first")
-    members = cut(bands.join(shared, "band"))
-    sets = cut(_sets(docs, cut(members.select("fp").distinct()), text))
-    first = members.where("fp <> _first").select(F.col("_first").alias("u"), F.col("fp").alias("v")).distinct()
-    edges = cut(_confirmed(first, sets))
-    tried, everything = first, False
-    while True:
-        pairs = cut(_candidates(members, edges, distinct, everything).join(tried, ["u", "v"], "left_anti"))
-        found = cut(_confirmed(pairs, sets))
-        edges, tried = cut(edges.unionByName(found)), cut(tried.unionByName(pairs))
-        if everything:
-            break
-        everything = found.isEmpty()
+    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", *_NAMES)]))
+    filled = distinct.where("n > 0")
+    roots = components(candidates(filled, filled.count())).withColumnRenamed("u", "fp")
+    groups = cut(roots.unionByName(roots.select(F.col("root").alias("fp"), "root").distinct()))
+    many = groups.groupBy("root").agg(F.ceil(F.count("*") / F.lit(GROUP)).alias("tasks"))
+    wanted = cut(groups.join(many, "root").join(distinct.select("fp", "least"), "fp").select("fp", "least", "root", "tasks"))
+    large = not wanted.where("tasks > 1").isEmpty()
+    sets = _sets(docs, wanted, doc_id, text)
+    sets = cut(sets) if large else sets
+    tasks = sets.select("root", F.pmod(F.xxhash64("fp"), F.col("tasks")).cast("long").alias("task"), "fp", "set")
+    tasks = tasks.repartition("root", "task").sortWithinPartitions("root", "task")
+    edges = cut(tasks.mapInArrow(_by_run(_group_links, 2), "u long, v long"))
+    if large:
+        members = wanted.where("tasks > 1").select("fp", "root").join(distinct.drop("least"), "fp")
+        edges = cut(edges.unionByName(_confirmed(cut(_across(members, edges)), sets)))
     roots = components(edges).withColumnRenamed("u", "fp")
     named = distinct.select("fp", "least").join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -241,5 +310,5 @@ def classes_of(prints: DataFrame, docs: DataFrame, *, text: str = "text") -> Dat
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document of each group of near copies, the one with the smallest id."""
     prints = cut(prints_of(docs, doc_id=doc_id, text=text))
-    classes = cut(classes_of(prints, docs, text=text))
+    classes = cut(classes_of(prints, docs, doc_id=doc_id, text=text))
     return keep_classes(docs, prints.select("doc_id", "fp"), classes, _keys, doc_id=doc_id, text=text)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import buffer_of, cut, segment_sums, text_slices
+from .common import beside, buffer_of, cut, segment_sums, text_slices
 from .components import components
 
 #: Members of one node that a task searches at once; larger nodes are factored again.
@@ -67,11 +67,16 @@ def shingle_hashes(texts: pa.Array, width: int = 3, seed: int = 42) -> tuple[np.
 
 def fingerprints_of(texts: pa.Array, width: int = 3, seed: int = 42) -> np.ndarray:
     """A bit is 1 if more than half of the text's shingle hashes have it."""
-    hashes, starts = shingle_hashes(texts, width, seed)
-    out = np.zeros((len(texts), 64), bool)
+    return majority(*shingle_hashes(texts, width, seed))
+
+
+def majority(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The bits that more than half of ``hashes[starts[i]:starts[i + 1]]`` have, for every i."""
+    many = len(starts) - 1
+    out = np.zeros((many, 64), bool)
     half = np.diff(starts)
     at = 0
-    while at < len(texts):  # bits take 64 bytes a shingle: a few texts at a time
+    while at < many:  # bits take 64 bytes a shingle: a few texts at a time
         to = max(at + 1, int(np.searchsorted(starts, starts[at] + (1 << 17), side="right")) - 1)
         if to == at + 1 and half[at] > 1 << 18:
             total = np.zeros(64, np.int64)
@@ -145,17 +150,57 @@ def stars(members: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     index = GrayIndex(members)
     root = np.arange(len(members))
     for a, b in index.links(most):
-        while len(a):  # the lesser roots win until both ends of each link have one root
-            ra, rb = root[a], root[b]
-            apart = ra != rb
-            a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
-            np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
-            while (up := root[root] != root).any():
-                root[up] = root[root[up]]
+        _join(root, a, b)
     own = np.flatnonzero(root != np.arange(len(root)))
     return index.members[own], index.members[root[own]]
 
 
+def _join(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Put the ends of each link under one root."""
+    while len(a):  # the lesser roots win until both ends of each link have one root
+        ra, rb = root[a], root[b]
+        apart = ra != rb
+        a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
+        np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
+        while (up := root[root] != root).any():
+            root[up] = root[root[up]]
+
+
+def wide_stars(words: np.ndarray, most: int, most_half: int) -> tuple[np.ndarray, np.ndarray]:
+    """(member, root) as places, as ``stars`` has them, of one node's fingerprints of several words: linked are those
+    that differ in ``most`` bits at most; of pairs that differ in over ``most_half`` bits of the first half of the words the
+    rest isn't read, and they count as unlinked.
+
+    A radius this wide drops no run of a node, so all members are compared; first, each with the next ones in Gray
+    order. The largest set that comes of it needs no pairs within: many near copies take linear time.
+    """
+    order = np.argsort(gray_rank(words[:, 0]), kind="stable")
+    words, half = words[order], words.shape[1] // 2
+    root = np.arange(len(words))
+    for k in range(1, min(_RUN, len(words) - 1) + 1):
+        near = np.flatnonzero(np.bitwise_count(words[k:] ^ words[:-k]).sum(axis=1, dtype=np.int64) <= most)
+        _join(root, near, near + k)
+    top, many = np.unique(root, return_counts=True)
+    top = top[many.argmax()]
+    seq = np.concatenate([np.flatnonzero(root != top), np.flatnonzero(root == top)])
+    rest, columns = int((root != top).sum()), [np.ascontiguousarray(words[seq, w]) for w in range(words.shape[1])]
+    at = 0
+    while at < rest:  # each pair once: with the places that follow
+        to = min(rest, at + max(1, (1 << 16) // (len(seq) - at)))
+        apart = np.bitwise_count(columns[0][at:to, None] ^ columns[0][None, at:])
+        for c in columns[1:half]:
+            apart += np.bitwise_count(c[at:to, None] ^ c[None, at:])
+        a, b = np.nonzero(apart <= most_half)
+        a, b = seq[a[a < b] + at], seq[b[a < b] + at]
+        new = root[a] != root[b]
+        a, b = a[new], b[new]
+        near = np.bitwise_count(words[a] ^ words[b]).sum(axis=1, dtype=np.int64) <= most
+        _join(root, a[near], b[near])
+        at = to
+    own = np.flatnonzero(root != np.arange(len(root)))
+    return order[own], order[root[own]]
+
+
 def _splits(bits: list[int], parts: int) -> list[int]:
     """Masks that split the given bit positions into even parts."""
     return [sum(1 << b for b in part.tolist()) for part in np.array_split(np.array(bits), parts)]
@@ -250,9 +295,10 @@ def keep_classes(docs: DataFrame, prints: DataFrame, classes: DataFrame, fp_of:
     told by their text's fp: of the rows of a class that have its smallest id (null if no row has one) one stays.
     """
     repeated = cut(prints.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias(doc_id)))
-    kept = prints.join(classes, "fp").where("doc_id = component_id").select(F.col("doc_id").alias(doc_id))
+    gone = prints.join(classes, "fp").where("doc_id <> component_id").select(F.col("doc_id").alias(doc_id))
     any_repeated = not repeated.isEmpty()
-    out = docs.join(kept.join(repeated, doc_id, "left_anti") if any_repeated else kept, doc_id, "left_semi").select(*[docs[c] for c in docs.columns])
+    gone = cut((gone.unionByName(repeated) if any_repeated else gone).distinct())
+    out = beside(docs.where(docs[doc_id].isNotNull()), gone, doc_id, "left_anti").select(*[docs[c] for c in docs.columns])
     loose = []
     if any_repeated:
         loose.append(docs.join(repeated, doc_id, "left_semi").select(*[docs[c] for c in docs.columns]))
