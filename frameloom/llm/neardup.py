@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import beside, coded, cut, give_back, text_slices, words_of
 from .components import components
-from .simhash import keep_classes, majority, wide_stars
+from .simhash import join, keep_classes, majority, wide_stars
 
 WIDTH = 5
 #: The least similarity, as a fraction.
@@ -47,6 +47,8 @@ FLIP, MISS = 0.19, 1e-5
 NODE = 1024
 #: Sets of a candidate group that a task compares.
 GROUP = 2048
+#: Members under one mask that a task reads, and edges, about.
+PART, EDGES = 200_000, 1 << 18
 #: Bits and wide places in which near copies agree.
 AGREE, AGREE_WIDE = WORDS * 32 - RADIUS_HALF, WORDS * 64 - RADIUS
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -179,56 +181,92 @@ def _by_run(edges_of: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], keys:
     return search
 
 
-def _node_links(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    data = np.frombuffer(b"".join(rows.column(1).to_pylist()), np.uint64).reshape(-1, WORDS + 1)
-    own, root = wide_stars(data[:, 1:], RADIUS, RADIUS_HALF)
-    return data[own, 0].view(np.int64), data[root, 0].view(np.int64)
+def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect just what these do, each member's to the least one of its set."""
+    names, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    root = np.arange(len(names))
+    join(root, at[: len(u)], at[len(u) :])
+    own = np.flatnonzero(root != np.arange(len(names)))
+    return names[own], names[root[own]]
+
+
+def _thinned(edges: DataFrame) -> DataFrame:
+    """The edges as a forest for every EDGES of them."""
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [np.stack([c.to_numpy() for c in b.columns]) for b in batches]
+        if parts:
+            yield _edges([forest(*np.concatenate(parts, axis=1))])
+
+    edges = cut(edges)
+    return edges.repartition(max(1, -(-edges.count() // EDGES))).mapInArrow(thin, "u long, v long")
 
 
 def candidates(distinct: DataFrame, n: int) -> DataFrame:
     """Edges u, v between sets (rows fp and the words of their fingerprint; n of them) that connect what links within the
-    radius connect. A task packs its members of a node in one value, 40 bytes each."""
+    radius connect. Members go to tasks that have some nodes of one mask each, 40 bytes a member and mask."""
     masks = masks_of(n)
+    parts = max(1, -(-n // PART))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             step = max(1, _MEMBERS // len(masks))
             for at in range(0, batch.num_rows, step):
                 data = np.stack([c.to_numpy() for c in batch.slice(at, step).columns], axis=1).view(np.uint64)
-                nodes = nodes_of(np.ascontiguousarray(data[:, 1:]), masks).reshape(-1)
-                order = np.argsort(nodes)
-                nodes, packed = nodes[order], data[order // len(masks)]
-                heads = np.concatenate([[0], np.flatnonzero(nodes[1:] != nodes[:-1]) + 1])
-                ends = np.append(heads, len(nodes)).astype(np.int32) * np.int32((WORDS + 1) * 8)
+                nodes = nodes_of(np.ascontiguousarray(data[:, 1:]), masks)
+                task = (np.arange(len(masks)) * parts + (nodes % np.uint64(parts)).astype(np.int64)).reshape(-1)
+                order = np.argsort(task, kind="stable")
+                task, packed = task[order], data[order // len(masks)]
+                heads = np.concatenate([[0], np.flatnonzero(np.diff(task)) + 1])
+                ends = np.append(heads, len(task)).astype(np.int32) * np.int32((WORDS + 1) * 8)
                 values = pa.Array.from_buffers(pa.binary(), len(heads), [None, pa.py_buffer(ends), pa.py_buffer(packed)])
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[heads].view(np.int64)), values], names=["node", "members"])
-                del data, nodes, order, packed, values
+                yield pa.RecordBatch.from_arrays([pa.array(task[heads]), values], names=["task", "members"])
+                del data, nodes, task, order, packed, values
             give_back()
 
-    dealt = distinct.select("fp", *_NAMES).mapInArrow(deal, "node long, members binary")
-    dealt = dealt.repartition("node").sortWithinPartitions("node")
-    return dealt.mapInArrow(_by_run(_node_links, 1), "u long, v long").distinct()
+    def links(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        data = np.frombuffer(b"".join(rows.column(1).to_pylist()), np.uint64).reshape(-1, WORDS + 1)
+        mask = rows.column(0)[0].as_py() // parts
+        node = nodes_of(data[:, 1:], masks[mask : mask + 1])[:, 0]
+        data = data[np.argsort(node, kind="stable")]
+        node.sort()
+        heads = np.flatnonzero(np.diff(node, prepend=~node[:1]))
+        found = [np.zeros((2, 0), np.int64)]
+        for s, e in zip(heads.tolist(), [*heads[1:].tolist(), len(node)], strict=True):
+            if e - s > 1:
+                own, root = wide_stars(data[s:e, 1:], RADIUS, RADIUS_HALF)
+                found.append(np.stack([data[s + own, 0], data[s + root, 0]]).view(np.int64))
+        return tuple(np.concatenate(found, axis=1))
+
+    dealt = distinct.select("fp", *_NAMES).mapInArrow(deal, "task long, members binary")
+    dealt = dealt.repartition("task").sortWithinPartitions("task")
+    return _thinned(dealt.mapInArrow(_by_run(links, 1), "u long, v long"))
+
+
+def alike(own: np.ndarray, values: np.ndarray, starts: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Those of the sets ``some`` that have the least similarity to the set ``own``."""
+    size = starts[some + 1] - starts[some]
+    fits = LEAST[1] * np.minimum(size, len(own)) >= LEAST[0] * np.maximum(size, len(own))
+    some, size = some[fits], size[fits]
+    if not len(some):
+        return some
+    ends = np.cumsum(size)
+    theirs = values[np.arange(ends[-1]) + np.repeat(starts[some] - ends + size, size)]
+    hit = own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs
+    shared = np.add.reduceat(hit, ends - size, dtype=np.int64)
+    return some[shared * sum(LEAST) >= LEAST[0] * (size + len(own))]
 
 
 def joined(values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(member, root) as places of sets that have the least similarity to another, or are reached over such links."""
-    sizes, root = np.diff(starts), np.arange(len(starts) - 1)
+    root = np.arange(len(starts) - 1)
     todo = root.copy()
     while len(todo) > 1:
         top, todo = todo[0], todo[1:]
         reached = [top]
         while reached and len(todo):
-            own = values[starts[p := reached.pop()] : starts[p + 1]]
-            size = sizes[todo]
-            fits = LEAST[1] * np.minimum(size, len(own)) >= LEAST[0] * np.maximum(size, len(own))
-            some, size = todo[fits], size[fits]
-            if not len(some):
-                continue
-            ends = np.cumsum(size)
-            theirs = values[np.arange(ends[-1]) + np.repeat(starts[some] - ends + size, size)]
-            hit = own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs
-            shared = np.add.reduceat(hit, ends - size, dtype=np.int64)
-            near = some[shared * sum(LEAST) >= LEAST[0] * (size + len(own))]
+            p = reached.pop()
+            near = alike(values[starts[p] : starts[p + 1]], values, starts, todo)
             root[near] = top
             reached += near.tolist()
             todo = np.setdiff1d(todo, near, assume_unique=True)
@@ -236,14 +274,39 @@ def joined(values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return own, root[own]
 
 
-def _group_links(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    lists = rows.column(3).combine_chunks()
+def joined_across(values: np.ndarray, starts: np.ndarray, label: np.ndarray, asks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (as places) between sets that ask and others of another label that join all labels such links can join."""
+    names, at = np.unique(label, return_inverse=True)
+    root, found = np.arange(len(names)), [np.zeros((2, 0), np.int64)]
+    for p in np.flatnonzero(asks).tolist():
+        now = root[at]
+        near = alike(values[starts[p] : starts[p + 1]], values, starts, np.flatnonzero(now != now[p]))
+        near = near[np.unique(now[near], return_index=True)[1]]  # one link for each label
+        if len(near):
+            found.append(np.stack([np.full(len(near), p), near]))
+            join(root, np.full(len(near), at[p]), at[near])
+    return tuple(np.concatenate(found, axis=1))
+
+
+def _lists(rows: pa.Table, column: int) -> tuple[np.ndarray, np.ndarray]:
+    lists = rows.column(column).combine_chunks()
     lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
-    fp, at = rows.column(2).to_numpy(), lists.offsets.to_numpy().astype(np.int64)
-    own, root = joined(lists.flatten().to_numpy().view(np.uint64), at - at[0])
+    at = lists.offsets.to_numpy().astype(np.int64)
+    return lists.flatten().to_numpy().view(np.uint64), at - at[0]
+
+
+def _group_links(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    fp = rows.column(2).to_numpy()
+    own, root = joined(*_lists(rows, 3))
     return fp[own], fp[root]
 
 
+def _cross_links(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    fp, label, asks = (rows.column(k).to_numpy() for k in (3, 4, 5))
+    a, b = joined_across(*_lists(rows, 6), label, asks == 1)
+    return fp[a], fp[b]
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
     """``wanted`` (fp, id and more, one row per fp) with each fp's set, from the rows that have these ids only."""
 
@@ -261,27 +324,20 @@ def _sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFra
     return beside(made, wanted.drop("least"), "fp", "inner").dropDuplicates(["fp"])
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs u, v whose sets have at least the similarity."""
-    one = sets.select(F.col("fp").alias("u"), F.col("set").alias("_a"))
-    other = sets.select(F.col("fp").alias("v"), F.col("set").alias("_b"))
-    shared = F.size(F.array_intersect("_a", "_b"))
-    enough = shared * sum(LEAST) >= LEAST[0] * (F.size("_a") + F.size("_b"))
-    return pairs.join(one, "u").join(other, "v").where(enough).select("u", "v")
-
-
 def _across(members: DataFrame, edges: DataFrame) -> DataFrame:
-    """Pairs u, v of members of one group and different components that may be near copies, but for those within
-    the group's largest component."""
+    """Links between members (root, fp, tasks, set) of one group and different components, but for those within the group's
+    largest component. The sets outside it, by the GROUP, meet the group's sets, by the GROUP, in a task each."""
     roots = components(edges).withColumnRenamed("u", "fp").withColumnRenamed("root", "own")
-    rooted = cut(members.join(roots, "fp", "left").withColumn("own", F.coalesce("own", "fp")))
-    most = rooted.groupBy("root", "own").count().groupBy("root").agg(F.max_by("own", F.struct("count", "own")).alias("own"))
-    rest = rooted.join(most, ["root", "own"], "left_anti")
-    a, b = rest.alias("a"), rooted.alias("b")
-    apart = sum(F.bit_count(F.col(f"a.{w}").bitwiseXOR(F.col(f"b.{w}"))) for w in _NAMES)
-    fits = LEAST[1] * F.least("a.n", "b.n") >= LEAST[0] * F.greatest("a.n", "b.n")
-    pairs = a.join(b, F.col("a.root") == F.col("b.root")).where((F.col("a.own") != F.col("b.own")) & fits & (apart <= RADIUS))
-    return pairs.select(F.least("a.fp", "b.fp").alias("u"), F.greatest("a.fp", "b.fp").alias("v")).distinct()
+    rooted = cut(members.drop("set").join(roots, "fp", "left").withColumn("own", F.coalesce("own", "fp")))
+    most = rooted.groupBy("root", "own").count().groupBy("root").agg(F.max_by("own", F.struct("count", "own")).alias("most"), F.sum("count").alias("n"), F.max("count").alias("_n"))
+    most = most.select("root", "most", F.ceil((F.col("n") - F.col("_n")) / F.lit(GROUP)).alias("asking"))
+    rooted = cut(rooted.join(most, "root").where("asking > 0")).join(members.select("fp", "set"), "fp")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("fp"), F.col(n)).cast("long")
+    asking = rooted.where("own <> most").select("root", own("asking").alias("i"), every("tasks").alias("j"), "fp", "own", F.lit(1).cast("long").alias("asks"), "set")
+    others = rooted.select("root", every("asking").alias("i"), own("tasks").alias("j"), "fp", "own", F.lit(0).cast("long").alias("asks"), "set")
+    tasks = asking.unionByName(others).repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+    return tasks.mapInArrow(_by_run(_cross_links, 3), "u long, v long")
 
 
 def classes_of(prints: DataFrame, docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -299,8 +355,7 @@ def classes_of(prints: DataFrame, docs: DataFrame, *, doc_id: str = "doc_id", te
     tasks = tasks.repartition("root", "task").sortWithinPartitions("root", "task")
     edges = cut(tasks.mapInArrow(_by_run(_group_links, 2), "u long, v long"))
     if large:
-        members = wanted.where("tasks > 1").select("fp", "root").join(distinct.drop("least"), "fp")
-        edges = cut(edges.unionByName(_confirmed(cut(_across(members, edges)), sets)))
+        edges = cut(edges.unionByName(_thinned(_across(sets.where("tasks > 1"), edges))))
     roots = components(edges).withColumnRenamed("u", "fp")
     named = distinct.select("fp", "least").join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))

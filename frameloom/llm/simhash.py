@@ -41,7 +41,7 @@ _PAIRS = 1 << 20  # pairs that a search holds at once
 def shingle_hashes(texts: pa.Array, width: int = 3, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
     """XXH64 of every ``width``-word shingle of each text, repeats included, A-Z in lower case; text i has
     hashes ``starts[i]:starts[i + 1]``. Fewer words are one shingle, none give no hash."""
-    joined = pc.binary_join(pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(texts))), " ")
+    joined = pc.binaryjoin(pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(texts))), " ")
     raw, offsets = buffer_of(joined)
     data = raw.tobytes()
     spaces = np.flatnonzero(raw == 32)
@@ -150,12 +150,12 @@ def stars(members: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     index = GrayIndex(members)
     root = np.arange(len(members))
     for a, b in index.links(most):
-        _join(root, a, b)
+        join(root, a, b)
     own = np.flatnonzero(root != np.arange(len(root)))
     return index.members[own], index.members[root[own]]
 
 
-def _join(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+def join(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
     """Put the ends of each link under one root."""
     while len(a):  # the lesser roots win until both ends of each link have one root
         ra, rb = root[a], root[b]
@@ -179,7 +179,7 @@ def wide_stars(words: np.ndarray, most: int, most_half: int) -> tuple[np.ndarray
     root = np.arange(len(words))
     for k in range(1, min(_RUN, len(words) - 1) + 1):
         near = np.flatnonzero(np.bitwise_count(words[k:] ^ words[:-k]).sum(axis=1, dtype=np.int64) <= most)
-        _join(root, near, near + k)
+        join(root, near, near + k)
     top, many = np.unique(root, return_counts=True)
     top = top[many.argmax()]
     seq = np.concatenate([np.flatnonzero(root != top), np.flatnonzero(root == top)])
@@ -195,7 +195,7 @@ def wide_stars(words: np.ndarray, most: int, most_half: int) -> tuple[np.ndarray
         new = root[a] != root[b]
         a, b = a[new], b[new]
         near = np.bitwise_count(words[a] ^ words[b]).sum(axis=1, dtype=np.int64) <= most
-        _join(root, a[near], b[near])
+        join(root, a[near], b[near])
         at = to
     own = np.flatnonzero(root != np.arange(len(root)))
     return order[own], order[root[own]]
