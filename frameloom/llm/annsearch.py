@@ -6,7 +6,8 @@ residual. A query's rotated residual is quantised to four bits and its inner pro
 read off packed bits (and, then popcount, for each of the four bit planes). With the scalars this
 estimates the inner product without bias, with an error bound. The k best estimates are scored on the
 original vectors, in double precision; every other vector whose upper bound reaches the least of
-those scores is reranked too.
+those scores is reranked too, by one product of a query with all of them; only the k best of these, and those
+within rounding of them, are summed in the defined order.
 
 Candidates are dealt out once, to blocks of about BLOCK_BYTES, and stay there; the queries, a stated part of
 the rows, come to each block. A block makes its codes once, takes the queries in Arrow batches and
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of vectors in a block of candidates, in double precision; and the rows that a smaller block is worth a task for.
@@ -109,7 +110,9 @@ def exact_scores(queries: np.ndarray, vectors: np.ndarray, q: np.ndarray, c: np.
 def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, codes: Codes, by_vector: np.ndarray, k: int, centre: np.ndarray, turn: np.ndarray, epsilon: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Query positions, candidate positions and scores of each query's k nearest in the block, whose vectors
     ``by_vector`` has as columns."""
-    by_query = np.ascontiguousarray(queries.T)
+    by_query, rows = np.ascontiguousarray(queries.T), np.ascontiguousarray(by_vector.T)
+    # far over what two orders of summing can differ by
+    room = 1e-14 * queries.shape[1] * np.sqrt((queries**2).sum(axis=1) * (rows**2).sum(axis=1).max(initial=0))
     found = []
     step = max(1, _CELLS // max(1, len(ids)))
     for at in range(0, len(queries), step):
@@ -123,7 +126,19 @@ def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, co
             score = np.where(np.isfinite(guess[q, c]), exact_scores(by_query, by_vector, q + at, c), -np.inf)
             least = score.reshape(len(best), k).min(axis=1)
         off += guess  # the upper bound; single precision is given a little room
-        q, c = np.nonzero((off >= (least - 1e-5).astype(np.float32)[:, None]) & np.isfinite(guess))
+        q, c = np.divmod(np.flatnonzero((off >= (least - 1e-5).astype(np.float32)[:, None]) & np.isfinite(guess)), len(ids))
+        most = len(c) > guess.size // 8  # then one product of the matrices is cheaper than picking rows
+        products = (queries[own] @ by_vector)[q, c] if most else None
+        ends = np.searchsorted(q, np.arange(len(guess) + 1))
+        some = []
+        for i, (s, e) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+            near = products[s:e] if most else rows[c[s:e]] @ queries[at + i]
+            if e - s > k:  # what is further from the k-th than any rounding isn't among the k nearest
+                some.append(s + np.flatnonzero(near >= np.partition(near, e - s - k)[e - s - k] - room[at + i]))
+            else:
+                some.append(np.arange(s, e))
+        some = np.concatenate(some)
+        q, c = q[some], c[some]
         score = exact_scores(by_query, by_vector, q + at, c)
         good = score >= least[q]
         q, c, score = q[good] + at, c[good], score[good]
@@ -144,6 +159,15 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
+def block_names(spark: SparkSession, blocks: int) -> list[int]:
+    """A number for each block, such that a shuffle by it deals every block to a partition of its own."""
+    n = spark.range(max(64, blocks * 32)).select(F.col("id").cast("int").alias("name"))
+    rows = n.groupBy(F.pmod(F.hash("name"), F.lit(blocks)).alias("at")).agg(F.min("name").alias("name")).orderBy("at").collect()
+    free = iter(range(-1, -blocks - 1, -1))  # a partition that no number came to: any number names a block
+    held = {r["at"]: r["name"] for r in rows}
+    return [held[b] if b in held else next(free) for b in range(blocks)]
+
+
 class _Block:
     """A block's candidates, of those that repeat one each."""
 
@@ -171,9 +195,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int, *, vec_id: str = "vec_
     centre, turn = np.array([row[f"c{k}"] for k in range(dim)]), rotation(dim)
     blocks = max(-(-row.n * dim * 8 // block_bytes), min(spark.sparkContext.defaultParallelism, -(-row.n // LEAST_ROWS)))
     # the partition's number spreads rows that repeat; it is the same when a task runs again
-    own = F.pmod(F.xxhash64("vec_id", "key", F.spark_partition_id()), F.lit(blocks)).cast("int")
+    names = F.array(*[F.lit(x) for x in block_names(spark, blocks)])
+    own = F.get(names, F.pmod(F.xxhash64("vec_id", "key", F.spark_partition_id()), F.lit(blocks)).cast("int"))
     candidates = given.select(own.alias("block"), F.lit(0).alias("kind"), "vec_id", "key", "vector")
-    queries = given.where("asks").dropDuplicates(["vec_id", "key"]).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("kind"), "vec_id", "key", "vector")
+    queries = given.where("asks").dropDuplicates(["vec_id", "key"]).select(F.explode(names).alias("block"), F.lit(1).alias("kind"), "vec_id", "key", "vector")
     dealt = candidates.unionByName(queries).repartition(blocks, "block").sortWithinPartitions("block", "kind")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

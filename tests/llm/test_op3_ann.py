@@ -83,3 +83,29 @@ def test_recall_at_the_production_bound(dim):
     scores[np.arange(len(q)), q] = -np.inf
     best = np.argsort(-scores, axis=1)[:, :20]
     assert np.mean([len(set(found[own == k]) & set(best[k])) / 20 for k in range(len(q))]) >= 0.99
+
+
+def test_few_pairs_are_summed_in_order(monkeypatch):
+    """Codes of 64 bits leave a great part of unclustered vectors to rerank; few of them are near the k-th."""
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(4000, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    v[1000:1030] = v[7]  # ties go to the smaller id
+    ids, q = np.arange(4000), np.append(np.arange(0, 4000, 100), 7)
+    centre, turn, summed, plain = v.mean(axis=0), annsearch.rotation(64), [], annsearch.exact_scores
+    monkeypatch.setattr(annsearch, "exact_scores", lambda a, b, x, y: (summed.append(len(x)), plain(a, b, x, y))[1])
+    own, found, score = annsearch.search_block(q, v[q], ids, annsearch.Codes(v, centre, turn), np.ascontiguousarray(v.T), 20, centre, turn, annsearch.EPSILON)
+    assert sum(summed) <= 50 * len(q)
+    for k in range(len(q)):
+        every = np.zeros(4000)
+        for x, y in zip(v.T, v[q[k]], strict=True):
+            every += x * y
+        best = [j for j in np.lexsort((ids, -every)).tolist() if j != q[k]][:20]
+        assert found[own == k].tolist() == best and score[own == k].tolist() == every[best].tolist()
+
+
+@pytest.mark.parametrize("blocks", [1, 6, 100])
+def test_blocks_have_partitions_of_their_own(spark, blocks):
+    names = annsearch.block_names(spark, blocks)
+    df = spark.createDataFrame([(x,) for x in names], "block int").repartition(blocks, "block")
+    assert df.select(F.spark_partition_id().alias("p")).distinct().count() == len(set(names)) == blocks
