@@ -93,6 +93,24 @@ def test_rows_out_of_order_are_an_error():
             list(p.handleInputRows(("g",), iter([pd.DataFrame(x) for x in parts]), None))
 
 
+def test_windows_hold_a_part_and_not_the_micro_batch():
+    """A long stream in one micro-batch: what has been handed on is let go, so a part's frames and the open windows are what stays."""
+    import tracemalloc
+
+    def peak(n):
+        p = series.DepthWindowProcessor(lambda w: w + 1)
+        p.state = Held()
+        parts = (pd.DataFrame({"stream_id": "0", "idx": range(at, at + 500), "is_eof": False, "values": [np.full(256, i / n) for i in range(500)]}) for at in range(0, n, 500))
+        tracemalloc.start()
+        seen = sum(len(out) for out in p.handleInputRows(("0",), parts, None))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert seen > n - 40
+        return most
+
+    assert peak(10_000) < 1.5 * peak(2_000)
+
+
 def test_a_group_of_streams_is_one_call(spark):
     """Streams share calls, state and order: fewer groups than streams."""
     rows = spark.range(3000).selectExpr("id % 1000 AS stream_id", "id AS idx", "false AS is_eof")
