@@ -50,6 +50,20 @@ LENGTHS = {"1": 9, "2": 3, "3": 2, "4": 31, "5": 12, "6": 1}
 VALUE = {s: np.random.default_rng(int(s)).normal(0, 30, n) for s, n in LENGTHS.items()}
 
 
+@pytest.mark.parametrize("part", [1, 4, 1000])
+@pytest.mark.parametrize(("threshold", "tail", "m"), [(0.0, True, 4), (30.0, False, 3), (0.0, True, 1)])
+def test_densified_groups_equal_a_loop(part, threshold, tail, m):
+    got, left = walked(series.DensifyProcessor(m, threshold, tail), stream_rows(LENGTHS, [5, 10], lambda s, i: {"v": VALUE[s][i]}), part)
+    want = {}
+    for s, v in VALUE.items():
+        made = []
+        for a, b in zip(v, v[1:]):
+            made += [a] + [a if threshold and abs(b - a) >= threshold else a * (1 - j / m) + b * (j / m) for j in range(1, m)]
+        want |= {(s, i): x for i, x in enumerate([*made, *[v[-1]] * (m if tail else 1)])}
+    assert len(got) == len(want) and dict(zip(zip(got["stream_id"], got["out_idx"]), got["v"])) == want
+    assert not left
+
+
 @pytest.mark.parametrize("part", [1, 4, 1000])
 def test_bounds_and_stability_of_groups_equal_a_loop(part):
     cut = lambda s, i: i > 0 and abs(VALUE[s][i] - VALUE[s][i - 1]) >= 40
