@@ -591,25 +591,30 @@ def q_encoder_matrix(spark, sf_dir):
     return encoder.matrix(spark)
 
 
-def _streamed(spark: SparkSession, rows: DataFrame, batch: int, columns: list[str]) -> list[DataFrame]:
-    """Rows stream_id, idx and columns as a stream in three micro-batches cut at multiples of ``batch``, ends in the last: the stream
-    with the first of them, with the second too, and with all. A micro-batch is a folder of as many files as tasks write."""
-    folder = f"{shared_folder(spark, 'stream')}/in"
+def _streamed(spark: SparkSession, rows: DataFrame, batch: int, columns: list[str]) -> DataFrame:
+    """Rows stream_id, idx and columns as a stream: three micro-batches cut at multiples of ``batch``, ends in the last. Each is as
+    many files as the session has cores: a row without an index, which isn't read, keeps a file from being left out."""
+    folder, files = shared_folder(spark, "stream"), max(1, spark.sparkContext.defaultParallelism)
     given = rows.select(F.col("stream_id").cast("string").alias("stream_id"), "idx", *columns, F.lit(False).alias("is_eof"))
-    at = F.least(F.lit(2).cast("long"), F.floor(F.col("idx") / batch)).alias("batch")
-    given.select("*", at).write.partitionBy("batch").parquet(folder)
+    at = F.least(F.lit(2).cast("long"), F.floor(F.col("idx") / batch)).cast("int").alias("batch")
+    given.select("*", at).write.partitionBy("batch").parquet(f"{folder}/cut")  # once, for all three
+    cut = spark.read.schema(given.select("*", at).schema).parquet(f"{folder}/cut")
     nulls = [F.lit(None).cast(given.schema[c].dataType).alias(c) for c in columns]
-    ends = spark.read.schema(given.schema).parquet(folder).groupBy("stream_id").agg((F.max("idx") + 1).alias("idx"))
-    ends.select("stream_id", "idx", *nulls, F.lit(True).alias("is_eof")).write.mode("append").parquet(f"{folder}/batch=2")
-    return [spark.readStream.schema(given.schema).parquet(f"{folder}/batch=[0-{k}]") for k in range(3)]
-
-
-def _ended(spark: SparkSession, streams: list[DataFrame]) -> DataFrame:
-    """What a stream has given when its source has ended: each run goes on from the one before, with the files that are new."""
+    ends = cut.groupBy("stream_id").agg((F.max("idx") + 1).alias("idx")).select("stream_id", "idx", *nulls, F.lit(True).alias("is_eof"))
+    for k in range(3):
+        part = cut.where(F.col("batch") == k).drop("batch")
+        part = (part.unionByName(ends) if k == 2 else part).withColumn("_file", F.pmod(F.hash("stream_id", "idx"), F.lit(files)))
+        part = part.unionByName(spark.range(files).select(F.col("id").cast("int").alias("_file")), allowMissingColumns=True)
+        part.repartitionById(files, F.col("_file")).drop("_file").write.parquet(f"{folder}/in/{k}")
+    stream = spark.readStream.schema(given.schema).option("maxFilesPerTrigger", str(files)).parquet(f"{folder}/in/*")
+    return stream.where("idx IS NOT NULL")
+
+
+def _ended(spark: SparkSession, stream: DataFrame) -> DataFrame:
+    """What a stream has given when its source has ended."""
     folder = shared_folder(spark, "streamed")
-    for stream in streams:
-        series.run_to_end(stream, f"{folder}/out", f"{folder}/checkpoint")
-    return spark.read.schema(streams[-1].schema).parquet(f"{folder}/out")
+    series.run_to_end(stream, f"{folder}/out", f"{folder}/checkpoint")
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -624,7 +629,7 @@ def _frame_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(_dense_sql(4, True, "false"))
 def q_stream_densify(spark, sf_dir):
     """The series cut into micro-batches, with state between them: the same rows as in one go."""
-    out = _ended(spark, [series.densify_stream(s, 4) for s in _streamed(spark, _event_stream(spark, sf_dir), 30, ["v"])])
+    out = _ended(spark, series.densify_stream(_streamed(spark, _event_stream(spark, sf_dir), 30, ["v"]), 4))
     return out.select(F.col("stream_id").alias("user_id"), "out_idx", q(F.col("v"), 1e5).alias("v"))
 
 
@@ -632,7 +637,7 @@ def q_stream_densify(spark, sf_dir):
 def q_stream_bounds(spark, sf_dir):
     """The running bounds as a stream."""
     e = _event_stream(spark, sf_dir).withColumns({"low": F.col("v"), "high": F.col("v") + 10, "cut": F.coalesce(F.abs(F.col("v") - F.col("prev_v")) >= 50, F.lit(False))})
-    out = _ended(spark, [series.bounds_stream(s) for s in _streamed(spark, e, 30, ["low", "high", "cut"])])
+    out = _ended(spark, series.bounds_stream(_streamed(spark, e, 30, ["low", "high", "cut"])))
     return out.select(F.col("stream_id").alias("user_id"), "idx", q(F.col("norm_low"), 1e5).alias("norm_low"), q(F.col("norm_high"), 1e5).alias("norm_high"))
 
 
@@ -640,7 +645,7 @@ def q_stream_bounds(spark, sf_dir):
 def q_stream_stability(spark, sf_dir):
     """Depth stability as a stream of fields, here of one cell."""
     e = _event_stream(spark, sf_dir).withColumn("v", F.array("v"))
-    out = _ended(spark, [series.stability_stream(s, groups=series.GROUPS, threshold=40.0) for s in _streamed(spark, e, 30, ["v"])])
+    out = _ended(spark, series.stability_stream(_streamed(spark, e, 30, ["v"]), groups=series.GROUPS, threshold=40.0))
     return out.select(F.col("stream_id").alias("user_id"), "idx", q(F.get("stable", 0), 1e5).alias("stable"))
 
 
@@ -649,7 +654,7 @@ def q_stream_stability(spark, sf_dir):
     SELECT frame_idx * 4 + k AS out_idx, (y * 8 + x)::INTEGER AS cell, {_q('CASE WHEN k = 0 OR nv IS NULL OR cut THEN v ELSE v * (1 - k / 4e0) + nv * (k / 4e0) END', '1e5')} AS v FROM o""")
 def q_stream_frames(spark, sf_dir):
     """Whole frames densified as a stream, with cuts held and the exact tail."""
-    out = _ended(spark, [series.densify_stream(s, 4, threshold=0.14) for s in _streamed(spark, _frame_stream(spark, sf_dir), 100, ["v"])])
+    out = _ended(spark, series.densify_stream(_streamed(spark, _frame_stream(spark, sf_dir), 100, ["v"]), 4, threshold=0.14))
     return _by_cell(out, "v", "out_idx").withColumn("v", q(F.col("v"), 1e5))
 
 
@@ -663,7 +668,7 @@ def _tilted(window):
 def q_stream_windows(spark, sf_dir):
     """Depth windows as a stream: windowed, modelled, aligned on the chain and cross-faded between micro-batches."""
     rows = _streamed(spark, _frame_stream(spark, sf_dir).withColumnRenamed("v", "values"), 100, ["values"])
-    out = _ended(spark, [series.depth_window_stream(s, _tilted) for s in rows])
+    out = _ended(spark, series.depth_window_stream(rows, _tilted))
     return _by_cell(out, "depth", F.col("idx").alias("frame_idx")).withColumn("v", q(F.col("v"), 1e4))
 
 
@@ -671,11 +676,11 @@ def q_stream_windows(spark, sf_dir):
 def q_stream_sink(spark, sf_dir):
     """Frames written batch by batch by the stream's sink, their number checked at the end, and read back."""
     spark.dataSource.register(rawframes.RawFrames)
-    folder, checkpoint = shared_folder(spark, "frames"), shared_folder(spark, "checkpoint")
-    for s in _streamed(spark, _frame_stream(spark, sf_dir), 100, ["v"]):
-        rgb = series.densify_stream(s, 1).withColumn("rgb", F.flatten(F.transform("v", lambda v: F.array_repeat(px.clamp01(v + 0.5), 3))))
-        packed = rawframes.pack(rgb.select("out_idx", "rgb"), "rgb", "rgb48le").select("out_idx", "data")
-        series.run_to_end(packed, folder, checkpoint, form="rawframes")
+    folder = shared_folder(spark, "frames")
+    stream = series.densify_stream(_streamed(spark, _frame_stream(spark, sf_dir), 100, ["v"]), 1)
+    rgb = stream.withColumn("rgb", F.flatten(F.transform("v", lambda v: F.array_repeat(px.clamp01(v + 0.5), 3))))
+    packed = rawframes.pack(rgb.select("out_idx", "rgb"), "rgb", "rgb48le").select("out_idx", "data")
+    series.run_to_end(packed, folder, f"{shared_folder(spark, 'checkpoint')}", form="rawframes")
     rawframes.finish(folder, _frames(spark, sf_dir).count())
     return _read_back(spark, folder)
 

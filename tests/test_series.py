@@ -137,9 +137,13 @@ def test_a_micro_batch_is_written_by_more_than_one_task(spark, tmp_path, monkeyp
     """A folder of files each; a single file is a single task's work, which grows with the input."""
     monkeypatch.setattr(catalogue, "shared_folder", lambda spark, what: f"file://{tmp_path}/{what}")
     rows = spark.range(0, 4000, numPartitions=4).select((F.col("id") % 40).alias("stream_id"), F.floor(F.col("id") / 40).alias("idx"), F.lit(1.0).alias("v"))
-    streams = catalogue._streamed(spark, rows, 30, ["v"])
-    assert len(streams) == 3 and all(s.isStreaming for s in streams)
-    assert len(list(tmp_path.glob("stream/in/batch=*/part-*.parquet"))) > 3
-    found = [spark.read.parquet(f"{tmp_path}/stream/in/batch={k}") for k in range(3)]
+    stream = catalogue._streamed(spark, rows, 30, ["v"])
+    files = spark.sparkContext.defaultParallelism
+    assert files > 1 and [len(list(tmp_path.glob(f"stream/in/{k}/part-*.parquet"))) for k in range(3)] == [files] * 3
+    found = [spark.read.parquet(f"{tmp_path}/stream/in/{k}").where("idx IS NOT NULL") for k in range(3)]
     assert [f.where("NOT is_eof").count() for f in found] == [1200, 1200, 1600]
     assert [f.where("is_eof").count() for f in found] == [0, 0, 40] and found[2].where("is_eof").agg(F.min("idx"), F.max("idx")).first() == (100, 100)
+    sizes = []
+    query = stream.writeStream.foreachBatch(lambda df, k: sizes.append(df.count())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sizes == [1200, 1200, 1640]
